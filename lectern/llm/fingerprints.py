@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.storage import framed
 from lectern.llm.words import Grams, utf8, words
 
 EQUAL, LIKE, TRIPLE = 128, 256, 3
@@ -161,8 +162,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
             row = batch.column(0)
             yield pa.record_batch([row, pa.array([hexed(vectors([t])[0]) for t in row.field(text).to_pylist()], pa.string())], ["row", "fingerprint"])
 
-    framed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return framed.mapInArrow(run, framed.schema.add("fingerprint", "string"))
+    frame, schema = framed(docs, "fingerprint string")
+    return frame.mapInArrow(run, schema)
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,12 @@ def released(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def framed(docs: DataFrame, more: str = ""):
+    """All columns as one, ``row``, and the schema of it with the columns of ``more`` (DDL)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return out, T.StructType([out.schema["row"], *(T._parse_datatype_string(more).fields if more else [])])
