@@ -70,6 +70,10 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _digest(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return mix(_sums(mix(h + _S1), first) + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
 def _scan(shingle: int, percent: int):
     """A row a text (n not null) and a row for each token in its prefix zone (n null)."""
 
@@ -79,7 +83,7 @@ def _scan(shingle: int, percent: int):
             for i, j, data, offs in parts(batch.column(1)):
                 h, first = sets(data, offs, shingle)
                 n = np.diff(first)
-                one, two = mix(_sums(mix(h + _S1), first) + n.astype(np.uint64)).view(np.int64), mix(_sums(mix(h + _S2), first)).view(np.int64)
+                one, two = _digest(h, first), mix(_sums(mix(h + _S2), first)).view(np.int64)
                 doc = np.repeat(np.arange(j - i), n)
                 at = h.astype(np.float64) / 2.0**64
                 inside = at < _zone(n, percent)[doc]
@@ -100,7 +104,8 @@ def _sets(shingle: int):
             for i, j, data, offs in parts(batch.column(0)):
                 h, first = sets(data, offs, shingle)
                 own = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.record_batch([*(c.slice(i, j - i) for c in rest), own], ["cls", "n", "typical", "combine", "tokens"])
+                same = pa.array(_digest(h, first) == rest[0].slice(i, j - i).to_numpy())  # another row may have the same id
+                yield pa.record_batch([x.filter(same) for x in (*(c.slice(i, j - i) for c in rest), own)], ["cls", "n", "typical", "combine", "tokens"])
 
     return run
 
@@ -182,8 +187,8 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(percent: int):
-    """Members of one list against one block of its rest: links between components, one for each pair of block member
-    and other component."""
+    """One block of members outside the largest component against one block of all members: links between components,
+    one for each pair of outside member and other component."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, comp, rest = (table.column(c).to_numpy() for c in ("cls", "comp", "rest"))
@@ -196,7 +201,7 @@ def _blocks(percent: int):
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         u, v, seen = [], [], set()
-        for k in range(len(cls)):
+        for k in np.flatnonzero(~rest).tolist():
             x = flat[first[k] : first[k + 1]]
             lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
             n = hi - lo
@@ -212,6 +217,13 @@ def _blocks(percent: int):
     return run
 
 
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs between different components."""
+    for c in ("u", "v"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left")
+    return pairs.filter("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v")
+
+
 def _short_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of members in different components, for lists (arrays ``members``) of bounded length."""
     lists = lists.select("members").distinct().withColumn("list", F.xxhash64("members"))
@@ -221,15 +233,18 @@ def _short_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _long_lists(sig: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between components that meet in long lists: of each list the members outside its largest component, in
-    blocks, against all members."""
+    """Links between components that meet in long lists. The members outside a list's largest component are gathered
+    by that component, over all lists (near copies meet in many), and compared with all that meet it, block by block."""
     held = sig.select("sig", F.col("cls").alias("node")).join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
     by = held.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    held = written(held.join(by.select("sig", "main"), "sig"), "held")
-    rest = held.filter("comp <> main").groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    held = held.join(rest, "sig").withColumn("own", F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("blocks")))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("sig", "block", F.col("node").alias("cls"), "comp", (F.coalesce(F.col("own") == F.col("block"), F.lit(False))).alias("rest"))
-    return held.join(full.select("cls", "tokens"), "cls").groupBy("sig", "block").applyInArrow(_blocks(percent), "u long, v long")
+    held = written(held.join(by.select("sig", "main"), "sig").select("main", "node", "comp").distinct(), "held")
+    blocks = held.groupBy("main").agg(F.ceil(F.count_if(F.col("comp") != F.col("main")) / F.lit(BLOCK)).cast("int").alias("zs"), F.ceil(F.count("*") / F.lit(8 * BLOCK)).cast("int").alias("ms"))
+    held = held.join(blocks, "main")
+    own, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    rest = held.filter("comp <> main").select("main", own("zs").alias("z"), every("ms").alias("m"), "node", "comp", F.lit(True).alias("rest"))
+    met = held.select("main", every("zs").alias("z"), own("ms").alias("m"), "node", "comp", F.lit(False).alias("rest"))
+    rows = rest.unionByName(met).withColumnRenamed("node", "cls").join(full.select("cls", "tokens"), "cls")
+    return rows.groupBy("main", "z", "m").applyInArrow(_blocks(percent), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
@@ -243,35 +258,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).filter("u < v"), "shared")
     several = tokens.join(shared.filter("n > 2").select("token", (F.col("n") > rare).alias("frequent")), "token")
     several = written(several.distinct(), "several")
-    lists = several.filter("NOT frequent").groupBy("token").agg(F.array_sort(F.collect_set("cls")).alias("members")).select("members").distinct()
-    lists = written(lists, "lists")
     frequent = several.filter("frequent AND low").groupBy("cls").agg(F.count("*").alias("n_frequent"))
-
     classes = members.filter("n > 0").groupBy("cls", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.max("n_low").alias("n_low"))
-    needs = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    classes = classes.join(frequent, "cls", "left").select("cls", "two", "n", "doc_id", (F.coalesce("n_frequent", F.lit(0)) / F.greatest("n_low", F.lit(1))).alias("typical"), (F.col("n_low") - F.coalesce("n_frequent", F.lit(0)) < needs).alias("combine"))
-    two = shared.filter("n = 2").select("u", "v").distinct()
-    stars = lists.select(F.element_at("members", 1).alias("u"), F.explode("members").alias("v")).filter("u <> v").distinct()
-    near = written(two.unionByName(stars).distinct(), "near")
-    dropped(shared)
-    used = near.select(F.col("u").alias("cls")).union(near.select("v")).union(lists.select(F.explode("members"))).distinct().withColumn("used", F.lit(True))
-    wanted = classes.join(used, "cls", "left").filter("used OR combine").filter("doc_id IS NOT NULL").select("doc_id", "cls", "n", "typical", "combine")
+    # of a text's rare tokens in its zone, a partner lacks ``missing`` at most
+    rare_ones, missing = F.col("n_low") - F.coalesce("n_frequent", F.lit(0)), F.expr(f"n - (({percent} * n + 99) div 100)")
+    classes = classes.join(frequent, "cls", "left").select("cls", "n", "doc_id", (F.coalesce("n_frequent", F.lit(0)) / F.greatest("n_low", F.lit(1))).alias("typical"), (rare_ones - missing).alias("least"))
+    classes = written(classes, "classes")
+
+    lists = several.filter("NOT frequent").groupBy("token").agg(F.array_sort(F.collect_set("cls")).alias("members")).groupBy("members").agg(F.count("*").alias("m"))
+    pairs = lists.select(F.explode("members").alias("u"), "members", "m").select("u", F.explode("members").alias("v"), "m").filter("u < v")
+    pairs = pairs.unionByName(shared.filter("n = 2").select("u", "v", F.lit(1).cast("long").alias("m"))).groupBy("u", "v").agg(F.sum("m").alias("m"))
+    for c in ("u", "v"):
+        pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("least").alias(f"least_{c}")), c)
+    pairs = written(pairs.filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) AND m >= greatest(least_u, least_v)").select("u", "v"), "pairs")
+    dropped(shared, several)
+    used = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct().withColumn("used", F.lit(True))
+    wanted = classes.join(used, "cls", "left").filter("used OR least < 1").filter("doc_id IS NOT NULL").select("doc_id", "cls", "n", "typical", (F.col("least") < 1).alias("combine"))
     full = base.join(wanted, "doc_id").select("text", "cls", "n", "typical", "combine").mapInArrow(_sets(shingle), "cls long, n long, typical double, combine boolean, tokens array<long>")
-    full = written(full.dropDuplicates(["cls"]), "sets")
-    dropped(several)
+    full = written(full, "sets")
     released(spark)
 
     sig = written(full.filter("combine").select("cls", "typical", "tokens").mapInArrow(_signatures(percent), "sig long, cls long, typical double"), "signatures")
     hubs = sig.groupBy("sig").agg(F.count("*").alias("n"), F.max_by("cls", F.struct("typical", "cls")).alias("hub")).filter("n > 1")
     hubs = written(hubs, "hubs")
     stars = sig.join(hubs.select("sig", "hub"), "sig").select(F.col("hub").alias("u"), F.col("cls").alias("v")).filter("u <> v")
-    links = written(_verified(near.unionByName(stars), full, percent), "links")
+    # one candidate a text is enough to contract most groups; the rest is compared only across components
+    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = written(_verified(first.unionByName(stars), full, percent), "links")
     labels = written(components(links), "labels")
     released(spark)
 
     short = sig.join(hubs.filter(F.col("n") <= rare).select("sig"), "sig", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set("cls")).alias("members"))
-    short = _short_lists(lists.unionByName(short.select("members")), labels)
-    more = written(_verified(short, full, percent), "links")
+    rest = _across(pairs, labels).unionByName(_short_lists(short, labels))
+    more = written(_verified(rest, full, percent), "links")
     long_ = _long_lists(sig.join(hubs.filter(F.col("n") > rare).select("sig"), "sig", "left_semi"), labels, full, percent)
     more_long = written(long_.distinct(), "links")
     labels = components(links.unionByName(more).unionByName(more_long))
