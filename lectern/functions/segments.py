@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
 from itertools import groupby
 
 from lectern.functions.lists import COMPLETE_PHRASES, CONTINUERS, EMPHATIC, FILLERS, INCOMPLETE, PREDICATES, SUBJECTS
@@ -28,6 +29,19 @@ def seq_ratio(a, b) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def ratio_from(a, b, least: float) -> float:
+    """``seq_ratio`` where it may reach ``least``, else 0: sizes and shared elements bound it from above."""
+    total = len(a) + len(b)
+    if total and 2 * min(len(a), len(b)) < least * total:
+        return 0.0
+    if total:
+        have = Counter(b)
+        shared = sum(min(n, have[x]) for x, n in Counter(a).items())
+        if 2 * shared < least * total:
+            return 0.0
+    return seq_ratio(a, b)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * longest common subsequence / total length; 100 for two empty texts."""
     if not a and not b:
@@ -63,11 +77,11 @@ def collapse_words(text: str) -> tuple[str, int]:
     return " ".join(kept), cuts
 
 
-def _phrase_likeness(a: list[str], b: list[str]) -> float:
+def _phrase_likeness(a: list[str], b: list[str], alike: float) -> float:
     if a == b:
         return 1.0
     x, y = [_bare(w) for w in a], [_bare(w) for w in b]
-    return 0.95 if x == y else seq_ratio(" ".join(x), " ".join(y))
+    return 0.95 if x == y else ratio_from(" ".join(x), " ".join(y), alike)
 
 
 def collapse_phrases(text: str, longest: int = 5, alike: float = 0.8) -> tuple[str, int]:
@@ -79,7 +93,7 @@ def collapse_phrases(text: str, longest: int = 5, alike: float = 0.8) -> tuple[s
         i = 0
         while i + 2 * n <= len(words):
             a, b = words[i : i + n], words[i + n : i + 2 * n]
-            if _phrase_likeness(a, b) >= alike and " ".join(a).lower() not in EMPHATIC:
+            if _phrase_likeness(a, b, alike) >= alike and " ".join(a).lower() not in EMPHATIC:
                 del words[i + n : i + 2 * n]
                 cuts += 1
             else:
@@ -93,7 +107,7 @@ def clean_repetitions(text: str, context: list[str]) -> tuple[str, int]:
     out, more = collapse_phrases(out)
     n += more
     words = out.split()
-    near = max((seq_ratio(words, old.split()) for old in reversed(context)), default=0.0)
+    near = max((ratio_from(words, old.split(), 0.9) for old in reversed(context)), default=0.0)
     if near > 0.9 and not any(w.lower() in EMPHATIC for w in words[:3]):
         out, n = "", n + 1
     out = tidy(out)
@@ -128,7 +142,7 @@ def clean_against_history(text: str, history: list[str], alike: float = 0.7) ->
             out = " ".join(rest[run[0] :] if run[1] else rest[: -run[0]])
             action, found = "cleaned", found + 1
             continue
-        ratio = seq_ratio(now, old) if now and old else 0.0
+        ratio = ratio_from(now, old, alike) if now and old else 0.0
         if ratio > alike:
             found += 1
             if ratio > 0.9:

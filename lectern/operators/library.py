@@ -67,19 +67,12 @@ def dictionary(spark) -> DataFrame:
 
 def fuzzy_corrections(words: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
     """word -> term for distinct words of three characters and more within a distance. Words and terms meet on their
-    deletion variants (equal after at most ``most`` characters are left out of each), not on every pair."""
-    variants = lambda c: F.array_distinct(F.flatten(F.transform(_deleted(c), _deleted))) if most == 2 else F.array_distinct(_deleted(c))
-    left = words.select("word").distinct().filter(F.length("word") >= 3).withColumn("key", F.explode(variants(F.col("word"))))
-    right = terms.select("wrong", "canonical", "entry").withColumn("key", F.explode(variants(F.col("wrong"))))
-    met = left.join(F.broadcast(right), "key").select("word", "wrong", "canonical", "entry").distinct()
-    met = met.withColumn("distance", F.levenshtein("word", "wrong", most)).filter("distance >= 0")
-    best = F.row_number().over(Window.partitionBy("word").orderBy("distance", "entry"))
-    return met.withColumn("_r", best).filter("_r = 1").drop("_r")
-
-
-def _deleted(c: Column) -> Column:
-    """The text itself and with each single character left out."""
-    return F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
+    lengths (which differ by the distance at most), then the distance is taken with a bound. The dictionary is of a
+    fixed size and broadcast; words move once, for their distinctness."""
+    left = words.select("word").distinct().filter(F.length("word") >= 3).withColumn("size", F.length("word"))
+    right = terms.select("wrong", "canonical", "entry", F.explode(F.sequence(F.length("wrong") - most, F.length("wrong") + most)).alias("size"))
+    met = left.join(F.broadcast(right), "size").withColumn("distance", F.levenshtein("word", "wrong", most)).filter("distance >= 0")
+    return met.groupBy("word").agg(F.min_by(F.struct("wrong", "canonical", "entry", "distance"), F.struct("distance", "entry")).alias("best")).select("word", "best.*")
 
 
 def range_join(points: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float = 1.0, key: str | None = None) -> DataFrame:
