@@ -2,7 +2,8 @@
 
 Every run of ``k`` words (an edge of the graph) is assigned to the least of its m-mers, which depends on its words
 alone. Consecutive edges of a text with the same m-mer form a path; equal paths of the whole corpus meet on the
-m-mer's hash (their anchor), so one row stands for about (k - m) / 2 edges.
+m-mer's hash (their anchor), so one row stands for about (k - m) / 2 edges. Equal paths of one document are one row
+with their positions, so lines repeated in a text meet before any shuffle.
 
 1. Anchors that occur once hold no repeated edge; a count with map-side combining finds the others.
 2. Paths of repeated anchors are counted by their content. A path that occurs twice or more is repeated edge by edge.
@@ -78,11 +79,18 @@ def _emit(text: int, k: int, m: int, full: bool):
                 w = words(data, offs, "space", False)
                 anchor, at, edges = _paths(w, k, m)
                 if not full:
-                    yield pa.record_batch([anchor.view(np.int64)], ["anchor"])
+                    kinds, n = np.unique(anchor, return_counts=True)
+                    yield pa.record_batch([kinds.view(np.int64), n], ["anchor", "n"])
                     continue
                 doc = np.searchsorted(w.first, at, "right") - 1
-                size = edges + k - 1
-                cols = [anchor.view(np.int64), Grams(w.hash).at(at, size).view(np.int64), Grams(w.hash, 1).at(at, size).view(np.int64), rid[i + doc], (at - w.first[doc]).astype(np.int32), edges.astype(np.int32)]
+                one, two = Grams(w.hash).at(at, edges + k - 1), Grams(w.hash, 1).at(at, edges + k - 1)
+                order = np.lexsort((at, two, one, doc))
+                one, two, doc, at, anchor, edges = (x[order] for x in (one, two, doc, at, anchor, edges))
+                new = np.ones(len(at), bool)
+                new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1])
+                begin = np.flatnonzero(new)
+                pos = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array((at - w.first[doc]).astype(np.int32)))
+                cols = [anchor[begin].view(np.int64), one[begin].view(np.int64), two[begin].view(np.int64), rid[i + doc[begin]], pos, edges[begin].astype(np.int32)]
                 yield pa.record_batch(cols, ["anchor", "one", "two", "rid", "pos", "edges"])
 
     return run
@@ -120,7 +128,8 @@ def _cut(text: int, k: int, layout: bool):
                 own = marks.slice(i, j - i)
                 flat = own.flatten()
                 doc = np.repeat(np.arange(j - i), own.value_lengths().fill_null(0).to_numpy())
-                pos, mask = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                each = flat.field(0).value_lengths().to_numpy()
+                doc, pos, mask = np.repeat(doc, each), flat.field(0).flatten().to_numpy(), np.repeat(flat.field(1).to_numpy(), each)
                 delta = np.zeros(len(w.hash) + 1, np.int64)
                 for off in range(int(mask.max()).bit_length() if len(mask) else 0):
                     at = (w.first[doc] + pos + off)[(mask >> off) & 1 == 1]
@@ -181,19 +190,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout:
     if k - m + 1 > 31:
         m = k - 30  # a path has at most k - m + 1 edges, the bits of a mask
     base = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "texts")
-    anchors = base.mapInArrow(_emit(text, k, m, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    paths = base.mapInArrow(_emit(text, k, m, True), "anchor long, one long, two long, rid long, pos int, edges int")
+    anchors = base.mapInArrow(_emit(text, k, m, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    anchors = written(anchors, "anchors")  # so that a hot anchor's rows can be split in the join
+    paths = base.mapInArrow(_emit(text, k, m, True), "anchor long, one long, two long, rid long, pos array<int>, edges int")
     paths = written(paths.join(anchors, "anchor", "left_semi"), "paths")
     content = ["anchor", "one", "two"]
-    kinds = written(paths.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("source"), F.min("edges").alias("edges")), "kinds")
+    kinds = written(paths.groupBy(*content).agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("rid", F.element_at("pos", 1).alias("pos"))).alias("source"), F.min("edges").alias("edges")), "kinds")
     branching = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("anchor")
+    branching = written(branching, "branching")
     listed = kinds.join(branching, "anchor", "left_semi").groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "n")).alias("paths"))
     edges = written(base.join(listed, "rid").select("rid", "row", "paths").mapInArrow(_edges(text, k), "one long, two long, n long, rid long, pos int, off int"), "edges")
     again = edges.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
-    single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1, off)")).alias("mask"))
+    single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1, off)")).alias("mask")).select("rid", F.array("pos").alias("pos"), "mask")
     whole = paths.join(kinds.filter("n > 1").select(*content), content, "left_semi").select("rid", "pos", F.expr("shiftleft(1, edges) - 1").alias("mask"))
     marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks")), "marks")
-    dropped(paths, kinds, edges)
+    dropped(anchors, branching, paths, kinds, edges)
     released(spark)
     schema = T.StructType([base.schema["row"], *T._parse_datatype_string("n_words long, kept string, removed_from array<int>, removed_to array<int>").fields])
     return base.join(marks, "rid", "left").select("row", "marks").mapInArrow(_cut(text, k, layout), schema)
