@@ -282,6 +282,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = sig.groupBy("sig").agg(F.count("*").alias("n"), F.max_by("cls", F.struct("typical", "cls")).alias("hub")).filter("n > 1")
     hubs = written(hubs, "hubs")
     stars = sig.join(hubs.select("sig", "hub"), "sig").select(F.col("hub").alias("u"), F.col("cls").alias("v")).filter("u <> v")
+    # a text meets several hubs; the one with which it shares most is enough at first
+    stars = stars.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
     # one candidate a text is enough to contract most groups; the rest is compared only across components
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = written(_verified(first.unionByName(stars), full, percent), "links")
