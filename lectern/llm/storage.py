@@ -44,9 +44,12 @@ def dropped(*tables: DataFrame) -> None:
 def released(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of frames that are no longer referenced."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # frames first, then the shuffles that only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def framed(docs: DataFrame, more: str = ""):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import released, shared_dir, written
+from lectern.llm.storage import dropped, released, shared_dir, written
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -62,6 +62,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     typed = rows.join(best, "digest", "left").withColumn("revisit", F.coalesce(F.col("first") != F.col("rid"), F.lit(False)))
     typed = typed.select("page_id", "url", "digest", "sha1", "payload_bytes", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"))
     typed.select("digest", _headers().alias("headers"), (F.col("record_type") == "revisit").alias("revisit")).write.option("compression", "zstd").parquet(f"{path}/records")
+    dropped(rows)
     base.select("digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
