@@ -123,14 +123,15 @@ def size_classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return b, differ, np.where(differ == 0, 1, differ + 1 + (differ + 3) // 4)
 
 
-def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one text: its token combinations in its own and the next class of sizes."""
+def combinations(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one text, its token combinations in its own and the next class of sizes, and for each the number
+    of equal signatures of that class that a linked text has at least (buckets that both leave empty don't show)."""
     n = len(tokens)
     bounds, differ, buckets = size_classes(percent, n)
     own = int(np.searchsorted(bounds, n, "right")) - 1
-    out = []
+    out, need = [], []
     for s in (own, own + 1):
-        m = int(buckets[s])
+        m, before = int(buckets[s]), sum(map(len, out))
         salt = np.uint64((s + 1) * int(_S1) % (1 << 64))
         bucket = (mix(tokens + salt) % np.uint64(m)).astype(np.int64)
         total, count = np.zeros(m, np.uint64), np.bincount(bucket, minlength=m)
@@ -139,7 +140,8 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
         out.append(mix(total[full] + full.astype(np.uint64) * _S1 + salt))
         if len(full) <= differ[s]:
             out.append(mix(tokens ^ salt))
-    return np.concatenate(out)
+        need.append(np.full(sum(map(len, out)) - before, max(1, len(full) - int(differ[s]))))
+    return np.concatenate(out), np.concatenate(need)
 
 
 def _signatures(percent: int):
@@ -148,9 +150,10 @@ def _signatures(percent: int):
             cls, typical, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             flat, first = tokens.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(tokens.value_lengths().to_numpy())))
             every = [combinations(flat[first[k] : first[k + 1]], percent) for k in range(len(cls))]
-            size = [len(x) for x in every]
+            size = [len(x) for x, _ in every]
             if every:
-                yield pa.record_batch([np.concatenate(every).view(np.int64), np.repeat(cls, size), np.repeat(typical, size)], ["sig", "cls", "typical"])
+                sig, need = (np.concatenate(x) for x in zip(*every, strict=True))
+                yield pa.record_batch([sig.view(np.int64), np.repeat(cls, size), np.repeat(typical, size), need], ["sig", "cls", "typical", "need"])
 
     return run
 
@@ -180,7 +183,8 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     for c in ("u", "v"):
         pairs = pairs.join(sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}")), c)
-    pairs = pairs.filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v")
+    # written, so that the planner knows their size: sets don't move for a few pairs
+    pairs = written(pairs.filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v"), "candidates")
     for c in ("u", "v"):
         pairs = pairs.join(full.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")), c)
     return pairs.select("u", "v", "t_u", "t_v").mapInArrow(_linked(percent), "u long, v long")
@@ -225,11 +229,16 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _short_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members in different components, for lists (arrays ``members``) of bounded length."""
-    lists = lists.select("members").distinct().withColumn("list", F.xxhash64("members"))
-    held = lists.select("list", F.explode("members").alias("node")).join(labels, "node", "left").select("list", F.struct(F.coalesce("component", "node").alias("c"), "node").alias("x"))
-    held = held.groupBy("list").agg(F.collect_set("x").alias("xs"), F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).filter("lo < hi")
-    return held.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).filter("a.node < b.node AND a.c <> b.c").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    """Pairs of members in different components that share as many combinations as linked texts must, for lists (arrays
+    ``members`` of cls and need) of bounded length. All that a pair shares is counted here, or it also meets in a long
+    list and is compared there."""
+    lists = lists.groupBy("members").agg(F.count("*").alias("m")).withColumn("list", F.xxhash64("members"))
+    held = lists.select("list", "m", F.explode("members").alias("x")).select("list", "m", F.col("x.cls").alias("node"), "x.need").join(labels, "node", "left")
+    held = held.select("list", "m", F.struct(F.coalesce("component", "node").alias("c"), "node", "need").alias("x"))
+    held = held.groupBy("list", "m").agg(F.collect_set("x").alias("xs"), F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).filter("lo < hi")
+    met = held.select(F.explode("xs").alias("a"), "xs", "m").select("a", F.explode("xs").alias("b"), "m").filter("a.node < b.node AND a.c <> b.c")
+    met = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.greatest("a.need", "b.need").alias("need")).agg(F.sum("m").alias("m"))
+    return met.filter("m >= need").select("u", "v")
 
 
 def _long_lists(sig: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -252,12 +261,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = written(base.mapInArrow(_scan(shingle, percent), "doc_id long, n long, n_low long, cls long, two long, token long, low boolean"), "scan")
-    members = scan.filter("n IS NOT NULL").select("doc_id", "n", "n_low", "cls", "two")
+    members = written(scan.filter("n IS NOT NULL").select("doc_id", "n", "n_low", "cls", "two"), "members")
     tokens = scan.filter("n IS NULL").select("token", "cls", "low")
 
     shared = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).filter("u < v"), "shared")
+    released(spark)
     several = tokens.join(shared.filter("n > 2").select("token", (F.col("n") > rare).alias("frequent")), "token")
     several = written(several.distinct(), "several")
+    dropped(scan)
+    released(spark)
     frequent = several.filter("frequent AND low").groupBy("cls").agg(F.count("*").alias("n_frequent"))
     classes = members.filter("n > 0").groupBy("cls", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.max("n_low").alias("n_low"))
     # of a text's rare tokens in its zone, a partner lacks ``missing`` at most
@@ -278,7 +290,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     full = written(full, "sets")
     released(spark)
 
-    sig = written(full.filter("combine").select("cls", "typical", "tokens").mapInArrow(_signatures(percent), "sig long, cls long, typical double"), "signatures")
+    sig = written(full.filter("combine").select("cls", "typical", "tokens").mapInArrow(_signatures(percent), "sig long, cls long, typical double, need long"), "signatures")
     hubs = sig.groupBy("sig").agg(F.count("*").alias("n"), F.max_by("cls", F.struct("typical", "cls")).alias("hub")).filter("n > 1")
     hubs = written(hubs, "hubs")
     stars = sig.join(hubs.select("sig", "hub"), "sig").select(F.col("hub").alias("u"), F.col("cls").alias("v")).filter("u <> v")
@@ -290,12 +302,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = written(components(links), "labels")
     released(spark)
 
-    short = sig.join(hubs.filter(F.col("n") <= rare).select("sig"), "sig", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set("cls")).alias("members"))
+    short = sig.join(hubs.filter(F.col("n") <= rare).select("sig"), "sig", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("cls", "need"))).alias("members"))
     rest = _across(pairs, labels).unionByName(_short_lists(short, labels))
     more = written(_verified(rest, full, percent), "links")
     long_ = _long_lists(sig.join(hubs.filter(F.col("n") > rare).select("sig"), "sig", "left_semi"), labels, full, percent)
     more_long = written(long_.distinct(), "links")
-    labels = components(links.unionByName(more).unionByName(more_long))
+    first_labels, labels = labels, written(components(links.unionByName(more).unionByName(more_long)), "labels")
+    dropped(classes, pairs, full, sig, hubs, links, more, more_long, first_labels)
+    released(spark)
 
     # classes to documents: a component's id is its least document
     named = members.groupBy("cls", "two", "n").agg(F.min("doc_id").alias("least")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "two", "n", F.coalesce("component", "cls").alias("component"), F.col("component").isNotNull().alias("linked"), "least")

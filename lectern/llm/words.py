@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xC2B2AE3D27D4EB4F))
 _powers: dict[int, np.ndarray] = {}
 
