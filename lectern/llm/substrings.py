@@ -32,6 +32,8 @@ from lectern.llm.storage import dropped, released, written
 from lectern.llm.words import Grams, Words, parts, starts, words
 
 K, M = 35, 10
+#: Bits of the filter that tells which documents have rows in another table; 2 MB, whatever the input.
+BITS = 1 << 24
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -182,6 +184,16 @@ def _kept(data: np.ndarray, offs: np.ndarray, w: Words, gone: np.ndarray, layout
     return [out[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _perhaps_in(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """``base`` with ``met``: false only for documents without a row in ``rows`` (by rid). The filter is one bitmap of a
+    fixed size, so it can be broadcast; once it fills up, more documents are met than need be, never fewer."""
+    h = F.pmod(F.xxhash64("rid"), F.lit(BITS))
+    bits = rows.select((h / 32768).cast("long").alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.expr("conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, CAST(bit % 8 AS INT))")) > 0
+    out = base.withColumn("page", (h / 32768).cast("long")).withColumn("bit", h % 32768).join(F.broadcast(bits), "page", "left")
+    return out.select(*base.columns, F.coalesce(bit, F.lit(False)).alias("met"))
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout: bool = False) -> DataFrame:
     """``row`` (all columns of a document), n_words, kept (its remaining words, joined by one space or as laid out),
     removed_from/removed_to (runs of removed words)."""
@@ -199,15 +211,22 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout:
     branching = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("anchor")
     branching = written(branching, "branching")
     listed = kinds.join(branching, "anchor", "left_semi").groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "n")).alias("paths"))
-    edges = written(base.join(listed, "rid").select("rid", "row", "paths").mapInArrow(_edges(text, k), "one long, two long, n long, rid long, pos int, off int"), "edges")
+    listed = written(listed, "listed")
+    released(spark)
+    # texts of documents without such a path don't move
+    edges = written(_perhaps_in(base, listed).filter("met").join(listed, "rid").select("rid", "row", "paths").mapInArrow(_edges(text, k), "one long, two long, n long, rid long, pos int, off int"), "edges")
+    released(spark)
     again = edges.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
     single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1, off)")).alias("mask")).select("rid", F.array("pos").alias("pos"), "mask")
     whole = paths.join(kinds.filter("n > 1").select(*content), content, "left_semi").select("rid", "pos", F.expr("shiftleft(1, edges) - 1").alias("mask"))
     marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks")), "marks")
-    dropped(anchors, branching, paths, kinds, edges)
+    dropped(anchors, branching, paths, kinds, listed, edges)
     released(spark)
     schema = T.StructType([base.schema["row"], *T._parse_datatype_string("n_words long, kept string, removed_from array<int>, removed_to array<int>").fields])
-    return base.join(marks, "rid", "left").select("row", "marks").mapInArrow(_cut(text, k, layout), schema)
+    flagged = _perhaps_in(base, marks)
+    untouched = flagged.filter("NOT met").select("row", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
+    every = flagged.filter("met").join(marks, "rid", "left").select("row", "marks").unionByName(untouched)
+    return every.mapInArrow(_cut(text, k, layout), schema)
 
 
 def n_removed():
