@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Bounds of what Python and the JVM hold at once of texts and sets, while a table is written.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,12 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hold the session to the bounds of ``_BATCH``, and give it back its own after that."""
+    own = {k: spark.conf.get(k) for k in _BATCH}
+    for k, v in _BATCH.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, so a lost
     executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out
