@@ -5,12 +5,15 @@ tanh, and a two-level softmax (class, then word in class) gives the token's prob
 of its tokens' conditional log-probabilities.
 
 Vocabulary: word counts over all documents; the most frequent words have a token each, the others share ``REST``
-tokens by hash. Training: in each round every partition starts from the common weights, passes over all its documents
+tokens by hash. Such a word's probability is that of its shared token times its own share of the token's occurrences,
+n(word) / n(token), from the counts of every word. These grow with the corpus, so they stay a table: the words of a
+batch of documents meet their counts by ranges of hashes, and only sums by document come back. Training: in each round every partition starts from the common weights, passes over all its documents
 (an eighth of the positions, drawn by hash, differs by round) with Adagrad, and sends its weights; the mean, weighted
 by positions, is taken by a grouped aggregation, one row a weight, so what reaches the driver has a fixed size.
 
 Edge cases: null and empty texts have no tokens and a score of 0 (mean null); texts shorter than a window see the
-boundary token; repeated rows score alike; an empty table trains nothing; other columns travel in ``row``.
+boundary token; repeated rows score alike; an empty table trains nothing; other columns travel in ``row``; a word
+without a count (the counts being of other documents) counts as seen once.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import framed
+from lectern.llm.storage import framed, written
 from lectern.llm.words import Words, mix, parts, words
 
 SIDE, WIDTH, CLASSES, EACH, REST, ROUNDS, SHARE, BATCH, RATE = 2, 24, 16, 32, 64, 2, 8, 2048, 0.15
@@ -33,6 +37,8 @@ SHAPES = {"e": (len(PLACES), SIZE + 1, WIDTH), "b": (WIDTH,), "wc": (WIDTH, CLAS
 N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
 #: Words gathered before their counts are sent on.
 _GATHER = 1 << 21
+#: Occurrences of rare words that meet their counts at once, about, and the least number of such ranges of hashes.
+_RANGE, _RANGES = 1 << 22, 32
 
 
 @dataclass
@@ -150,14 +156,33 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent words of all documents, and their tokens (0 is the most frequent)."""
-    n = docs.select(text_col).mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = np.array([r.hash for r in n.orderBy(F.desc("n"), "hash").limit(SIZE - REST).collect()], np.int64).view(np.uint64)
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """hash and n of every word of all documents."""
+    return written(docs.select(text_col).mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent words, and their tokens (0 is the most frequent)."""
+    top = np.array([r.hash for r in counts.orderBy(F.desc("n"), "hash").limit(SIZE - REST).collect()], np.int64).view(np.uint64)
     order = np.argsort(top)
     return top[order], order
 
 
+def rest_counts(counts: DataFrame, net: Net) -> np.ndarray:
+    """Occurrences of each shared token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE)
+        for batch in batches:
+            total += np.bincount(net.tokens(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy(), SIZE)
+        yield pa.record_batch([np.arange(REST, dtype=np.int32), total[-REST:].astype(np.int64)], ["rest", "n"])
+
+    out = np.zeros(REST, np.int64)
+    for r in counts.select("hash", "n").mapInArrow(run, "rest int, n long").groupBy("rest").agg(F.sum("n").alias("n")).collect():
+        out[r.rest] = r.n
+    return out
+
+
 def _trained(net: Net, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Net(net.flat.copy(), net.known, net.token), 0
@@ -190,8 +215,8 @@ def _trained(net: Net, turn: int):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Net:
-    net = start(*vocabulary(docs, text_col))
+def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Net:
+    net = start(*vocabulary(word_counts(docs, text_col) if counts is None else counts))
     for turn in range(ROUNDS):
         got = docs.select(text_col).mapInArrow(_trained(net, turn), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
         if not got:
@@ -202,16 +227,66 @@ def train(docs: DataFrame, text_col: str = "text") -> Net:
     return net
 
 
-def scored(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns), n_tokens and log_likelihood, the sum of the tokens' conditional log-probabilities."""
-    text = docs.columns.index(text_col)
+def _packed(hashes: np.ndarray, doc: np.ndarray, ranges: int, rows: int) -> pa.ListArray:
+    """Rare words of a batch of documents by ranges of hashes, all in its first row: each word once, how often it
+    occurs, and the numbers of the documents it occurs in."""
+    order = np.argsort(hashes, kind="stable")
+    own, first, times = np.unique(hashes[order], return_index=True, return_counts=True)
+    doc, times, bounds = doc[order].astype(np.int32), times.astype(np.int32), np.append(first, len(order))
+    place = (((own >> 32) + (1 << 31)) * ranges) >> 32
+    found, begin = np.unique(place, return_index=True)
+    ends = np.append(begin, len(own))
+    cuts = list(zip(ends[:-1], ends[1:], strict=True))
+    packs = pa.StructArray.from_arrays(
+        [pa.array(found.astype(np.int32)), *(pa.array([x.tobytes() for x in each], pa.binary()) for each in ([own[a:b] for a, b in cuts], [times[a:b] for a, b in cuts], [doc[bounds[a] : bounds[b]] for a, b in cuts]))],
+        ["place", "words", "times", "docs"],
+    )
+    return pa.ListArray.from_arrays(pa.array([0] + [len(found)] * rows, pa.int32()), packs)
+
+
+def _shares(rest: np.ndarray):
+    """Of the packed words of each batch, by document, the sum of log(n(word) / n(shared token))."""
+    log_rest = np.log(np.maximum(rest, 1))
+
+    def run(packs: pa.Table, counts: pa.Table) -> pa.Table:
+        known, n = counts["hash"].to_numpy(), counts["n"].to_numpy()
+        order = np.argsort(known)
+        known, log_n = np.append(known[order], 0), np.append(np.log(n[order]), 0.0)
+        docs, sums = [], []
+        for words_, times, doc in zip(*(packs[c].to_pylist() for c in ("words", "times", "docs")), strict=True):
+            own, doc = np.frombuffer(words_, np.int64), np.frombuffer(doc, np.int32)
+            at = np.searchsorted(known[:-1], own)
+            value = np.where(known[at] == own, log_n[at], 0.0) - log_rest[(mix(own.view(np.uint64)) % np.uint64(REST)).astype(np.int64)]
+            some = np.flatnonzero(np.bincount(doc)).astype(np.int32)
+            docs.append(some.tobytes())
+            sums.append(np.bincount(doc, np.repeat(value, np.frombuffer(times, np.int32)))[some].tobytes())
+        return pa.table([packs["batch"].combine_chunks(), pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], ["batch", "docs", "sums"])
+
+    return run
+
+
+def _summed(packs: pa.Table) -> pa.Table:
+    """The sums of a batch's documents over all ranges."""
+    docs = [np.frombuffer(x, np.int32) for x in packs["docs"].to_pylist()]
+    doc, value = np.concatenate(docs), np.concatenate([np.frombuffer(x, np.float64) for x in packs["sums"].to_pylist()])
+    some = np.flatnonzero(np.bincount(doc))
+    return pa.table([some + packs["batch"][0].as_py(), np.bincount(doc, value)[some]], ["id", "share"])
+
+
+def scored(docs: DataFrame, net: Net, text_col: str = "text", counts: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (all columns, or those to keep), n_tokens and log_likelihood, the sum of the tokens' conditional
+    log-probabilities. ``counts`` (those of ``docs`` unless given) tell the shared tokens' words apart."""
+    counts = word_counts(docs, text_col) if counts is None else counts
+    rest = rest_counts(counts, net)
+    ranges = max(_RANGES, int(rest.sum()) // _RANGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = net.parts()
+        p, at = net.parts(), TaskContext.get().partitionId() << 40
         for batch in batches:
             row = batch.column(0)
             n, total = np.zeros(len(row), np.int64), np.zeros(len(row))
-            for i, j, data, offs in parts(row.field(text)):
+            rare, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j, data, offs in parts(batch.column(1)):
                 w = words(data, offs, "space", True)
                 token = net.tokens(w.hash)
                 context, logs = contexts(token, w), np.zeros(len(token))
@@ -219,13 +294,26 @@ def scored(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
                     logs[k : k + 8 * BATCH] = forward(p, context[:, k : k + 8 * BATCH], token[k : k + 8 * BATCH])[0]
                 n[i:j] = np.diff(w.first)
                 total[i:j] = np.bincount(w.doc, logs, j - i)
-            yield pa.record_batch([row, pa.array(n), pa.array(total)], ["row", "n_tokens", "log_likelihood"])
-
-    frame, schema = framed(docs, "n_tokens long, log_likelihood double")
-    return frame.mapInArrow(run, schema)
+                pick = token >= SIZE - REST
+                rare.append(w.hash[pick].view(np.int64))
+                of.append(w.doc[pick] + i)
+            if len(row):
+                packs = _packed(np.concatenate(rare), np.concatenate(of), ranges, len(row))
+                yield pa.record_batch([row, pa.array(at + np.arange(len(row))), pa.array(np.full(len(row), at)), pa.array(n), pa.array(total), packs], ["row", "id", "batch", "n_tokens", "log_likelihood", "packs"])
+            at += len(row)
+
+    _, schema = framed(docs.select(*(keep or docs.columns)), "id long, batch long, n_tokens long, log_likelihood double, packs array<struct<place:int,words:binary,times:binary,docs:binary>>")
+    frame = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text_col].alias("text"))
+    rows = written(frame.mapInArrow(run, schema), "scored")
+    place = F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * F.lit(ranges).cast("long"), 32).cast("int")
+    packs = rows.select("batch", F.explode("packs").alias("p")).select("batch", "p.*").groupBy("place")
+    met = packs.cogroup(counts.select(place.alias("place"), "hash", "n").groupBy("place")).applyInArrow(_shares(rest), "batch long, docs binary, sums binary")
+    shares = met.groupBy("batch").applyInArrow(_summed, "id long, share double")
+    return rows.join(shares, "id", "left").select("row", "n_tokens", (F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))).alias("log_likelihood"))
 
 
 def op5_masked_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scored(docs, train(docs))
+    counts = word_counts(docs)
+    out = scored(docs, train(docs, counts=counts), counts=counts, keep=["doc_id"])
     return out.select("row.doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))

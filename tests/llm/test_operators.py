@@ -176,6 +176,27 @@ def test_masked_lm(spark):
     assert one[0] == pytest.approx(1.0, abs=1e-4)
 
 
+def test_masked_lm_scores_every_rare_word_by_its_own_count(spark):
+    texts = [*TEXTS, *(prose(s, 300, 1500) for s in range(8)), "w1 rare1 rare1 rare2", "rare2 rare2 w3"]
+    net = masked_lm.train(frame(spark, texts))
+    got = {r.row.doc_id: r.log_likelihood for r in masked_lm.scored(frame(spark, texts), net).collect()}
+    from lectern.llm.words import utf8, words
+    import pyarrow as pa
+
+    each = [words(*utf8(pa.array([t], pa.string()))) for t in texts]
+    every, n = np.unique(np.concatenate([w.hash for w in each]), return_counts=True)
+    count, shared = dict(zip(every.tolist(), n.tolist(), strict=True)), {}
+    assert len(every) > masked_lm.SIZE
+    first = masked_lm.SIZE - masked_lm.REST
+    for h, k in zip(every.tolist(), net.tokens(every).tolist(), strict=True):
+        shared[k] = shared.get(k, 0) + count[h]
+    for d, w in enumerate(each):
+        token = net.tokens(w.hash)
+        want = float(masked_lm.forward(net.parts(), masked_lm.contexts(token, w), token)[0].sum()) if len(token) else 0.0
+        want += sum(np.log(count[h] / shared[k]) for h, k in zip(w.hash.tolist(), token.tolist(), strict=True) if k >= first)
+        assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 @pytest.mark.skipif(not os.path.exists(sentencepiece_codec.MODEL), reason="no tokenizer model")
 def test_sentencepiece(spark):
     odd = ["", "  a  b ", "▁x", "a\tb\n\nc", "日本語 ☃ 🙂", "<s> </s><unk>", "   ", "x" * 300, "a ▁ b", *(t or "" for t in TEXTS)]
