@@ -7,9 +7,12 @@ of its tokens' conditional log-probabilities.
 Vocabulary: word counts over all documents; the most frequent words have a token each, the others share ``REST``
 tokens by hash. Such a word's probability is that of its shared token times its own share of the token's occurrences,
 n(word) / n(token), from the counts of every word. These grow with the corpus, so they stay a table: the words of a
-batch of documents meet their counts by ranges of hashes, and only sums by document come back. Training: in each round every partition starts from the common weights, passes over all its documents
-(an eighth of the positions, drawn by hash, differs by round) with Adagrad, and sends its weights; the mean, weighted
-by positions, is taken by a grouped aggregation, one row a weight, so what reaches the driver has a fixed size.
+batch of documents meet their counts by ranges of hashes, and only sums by document come back.
+
+Training: in each round every partition starts from the common weights, passes over all its documents (one in ``SHARE``
+of the positions, drawn by hash, others in each round, so that the rounds together train on every position once) with
+Adagrad, and sends its weights; the mean, weighted by positions, is taken by a grouped aggregation, one row a weight,
+so what reaches the driver has a fixed size.
 
 Edge cases: null and empty texts have no tokens and a score of 0 (mean null); texts shorter than a window see the
 boundary token; repeated rows score alike; an empty table trains nothing; other columns travel in ``row``; a word
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm.storage import framed, written
 from lectern.llm.words import Words, mix, parts, words
 
-SIDE, WIDTH, CLASSES, EACH, REST, ROUNDS, SHARE, BATCH, RATE = 2, 24, 16, 32, 64, 2, 8, 2048, 0.15
+SIDE, WIDTH, CLASSES, EACH, REST, ROUNDS, SHARE, BATCH, RATE = 2, 24, 16, 32, 64, 2, 2, 2048, 0.15
 SIZE = CLASSES * EACH
 PLACES = [d for d in range(-SIDE, SIDE + 1) if d]
 SHAPES = {"e": (len(PLACES), SIZE + 1, WIDTH), "b": (WIDTH,), "wc": (WIDTH, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, WIDTH, EACH), "bw": (CLASSES, EACH)}
@@ -183,6 +186,11 @@ def rest_counts(counts: DataFrame, net: Net) -> np.ndarray:
     return out
 
 
+def drawn(hashes: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
+    """Which tokens (by word and place in the text) a round trains on; each is in one of ``SHARE`` rounds."""
+    return np.flatnonzero(mix(hashes + place.astype(np.uint64)) % np.uint64(SHARE) == np.uint64(turn % SHARE))
+
+
 def _trained(net: Net, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Net(net.flat.copy(), net.known, net.token), 0
@@ -195,7 +203,7 @@ def _trained(net: Net, turn: int):
                 token = own.tokens(w.hash)
                 context = contexts(token, w)
                 place = np.arange(len(token)) - np.repeat(w.first[:-1], np.diff(w.first))
-                pick = np.flatnonzero(mix(w.hash + place.astype(np.uint64)) % np.uint64(SHARE) == np.uint64(turn % SHARE))
+                pick = drawn(w.hash, place, turn)
                 wait.append((context[:, pick], token[pick]))
                 held += len(pick)
                 if held >= BATCH:

@@ -197,6 +197,19 @@ def test_masked_lm_scores_every_rare_word_by_its_own_count(spark):
         assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
+def test_masked_lm_trains_on_every_position_once(monkeypatch):
+    import pyarrow as pa
+
+    step, sizes, texts = masked_lm.step, [], [*TEXTS, *(prose(s, 400, 30) for s in range(5))]
+    monkeypatch.setattr(masked_lm, "step", lambda net, grad2, context, token: (sizes.append(len(token)), step(net, grad2, context, token)))
+    net = masked_lm.start(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for turn in range(masked_lm.ROUNDS):
+        list(masked_lm._trained(net, turn)(iter([pa.record_batch([pa.array(texts, pa.string())], ["text"])])))
+    assert sum(sizes) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts)
+    hashes, place = np.arange(1000, dtype=np.uint64) // np.uint64(7), np.arange(1000)
+    assert np.sort(np.concatenate([masked_lm.drawn(hashes, place, turn) for turn in range(masked_lm.ROUNDS)])).tolist() == place.tolist()
+
+
 @pytest.mark.skipif(not os.path.exists(sentencepiece_codec.MODEL), reason="no tokenizer model")
 def test_sentencepiece(spark):
     odd = ["", "  a  b ", "▁x", "a\tb\n\nc", "日本語 ☃ 🙂", "<s> </s><unk>", "   ", "x" * 300, "a ▁ b", *(t or "" for t in TEXTS)]
