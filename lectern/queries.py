@@ -140,16 +140,22 @@ def srt_lines(spark, sf):
 _FRAMES_SQL = "f AS (SELECT n AS frame, n / 4.0::DOUBLE AS t FROM unnest(generate_series(0, 79)) AS g(n))"
 
 
+def _frames(captions: DataFrame) -> DataFrame:
+    """Four frames a second up to the last caption's end; the SQL's axis ends at frame 79, 19.75 s."""
+    last = captions.agg(F.floor(F.max("e") * 4).alias("last"))
+    return last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame")).withColumn("t", F.col("frame") / 4.0)
+
+
 @query(f"WITH {_CAPTIONS_SQL}, {_FRAMES_SQL} SELECT conv_id, id, frame, round(greatest(0.1, least(1.0, (t - s) / 0.1, (e - t) / 0.1))::DOUBLE, 6) AS fade FROM c JOIN f ON s <= t AND t <= e")
 def caption_active_frames(spark, sf):
-    frames = spark.range(80).select(F.col("id").alias("frame"), (F.col("id") / 4.0).alias("t"))
-    return L.range_join(frames, _captions(spark, sf), "t", "s", "e", 2.0).select("conv_id", "id", "frame", F.round(C.fade(F.col("t"), F.col("s"), F.col("e")), 6).alias("fade"))
+    captions = _captions(spark, sf)
+    return L.range_join(_frames(captions), captions, "t", "s", "e", 2.0).select("conv_id", "id", "frame", F.round(C.fade(F.col("t"), F.col("s"), F.col("e")), 6).alias("fade"))
 
 
 @query(f"WITH {_CAPTIONS_SQL}, {_FRAMES_SQL} SELECT conv_id, frame, max(id) AS latest FROM c JOIN f ON s <= t AND t <= e GROUP BY ALL")
 def latest_caption_asof(spark, sf):
-    frames = spark.range(80).select(F.col("id").alias("frame"), (F.col("id") / 4.0).alias("t"))
-    return L.range_join(frames, _captions(spark, sf), "t", "s", "e", 2.0).groupBy("conv_id", "frame").agg(F.max_by("id", "s").alias("latest"))
+    captions = _captions(spark, sf)
+    return L.range_join(_frames(captions), captions, "t", "s", "e", 2.0).groupBy("conv_id", "frame").agg(F.max_by("id", "s").alias("latest"))
 
 
 @query(f"WITH {_CAPTIONS_SQL}, d AS (SELECT conv_id, conv_id * 100000 + id AS id, s, e FROM c) SELECT id FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE a.conv_id = b.conv_id AND a.id > b.id AND a.s < b.e + 1 AND a.e > b.s - 1)")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import queries as Q
 from lectern.functions import columns as C
 from lectern.functions import segments as S
 from lectern.operators import library as L
@@ -80,3 +81,19 @@ def test_glossary(spark):
     got = {r.token: r for r in L.glossary(spark.createDataFrame(rows, "seq long, text string, chapter int, source string"), "text", "seq", "chapter", "source").collect()}
     assert got["Krishna"].n == 2 and got["Krishna"].chapters == [2] and got["Krishna"].sources == ["test"]
     assert got["Krishna"].contexts == ["Krishna speaks to Arjuna.", "About Krishna"] and "to" not in got
+
+
+def test_captions_meet_every_frame_of_a_long_conversation(spark, tmp_path):
+    turns = [(c, n, " ".join(["w"] * (3 + 5 * ((n + c) % 5)))) for c, last in ((1, 30), (2, 3), (3, 8)) for n in range(last)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    fades, latest = {}, {}
+    for c, n, x in turns:
+        s = n * 2.5
+        e = s + min(4.0, max(1.5, len(x.split(" ")) / 4))
+        for frame in range(1000):
+            t = frame / 4
+            if s <= t <= e:
+                fades[c, n, frame] = round(max(0.1, min(1.0, (t - s) / 0.1, (e - t) / 0.1)), 6)
+                latest[c, frame] = max(n, latest.get((c, frame), 0))
+    assert {(r.conv_id, r.id, r.frame): r.fade for r in Q.caption_active_frames(spark, str(tmp_path)).collect()} == fades
+    assert {(r.conv_id, r.frame): r.latest for r in Q.latest_caption_asof(spark, str(tmp_path)).collect()} == latest
