@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.lists import CANONICAL, STOP_WORDS
-from lectern.functions.segments import clean_against_history, clean_repetitions, sentences
+from lectern.functions.segments import clean_against_history, clean_repetitions, indel_ratio, sentences
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -65,14 +65,21 @@ def dictionary(spark) -> DataFrame:
     return spark.createDataFrame([(w, c, i) for i, (w, c) in enumerate(CANONICAL.items())], "wrong string, canonical string, entry int")
 
 
-def fuzzy_corrections(words: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
-    """word -> term for distinct words of three characters and more within a distance. Words and terms meet on their
-    lengths (which differ by the distance at most), then the distance is taken with a bound. The dictionary is of a
-    fixed size and broadcast; words move once, for their distinctness."""
+def fuzzy_corrections(words: DataFrame, terms: DataFrame, most: int = 2, least: float = 80.0) -> DataFrame:
+    """word -> term for distinct words of three characters and more within a distance and of an Indel ratio of ``least``
+    at least; of several terms the one with the best ratio, then the first entry. Words and terms meet on their lengths
+    (which differ by the distance at most), then the distance is taken with a bound, and the ratio of what is left. The
+    dictionary is of a fixed size and broadcast; words move once, for their distinctness."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
     left = words.select("word").distinct().filter(F.length("word") >= 3).withColumn("size", F.length("word"))
     right = terms.select("wrong", "canonical", "entry", F.explode(F.sequence(F.length("wrong") - most, F.length("wrong") + most)).alias("size"))
     met = left.join(F.broadcast(right), "size").withColumn("distance", F.levenshtein("word", "wrong", most)).filter("distance >= 0")
-    return met.groupBy("word").agg(F.min_by(F.struct("wrong", "canonical", "entry", "distance"), F.struct("distance", "entry")).alias("best")).select("word", "best.*")
+    near = met.withColumn("ratio", ratio("word", "wrong")).filter(F.col("ratio") >= least)
+    return near.groupBy("word").agg(F.min_by(F.struct("wrong", "canonical", "entry", "distance"), F.struct(-F.col("ratio"), "entry")).alias("best")).select("word", "best.*")
 
 
 def range_join(points: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float = 1.0, key: str | None = None) -> DataFrame:

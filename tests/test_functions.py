@@ -69,6 +69,28 @@ def test_fuzzy_corrections_find_every_near_term(spark):
     assert got == want
 
 
+def test_fuzzy_corrections_keep_the_best_ratio(spark):
+    def common(a, b):
+        return 0 if not a or not b else common(a[1:], b[1:]) + 1 if a[0] == b[0] else max(common(a[1:], b), common(a, b[1:]))
+
+    def within(a, b, most):
+        if not a or not b:
+            return len(a) + len(b) <= most
+        return within(a[1:], b[1:], most) if a[0] == b[0] else most > 0 and any(within(x, y, most - 1) for x, y in ((a[1:], b), (a, b[1:]), (a[1:], b[1:])))
+
+    words = ["gnu", "jara", "erie", "gta", "kirma", "dharna", "abxyefg", "yogx", "xkirtan", "mantraas", "abcde", "ab", "karm", "pqrstu"]
+    entries = ["pqrstv", "pqrstuyz", "abcdefg", "abyzefg", "abxzyefg", *(r.wrong for r in L.dictionary(spark).orderBy("entry").collect())]
+    terms = spark.createDataFrame([(t, t.upper(), i) for i, t in enumerate(entries)], "wrong string, canonical string, entry int")
+    got = {r.word: r.wrong for r in L.fuzzy_corrections(spark.createDataFrame([(w,) for w in words], "word string"), terms).collect()}
+    want = {}
+    for w in words:
+        near = sorted((-200 * common(w, t) / (len(w) + len(t)), i, t) for i, t in enumerate(entries) if len(w) >= 3 and within(w, t, 2) and 10 * common(w, t) >= 4 * (len(w) + len(t)))
+        if near:
+            want[w] = near[0][2]
+    assert got == want
+    assert not {"gnu", "jara", "erie"} & set(got) and got["abxyefg"] == "abxzyefg" and got["karm"] == "karm" and got["pqrstu"] == "pqrstuyz"
+
+
 def test_range_join_equals_the_plain_condition(spark):
     points = spark.createDataFrame([(i / 3,) for i in range(60)], "t double")
     spans = spark.createDataFrame([(k, k * 1.7, k * 1.7 + (k % 5)) for k in range(12)], "k int, s double, e double")
