@@ -4,7 +4,8 @@ Pages are parsed leniently (unclosed and stray tags, raw elements, comments with
 content (navigation, headers, footers, asides, forms, scripts ...) or are named so (class, id, role) are left out.
 Each paragraph then passes points to its ancestors, one and more for its commas and its length, whole to the parent,
 half to the grandparent and less above; a container's points are discounted by its link density. The best container
-(or the article around it) is kept with the siblings that have a fair part of its points or read like prose.
+(or the article around it) is kept with the siblings that have a fair part of its points or read like prose, and with
+sibling articles. Of a main part (or an article of articles) around it all is kept but links and what is named so.
 
 Edge cases: null and empty pages have an empty text, and so have pages without any block; character references are
 decoded once; white space inside a block (line breaks too) becomes one space; repeated rows give repeated rows.
@@ -218,7 +219,7 @@ def main_nodes(root: Node) -> list[Node]:
     """The best container and the siblings kept with it, in page order."""
     _marked(root)
     text, link = _sizes(root)
-    density = lambda x: link[id(x)] / max(1, text[id(x)])
+    density = lambda x: link.get(id(x), 0) / max(1, text.get(id(x), 0))
     points: dict[int, float] = {}
     nodes: dict[int, Node] = {}
     every = [what for kind, what in _walk(root) if kind == "in"]
@@ -240,21 +241,31 @@ def main_nodes(root: Node) -> list[Node]:
     if not score:
         return [x for x in every if x.tag in ("article", "main")][:1] or [x for x in every if x.tag == "body"][:1] or [root]
     best = max(score, key=score.get)
-    top, node = nodes[best], nodes[best]
+    top, node, near, holder = nodes[best], nodes[best], None, None
     while node is not None:
         if node.tag in ("article", "main") or "role-main" in node.names:
-            return [node]
+            near, holder = near or node, node
         node = node.parent
+    if holder is not None:
+        # up to the outermost article or main part, all stays but links and what is named as no content
+        while near is not holder:
+            for kid in near.parent.kids:
+                if isinstance(kid, Node) and kid is not near and kid.tag not in ("h1", "h2") and (kid.names & NAMES or density(kid) >= (0.5 if kid.tag == "article" else 0.25)):
+                    kid.drop = True
+            near = near.parent
+        if holder.tag != "article" or "role-main" in holder.names:
+            return [holder]
+        top = holder
     if top.tag == "body" or top.parent is None:
         return [top]
     least = max(10.0, 0.2 * score[best])
     kept = []
     for kid in top.parent.kids:
-        if not isinstance(kid, Node) or kid.drop:
+        if not isinstance(kid, Node) or kid.drop or kid is not top and kid.names & NAMES:
             continue
         n, d = text.get(id(kid), 0), density(kid)
         prose = kid.tag == "p" and (n > 80 and d < 0.25 or 0 < n <= 80 and d == 0 and "." in "".join(x for x in kid.kids if isinstance(x, str)))
-        if kid is top or score.get(id(kid), 0) >= least or prose or kid.tag in ("h1", "h2"):
+        if kid is top or score.get(id(kid), 0) >= least or prose or kid.tag in ("h1", "h2") or kid.tag == "article" and d < 0.5:
             kept.append(kid)
     return kept
 

@@ -147,6 +147,17 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<!-- only") == ""
 
 
+def test_html_keeps_the_siblings_of_an_article():
+    a, b, c = (f"{x} " + "some words of prose, and more of them. " * 8 for x in ("First", "Second", "Third"))
+    text = lambda *x: "\n".join(" ".join(t.split()) for t in x)
+    two = f"<article><p>{a}</p><p>{b}</p></article><article><p>{c}</p></article>"
+    for page in (f"<main>{two}</main>", f"<div role=main><div>{two}</div></div>", f"<div>{two}</div>", two):
+        assert html_text.main_text(f"<html><body><nav>n</nav>{page}<footer>f</footer></body></html>") == text(a, b, c)
+    rest = "<ul><li><a href=x>A link</a></li></ul><div class=comments><article><p>A comment.</p></article></div>"
+    page = f"<body><main><h1>Title</h1><p>A short lead</p>loose<div><article><p>{a}</p><p>{b}</p></article></div>{rest}</main><p>Outside main.</p></body>"
+    assert html_text.main_text(page) == text("Title", "A short lead", "loose", a, b)
+
+
 def test_quality_learns():
     r = np.random.default_rng(0)
     good, bad = r.normal(1, 1, (600, quality.N_FEATURES)), r.normal(-1, 1, (200, quality.N_FEATURES))
