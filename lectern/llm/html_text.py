@@ -45,11 +45,12 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "kids", "drop")
+    __slots__ = ("tag", "names", "parent", "kids", "drop", "lang")
 
     def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), drop: bool = False):
         self.tag, self.parent, self.names, self.drop = tag, parent, names, drop
         self.kids: list[Node | str] = []
+        self.lang = ""
 
 
 def _opened(tag: str, attrs: str, parent: Node) -> Node:
@@ -64,7 +65,7 @@ def _opened(tag: str, attrs: str, parent: Node) -> Node:
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page; text is kept as it is."""
+    """The element tree of a page; text is kept as it is, and of html elements the first language declared."""
     root = Node("html", None)
     here, at, n = root, 0, len(page)
     while at < n:
@@ -92,6 +93,8 @@ def parse(page: str) -> Node:
                 here = node.parent
             continue
         if tag == "html":
+            if not root.lang:
+                root.lang = next((m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(m[3]) if m[1].lower() == "lang"), "")
             continue
         if tag not in INLINE:  # a block ends an open paragraph
             node = here
@@ -274,9 +277,14 @@ def _commas(node: Node) -> int:
     return sum(what.count(",") + what.count("،") + what.count("、") + what.count("，") for kind, what in _walk(node) if kind == "text")
 
 
+def main_text_of(root: Node) -> str:
+    """Blocks of a tree's main text, joined by line feeds."""
+    return "\n".join(b for node in main_nodes(root) for b in blocks(node))
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by line feeds."""
-    return "\n".join(b for node in main_nodes(parse(page)) for b in blocks(node)) if page else ""
+    return main_text_of(parse(page)) if page else ""
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:

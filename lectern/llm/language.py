@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.html_text import main_text
+from lectern.llm.html_text import main_text_of, parse
 from lectern.llm.storage import written
 from lectern.llm.words import mix, parts
 
 BUCKETS, TEMPER, STRENGTH = 8192, 0.2, 4.0
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_LANG = re.compile(r"\s*([A-Za-z]+)")
 
 
 def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,18 +84,22 @@ def address(url: str | None) -> tuple[str, str, str]:
     return host, ".".join(labels[-2:]), labels[-1] if labels else ""
 
 
-def declared(page: str | None) -> str:
-    m = _LANG.search(page[:4096]) if page else None
-    return m[1].lower() if m else ""
+def seen(page: str | None) -> tuple[str, str]:
+    """Main text of a page and the language that its html element declares, wherever it stands."""
+    if not page:
+        return "", ""
+    root = parse(page)
+    m = _LANG.match(root.lang)
+    return main_text_of(root), m[1].lower() if m else ""
 
 
 def _evidence(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(table)
         for batch in batches:
-            pages = batch.column(2).to_pylist()
+            pages = [seen(x) for x in batch.column(2).to_pylist()]
             ll = np.zeros((len(pages), k))
-            for i, j, data, offs in parts(pa.array([main_text(x) for x in pages], pa.large_string())):
+            for i, j, data, offs in parts(pa.array([x[0] for x in pages], pa.large_string())):
                 b, doc = trigrams(data, offs)
                 for x in range(k):
                     ll[i:j, x] = TEMPER * np.bincount(doc, table[x][b], j - i)
@@ -103,7 +107,7 @@ def _evidence(table: np.ndarray):
             post = np.exp(ll) / np.exp(ll).sum(1, keepdims=True)
             where = [address(u) for u in batch.column(1).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array([w[0] for w in where]), pa.array([w[1] for w in where]), pa.array([w[2] for w in where]), pa.array([declared(x) for x in pages]), pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(post.tolist(), pa.list_(pa.float64()))],
+                [batch.column(0), pa.array([w[0] for w in where]), pa.array([w[1] for w in where]), pa.array([w[2] for w in where]), pa.array([x[1] for x in pages], pa.string()), pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(post.tolist(), pa.list_(pa.float64()))],
                 ["page_id", "host", "domain", "suffix", "declared", "ll", "post"],
             )
 

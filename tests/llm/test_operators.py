@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from lectern.llm import decontaminate, fingerprints, html_text, jaccard_join, masked_lm, quality, sentencepiece_codec, substrings, warc
+from lectern.llm import decontaminate, fingerprints, html_text, jaccard_join, language, masked_lm, quality, sentencepiece_codec, substrings, warc
 
 SCHEMA = "doc_id long, text string, lang string, row string, n_words long, kept string, score double, marks int"
 
@@ -158,6 +158,16 @@ def test_html_keeps_the_siblings_of_an_article():
     assert html_text.main_text(page) == text("Title", "A short lead", "loose", a, b)
 
 
+def test_language_declared_after_any_preamble(spark):
+    docs = spark.createDataFrame([(0, "the cat and the dog and the house", "en"), (1, "der hund und die katze und das haus", "de")], "doc_id long, text string, lang string")
+    late = "<!-- <html lang=fr> " + "x" * 5000 + " -->" + " " * 5000 + "<!doctype html>"
+    html = [late + '<html class="a" lang="de-AT"><body><p>der hund und das haus</p>', late + "<HTML dir=ltr LANG=en><p>the cat and the house", late + "<html><p>the dog", "<html xml:lang=fr><html lang='de'><p>der hund", None, ""]
+    pages = spark.createDataFrame([(i, f"http://h.{i}.org/", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.identified(pages, docs).collect()}
+    assert [got[i].declared for i in range(len(html))] == ["de", "en", "", "de", "", ""]
+    assert got[0].lang == got[3].lang == "de" and got[1].lang == "en"
+
+
 def test_quality_learns():
     r = np.random.default_rng(0)
     good, bad = r.normal(1, 1, (600, quality.N_FEATURES)), r.normal(-1, 1, (200, quality.N_FEATURES))
