@@ -38,7 +38,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = remove_repeats(docs, layout=True)
     cut = F.size("removed_from") > 0
     text = F.when(cut, F.trim("kept")).otherwise(F.col("row.text"))
-    out = out.filter(~cut | (F.trim("kept") != "")).withColumn("row", F.col("row").withField("text", text))
+    out = out.filter(~cut | F.col("kept").rlike(r"[^\x20\x09-\x0D]")).withColumn("row", F.col("row").withField("text", text))
     return out.select(F.col("row").withField("n_chars", F.when(cut, F.length("row.text").cast("long")).otherwise(F.col("row.n_chars"))).alias("row")).select("row.*")
 
 
