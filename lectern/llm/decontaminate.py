@@ -49,8 +49,8 @@ class Windows:
 def item_windows(rows: list[tuple[str | None, str]], window: int = WINDOW) -> Windows:
     ids, texts = [r[0] for r in rows], pa.array([r[1] for r in rows], pa.large_string())
     data, offs = utf8(texts)
-    w = words(data, offs, "alnum", True)
-    one, two, counts = Grams(w.hash), Grams(w.hash, 1), np.diff(w.first)
+    w = words(data, offs, "alnum", True, True)
+    one, two, counts = Grams(w), Grams(w, 1), np.diff(w.first)
     found: dict[tuple[int, int, int], set] = {}
     where: dict[tuple[int, int, int], int] = {}
     for i, n in enumerate(counts):
@@ -94,7 +94,7 @@ def _counts(lookup: Lookup, sizes: list[int]):
         for batch in batches:
             for _, _, data, offs in parts(batch.column(0)):
                 w = words(data, offs, "alnum", True)
-                grams = Grams(w.hash)
+                grams = Grams(w)
                 for q in sizes:
                     at, _ = starts(w.first, q)
                     _, place = lookup.find(grams.at(at, q))
@@ -132,11 +132,11 @@ def _find(win: Windows, chosen: np.ndarray, text: int):
             row = batch.column(0)
             n_words, hits = np.zeros(len(row), np.int64), [[] for _ in range(len(row))]
             for i, _, data, offs in parts(row.field(text)):
-                w = words(data, offs, "alnum", True)
+                w = words(data, offs, "alnum", True, True)
                 n_words[i : i + len(offs) - 1] = np.diff(w.first)
                 if not len(live):
                     continue
-                one, doc = Grams(w.hash), w.doc
+                one, doc = Grams(w), w.doc
                 two = None
                 for q in sizes:
                     at, _ = starts(w.first, q)
@@ -153,7 +153,7 @@ def _find(win: Windows, chosen: np.ndarray, text: int):
                     start, size, id_, d = start[keep], size[keep], id_[keep], d[keep]
                     keep = one.at(start, size) == win.one[id_]
                     start, size, id_, d = start[keep], size[keep], id_[keep], d[keep]
-                    two = two or Grams(w.hash, 1)
+                    two = two or Grams(w, 1)
                     keep = two.at(start, size) == win.two[id_]
                     for s, n, k, x in zip(start[keep].tolist(), size[keep].tolist(), id_[keep].tolist(), d[keep].tolist(), strict=True):
                         hits[i + x].append((s - int(w.first[x]), s - int(w.first[x]) + n, k))

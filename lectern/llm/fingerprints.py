@@ -1,12 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Each paragraph (text between line feeds) is hashed to a vector of 16-bit lanes; a document's fingerprint is the sum
-of its paragraphs' vectors modulo 2**16. So the order of paragraphs doesn't matter, and inserting or deleting one is
+Each paragraph (text between line feeds) is hashed to a vector of lanes; a document's fingerprint is the sum of its
+paragraphs' vectors modulo 2**16 (2**32 for the lanes of the second part). So the order of paragraphs doesn't matter, and inserting or deleting one is
 an addition or subtraction (``add``, ``remove``), without the rest of the text.
 
 A vector has two parts. The first ``EQUAL`` lanes are uniform bits of the whole paragraph (SHAKE128): they decide
 equality. The last ``LIKE`` lanes are the paragraph's signed word-triple counts (each triple adds or takes one in one
-lane): sums of these stay small, so the distance of two fingerprints estimates how many triples two texts don't share.
+lane): these sums of 32 bits don't wrap below 2**31 triples, so the distance of two fingerprints estimates how many
+triples two texts don't share.
 
 Edge cases: null and empty texts are one empty paragraph; rows with equal ids are ordered by text, then arbitrarily;
 a null id comes first; with one row, the next document is the row itself; other columns are ignored.
@@ -39,15 +40,15 @@ def _likeness_lanes(paragraphs: list[str], owner: np.ndarray, n: int) -> np.ndar
     runs = np.where(size > 0, np.maximum(size - TRIPLE + 1, 1), 0)
     total = int(runs.sum())
     at = np.arange(total) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(w.first[:-1], runs)
-    h = Grams(w.hash).at(at, np.repeat(np.minimum(size, TRIPLE), runs))
+    h = Grams(w).at(at, np.repeat(np.minimum(size, TRIPLE), runs))
     cell = np.repeat(owner, runs) * LIKE + (h % np.uint64(LIKE)).astype(np.int64)
     sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    return np.bincount(cell, sign, n * LIKE).reshape(n, LIKE).astype(np.int64).astype(np.uint16)
+    return np.bincount(cell, sign, n * LIKE).reshape(n, LIKE).astype(np.int64).astype(np.uint32)
 
 
 def vectors(texts: list[str | None]) -> np.ndarray:
-    """Fingerprints of some texts, a row of uint16 lanes each."""
-    out = np.zeros((len(texts), LANES), np.uint16)
+    """Fingerprints of some texts, a row of lanes each; of the first ``EQUAL`` lanes 16 bits are in use."""
+    out = np.zeros((len(texts), LANES), np.uint32)
     paragraphs, owner = [], []
     for k, text in enumerate(texts):
         own = (text or "").split("\n")
@@ -59,27 +60,33 @@ def vectors(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _reduced(v: np.ndarray) -> np.ndarray:
+    v[:EQUAL] &= np.uint32(0xFFFF)
+    return v
+
+
 def add(fingerprint: np.ndarray, paragraphs: list[str]) -> np.ndarray:
     """The fingerprint with paragraphs inserted."""
-    return fingerprint + vectors(["\n".join(paragraphs)])[0] if paragraphs else fingerprint.copy()
+    return _reduced(fingerprint + vectors(["\n".join(paragraphs)])[0]) if paragraphs else fingerprint.copy()
 
 
 def remove(fingerprint: np.ndarray, paragraphs: list[str]) -> np.ndarray:
     """The fingerprint with paragraphs deleted."""
-    return fingerprint - vectors(["\n".join(paragraphs)])[0] if paragraphs else fingerprint.copy()
+    return _reduced(fingerprint - vectors(["\n".join(paragraphs)])[0]) if paragraphs else fingerprint.copy()
 
 
 def hexed(v: np.ndarray) -> str:
-    return v.astype("<u2").tobytes().hex()
+    return (v[:EQUAL].astype("<u2").tobytes() + v[EQUAL:].astype("<u4").tobytes()).hex()
 
 
 def parsed(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), "<u2").astype(np.uint16)
+    raw = bytes.fromhex(text)
+    return np.concatenate((np.frombuffer(raw[: 2 * EQUAL], "<u2"), np.frombuffer(raw[2 * EQUAL :], "<u4"))).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share (0 to 1) of word triples that two texts have in common, from their fingerprints, row by row."""
-    x, y = (v[:, EQUAL:].view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (np.ascontiguousarray(v[:, EQUAL:]).view(np.int32).astype(np.float64) for v in (a, b))
     norm = (x * x).sum(1) + (y * y).sum(1)
     near = 1 - ((x - y) ** 2).sum(1) / np.maximum(norm, 1)
     near = np.where(norm > 0, np.clip(near, 0, 1), 0)

@@ -7,16 +7,16 @@ Candidates come from prefixes. The fixed order of tokens puts rare ones first (b
 * A token is *rare* if at most ``RARE`` texts hold it in their prefix zone, the hashes under a bound that falls with
   the text's size so that a zone nearly always holds the 1 + n - ceil(threshold * n) rare tokens a prefix needs. For a
   text whose zone does, every partner shares one of them: single tokens are indexed.
-* Other texts (mostly made of frequent tokens) extend their prefix over all their tokens and are indexed by token
-  combinations: their tokens are dealt by hash into one bucket more than a pair can differ in tokens, so of two linked
-  texts at least one whole bucket, a combination of about five tokens, is equal. The number of buckets follows a class
-  of sizes; a text is indexed in its own and the next class. A text with so many empty buckets that only empty ones
-  may be equal also indexes its single tokens.
+* Other texts (mostly made of frequent tokens) are indexed by combinations of ``EACH`` tokens. Their tokens are dealt
+  by hash into subclasses whose number follows a class of sizes (powers of two; a text near the upper bound is indexed
+  in the next class too). The prefix, in the order of hashes, is extended until its subclasses hold
+  missing + ``spare`` tokens beyond the first EACH - 1 of each, where missing is how many tokens of the text a linked
+  one can lack: whatever those are, at least ``spare`` combinations within a subclass are shared.
 
 Links are verified on whole sets. A posting list is never expanded into all its pairs at first: each member is
 compared with one hub, the links found are contracted to components, and only members of different components that
-still meet in a list are compared, for long lists in blocks of bounded size. So copies cost a link each, and no link
-between components is lost.
+still meet in a list are compared, for long lists in blocks of a bounded number of tokens. So copies cost a link each,
+and no link between components is lost. Sets move only for texts that a pair needs (``perhaps_in``).
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; a text shorter than a shingle
 is one shingle; repeated rows and equal ids are kept; ids may be null (such a row is linked through equal sets only);
@@ -25,7 +25,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.storage import dropped, released, written
-from lectern.llm.words import Grams, mix, parts, starts, words
+from lectern.llm.storage import dropped, perhaps_in, scratch, written
+from lectern.llm.words import Grams, mix, parts, slices, starts, words
 
-SHINGLE, PERCENT, RARE = 4, 85, 16
-#: Members of a long posting list compared at once.
-BLOCK = 512
+SHINGLE, PERCENT, RARE, EACH = 4, 85, 16, 3
+#: Tokens of the outside members, and of all members, of a long posting list that one task compares at once.
+OUTSIDE, EVERY = 1 << 15, 1 << 17
 _S1, _S2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -50,7 +52,7 @@ def _zone(n, percent: int):
 def sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of some texts, sorted within each text, and where each text's begin."""
     w = words(data, offs, "space", True)
-    grams = Grams(w.hash)
+    grams = Grams(w)
     at, counts = starts(w.first, n)
     size = np.diff(w.first)
     short = np.flatnonzero((size > 0) & (size < n))
@@ -110,38 +112,63 @@ def _sets(shingle: int):
     return run
 
 
-def size_classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower bounds of the classes of sizes, the most tokens in which a pair differs whose larger text is in a class,
-    and the buckets of a class. Linked sizes are in the same class or in neighbouring ones."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, 100 * bounds[-1] // percent + 1))
-    bounds.append(max(bounds[-1] + 1, 100 * bounds[-1] // percent + 1))
-    bounds.append(max(bounds[-1] + 1, 100 * bounds[-1] // percent + 1))
-    b = np.array(bounds, np.int64)
-    differ = 2 * (b[1:] - 1) * (100 - percent) // (100 + percent)
-    return b, differ, np.where(differ == 0, 1, differ + 1 + (differ + 3) // 4)
-
-
-def combinations(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one text, its token combinations in its own and the next class of sizes, and for each the number
-    of equal signatures of that class that a linked text has at least (buckets that both leave empty don't show)."""
-    n = len(tokens)
-    bounds, differ, buckets = size_classes(percent, n)
-    own = int(np.searchsorted(bounds, n, "right")) - 1
-    out, need = [], []
-    for s in (own, own + 1):
-        m, before = int(buckets[s]), sum(map(len, out))
-        salt = np.uint64((s + 1) * int(_S1) % (1 << 64))
-        bucket = (mix(tokens + salt) % np.uint64(m)).astype(np.int64)
-        total, count = np.zeros(m, np.uint64), np.bincount(bucket, minlength=m)
-        np.add.at(total, bucket, mix(tokens + _S2))
-        full = np.flatnonzero(count)
-        out.append(mix(total[full] + full.astype(np.uint64) * _S1 + salt))
-        if len(full) <= differ[s]:
-            out.append(mix(tokens ^ salt))
-        need.append(np.full(sum(map(len, out)) - before, max(1, len(full) - int(differ[s]))))
-    return np.concatenate(out), np.concatenate(need)
+@lru_cache(maxsize=256)
+def size_class(a: int, percent: int) -> tuple[int, int, int]:
+    """Of the sizes from 2**a up to 2**(a + 1): subclasses, tokens in a combination, and spare combinations. A text as
+    small as the smallest that is linked to one in the class still has prefix enough."""
+    least = (percent * 2**a + 99) // 100
+    for each in range(EACH, 0, -1):
+        subclasses = max(1, int((100 - percent) / 100 * 2**0.5 * 2**a / 1.25)) if each > 1 else 1
+        spare = 1 + int((100 - percent) / 100 * 2**a / 4)
+        for extra in (spare, 1):
+            if (percent * least + 99) // 100 >= (each - 1) * subclasses + extra:
+                return subclasses, each, extra
+    raise ValueError(f"no combinations for {percent} %")
+
+
+@lru_cache(maxsize=256)
+def _choices(n: int, each: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), each)), np.int64).reshape(-1, each)
+
+
+def combinations(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of some texts (sorted tokens, text after text), the texts they are of, and for each the number of
+    equal signatures that two linked texts have at least."""
+    size = np.diff(first)
+    own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+    sigs, docs, needs = [], [], []
+    for a in range(int(own.max(initial=0)) + 2):
+        m, each, spare = size_class(a, percent)
+        pick = np.flatnonzero((size > 0) & ((own == a) | ((own == a - 1) & (100 * size >= percent * 2**a))))
+        if not len(pick):
+            continue
+        n = size[pick]
+        entry = np.repeat(np.arange(len(pick)), n)
+        begin = np.cumsum(n) - n
+        token = tokens[np.arange(int(n.sum())) - np.repeat(begin, n) + np.repeat(first[pick], n)]
+        salt = np.uint64((a + 1) * int(_S1) % (1 << 64))
+        group = entry * m + (mix(token + salt) % np.uint64(m)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        starts_ = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1])))
+        nth = np.empty(len(token), np.int64)
+        nth[order] = np.arange(len(token)) - np.repeat(starts_, np.diff(np.append(starts_, len(token))))
+        counts = (nth >= each - 1).astype(np.int64)
+        before = np.cumsum(counts) - counts
+        before -= np.repeat(before[begin], n)
+        prefix = before < np.repeat(n - (percent * n + 99) // 100 + spare, n)
+        order = order[prefix[order]]
+        value, group = mix(token[order] + _S2), group[order]
+        starts_ = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        held = np.diff(np.append(starts_, len(group)))
+        for k in np.unique(held[held >= each]).tolist():
+            at = starts_[held == k]
+            sum_ = value[at[:, None, None] + _choices(k, each)].sum(2, dtype=np.uint64)
+            sigs.append(mix(sum_ + salt).ravel())
+            docs.append(np.repeat(pick[group[at] // m], sum_.shape[1]))
+            needs.append(np.full(sum_.size, spare, np.int64))
+    if not sigs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(docs), np.concatenate(needs)
 
 
 def _signatures(percent: int):
@@ -149,11 +176,9 @@ def _signatures(percent: int):
         for batch in batches:
             cls, typical, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             flat, first = tokens.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(tokens.value_lengths().to_numpy())))
-            every = [combinations(flat[first[k] : first[k + 1]], percent) for k in range(len(cls))]
-            size = [len(x) for x, _ in every]
-            if every:
-                sig, need = (np.concatenate(x) for x in zip(*every, strict=True))
-                yield pa.record_batch([sig.view(np.int64), np.repeat(cls, size), np.repeat(typical, size), need], ["sig", "cls", "typical", "need"])
+            for i, j in slices(first, 1 << 16):
+                sig, doc, need = combinations(flat[first[i] : first[j]], first[i : j + 1] - first[i], percent)
+                yield pa.record_batch([sig.view(np.int64), cls[i:j][doc], typical[i:j][doc], np.diff(first)[i:j][doc], need], ["sig", "cls", "typical", "n", "need"])
 
     return run
 
@@ -183,10 +208,11 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     for c in ("u", "v"):
         pairs = pairs.join(sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}")), c)
-    # written, so that the planner knows their size: sets don't move for a few pairs
     pairs = written(pairs.filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v"), "candidates")
+    own = full.select("cls", "tokens")
     for c in ("u", "v"):
-        pairs = pairs.join(full.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")), c)
+        needed = perhaps_in(own, pairs.select(F.col(c).alias("cls")), "cls").filter("met")
+        pairs = pairs.join(needed.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")), c)
     return pairs.select("u", "v", "t_u", "t_v").mapInArrow(_linked(percent), "u long, v long")
 
 
@@ -237,45 +263,51 @@ def _short_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     held = held.select("list", "m", F.struct(F.coalesce("component", "node").alias("c"), "node", "need").alias("x"))
     held = held.groupBy("list", "m").agg(F.collect_set("x").alias("xs"), F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).filter("lo < hi")
     met = held.select(F.explode("xs").alias("a"), "xs", "m").select("a", F.explode("xs").alias("b"), "m").filter("a.node < b.node AND a.c <> b.c")
-    met = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.greatest("a.need", "b.need").alias("need")).agg(F.sum("m").alias("m"))
+    met = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.need").alias("need")).agg(F.sum("m").alias("m"))
     return met.filter("m >= need").select("u", "v")
 
 
 def _long_lists(sig: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links between components that meet in long lists. The members outside a list's largest component are gathered
     by that component, over all lists (near copies meet in many), and compared with all that meet it, block by block."""
-    held = sig.select("sig", F.col("cls").alias("node")).join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-    by = held.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    held = written(held.join(by.select("sig", "main"), "sig").select("main", "node", "comp").distinct(), "held")
-    blocks = held.groupBy("main").agg(F.ceil(F.count_if(F.col("comp") != F.col("main")) / F.lit(BLOCK)).cast("int").alias("zs"), F.ceil(F.count("*") / F.lit(8 * BLOCK)).cast("int").alias("ms"))
-    held = held.join(blocks, "main")
+    held = sig.select("sig", F.col("cls").alias("node"), "n").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
+    by = held.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    held = written(held.join(by.select("sig", "main"), "sig").select("main", "node", "n", "comp").distinct(), "held")
+    parts_ = lambda of, most: F.greatest(F.lit(1), F.ceil(of / F.lit(most))).cast("int")
+    outside = F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")))
+    blocks = held.groupBy("main").agg(parts_(outside, OUTSIDE).alias("zs"), parts_(F.sum("n"), EVERY).alias("ms")).filter("zs IS NOT NULL")
+    held = held.join(written(blocks, "blocks"), "main")  # written, so that the join's hot keys can be split
     own, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     rest = held.filter("comp <> main").select("main", own("zs").alias("z"), every("ms").alias("m"), "node", "comp", F.lit(True).alias("rest"))
     met = held.select("main", every("zs").alias("z"), own("ms").alias("m"), "node", "comp", F.lit(False).alias("rest"))
-    rows = rest.unionByName(met).withColumnRenamed("node", "cls").join(full.select("cls", "tokens"), "cls")
+    needed = perhaps_in(full.select("cls", "tokens"), held.select(F.col("node").alias("cls")), "cls").filter("met").select("cls", "tokens")
+    rows = rest.unionByName(met).withColumnRenamed("node", "cls").join(needed, "cls")
     return rows.groupBy("main", "z", "m").applyInArrow(_blocks(percent), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable through links) for every row."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch() as keep:
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        return keep(written(_components_of(base, shingle, percent, rare), "components"))
+
+
+def _components_of(base: DataFrame, shingle: int, percent: int, rare: int) -> DataFrame:
     scan = written(base.mapInArrow(_scan(shingle, percent), "doc_id long, n long, n_low long, cls long, two long, token long, low boolean"), "scan")
     members = written(scan.filter("n IS NOT NULL").select("doc_id", "n", "n_low", "cls", "two"), "members")
     tokens = scan.filter("n IS NULL").select("token", "cls", "low")
 
+    # a token of one class is no candidate; of two, both are known from the count; the others' rows are read again
     shared = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).filter("u < v"), "shared")
-    released(spark)
     several = tokens.join(shared.filter("n > 2").select("token", (F.col("n") > rare).alias("frequent")), "token")
     several = written(several.distinct(), "several")
     dropped(scan)
-    released(spark)
     frequent = several.filter("frequent AND low").groupBy("cls").agg(F.count("*").alias("n_frequent"))
     classes = members.filter("n > 0").groupBy("cls", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.max("n_low").alias("n_low"))
     # of a text's rare tokens in its zone, a partner lacks ``missing`` at most
     rare_ones, missing = F.col("n_low") - F.coalesce("n_frequent", F.lit(0)), F.expr(f"n - (({percent} * n + 99) div 100)")
-    classes = classes.join(frequent, "cls", "left").select("cls", "n", "doc_id", (F.coalesce("n_frequent", F.lit(0)) / F.greatest("n_low", F.lit(1))).alias("typical"), (rare_ones - missing).alias("least"))
-    classes = written(classes, "classes")
+    typical = F.coalesce("n_frequent", F.lit(0)) / F.greatest("n_low", F.lit(1))
+    classes = written(classes.join(frequent, "cls", "left").select("cls", "n", "doc_id", typical.alias("typical"), (rare_ones - missing).alias("least")), "classes")
 
     lists = several.filter("NOT frequent").groupBy("token").agg(F.array_sort(F.collect_set("cls")).alias("members")).groupBy("members").agg(F.count("*").alias("m"))
     pairs = lists.select(F.explode("members").alias("u"), "members", "m").select("u", F.explode("members").alias("v"), "m").filter("u < v")
@@ -286,30 +318,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dropped(shared, several)
     used = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct().withColumn("used", F.lit(True))
     wanted = classes.join(used, "cls", "left").filter("used OR least < 1").filter("doc_id IS NOT NULL").select("doc_id", "cls", "n", "typical", (F.col("least") < 1).alias("combine"))
-    full = base.join(wanted, "doc_id").select("text", "cls", "n", "typical", "combine").mapInArrow(_sets(shingle), "cls long, n long, typical double, combine boolean, tokens array<long>")
+    wanted = written(wanted, "wanted")
+    texts = perhaps_in(base, wanted, "doc_id").filter("met").select("doc_id", "text")
+    full = texts.join(wanted, "doc_id").select("text", "cls", "n", "typical", "combine").mapInArrow(_sets(shingle), "cls long, n long, typical double, combine boolean, tokens array<long>")
     full = written(full, "sets")
-    released(spark)
 
-    sig = written(full.filter("combine").select("cls", "typical", "tokens").mapInArrow(_signatures(percent), "sig long, cls long, typical double, need long"), "signatures")
-    hubs = sig.groupBy("sig").agg(F.count("*").alias("n"), F.max_by("cls", F.struct("typical", "cls")).alias("hub")).filter("n > 1")
-    hubs = written(hubs, "hubs")
-    stars = sig.join(hubs.select("sig", "hub"), "sig").select(F.col("hub").alias("u"), F.col("cls").alias("v")).filter("u <> v")
+    sig = written(full.filter("combine").select("cls", "typical", "tokens").mapInArrow(_signatures(percent), "sig long, cls long, typical double, n long, need long"), "signatures")
+    hubs = sig.groupBy("sig").agg(F.count("*").alias("k"), F.max_by("cls", F.struct("typical", "cls")).alias("hub")).filter("k > 1")
+    # with the length and the hub of their list, signatures needn't meet the lists again
+    met = sig.select("sig", "cls", "n", "need").join(hubs, "sig")
+    met = written(met.select("sig", "cls", "n", "need", "hub", (F.col("k") > rare).alias("long")), "met")
+    dropped(sig)
+    stars = met.select(F.col("hub").alias("u"), F.col("cls").alias("v")).filter("u <> v")
     # a text meets several hubs; the one with which it shares most is enough at first
     stars = stars.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
     # one candidate a text is enough to contract most groups; the rest is compared only across components
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = written(_verified(first.unionByName(stars), full, percent), "links")
     labels = written(components(links), "labels")
-    released(spark)
 
-    short = sig.join(hubs.filter(F.col("n") <= rare).select("sig"), "sig", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("cls", "need"))).alias("members"))
+    short = met.filter("NOT long").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("cls", "need"))).alias("members"))
     rest = _across(pairs, labels).unionByName(_short_lists(short, labels))
     more = written(_verified(rest, full, percent), "links")
-    long_ = _long_lists(sig.join(hubs.filter(F.col("n") > rare).select("sig"), "sig", "left_semi"), labels, full, percent)
-    more_long = written(long_.distinct(), "links")
-    first_labels, labels = labels, written(components(links.unionByName(more).unionByName(more_long)), "labels")
-    dropped(classes, pairs, full, sig, hubs, links, more, more_long, first_labels)
-    released(spark)
+    more_long = written(_long_lists(met.filter("long").select("sig", "cls", "n"), labels, full, percent).distinct(), "links")
+    labels = written(components(links.unionByName(more).unionByName(more_long)), "labels")
 
     # classes to documents: a component's id is its least document
     named = members.groupBy("cls", "two", "n").agg(F.min("doc_id").alias("least")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "two", "n", F.coalesce("component", "cls").alias("component"), F.col("component").isNotNull().alias("linked"), "least")
@@ -320,6 +352,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """A row a document: size of its set of four-word shingles and the least id reachable by links of 85 % and more.
+    A null or empty text has an empty set and is a component of its own."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -28,12 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.storage import dropped, released, written
+from lectern.llm.storage import dropped, perhaps_in, written
 from lectern.llm.words import Grams, Words, parts, starts, words
 
 K, M = 35, 10
-#: Bits of the filter that tells which documents have rows in another table; 2 MB, whatever the input.
-BITS = 1 << 24
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -65,7 +63,7 @@ def _paths(w: Words, k: int, m: int):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
     every = np.arange(len(w.hash) - m + 1)
-    mers = Grams(w.hash).at(every, m)
+    mers = Grams(w).at(every, m)
     anchor = _least(mers, k - m + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -78,14 +76,14 @@ def _emit(text: int, k: int, m: int, full: bool):
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for i, _, data, offs in parts(batch.column(1).field(text)):
-                w = words(data, offs, "space", False)
+                w = words(data, offs, "space", False, full)
                 anchor, at, edges = _paths(w, k, m)
                 if not full:
                     kinds, n = np.unique(anchor, return_counts=True)
                     yield pa.record_batch([kinds.view(np.int64), n], ["anchor", "n"])
                     continue
                 doc = np.searchsorted(w.first, at, "right") - 1
-                one, two = Grams(w.hash).at(at, edges + k - 1), Grams(w.hash, 1).at(at, edges + k - 1)
+                one, two = Grams(w).at(at, edges + k - 1), Grams(w, 1).at(at, edges + k - 1)
                 order = np.lexsort((at, two, one, doc))
                 one, two, doc, at, anchor, edges = (x[order] for x in (one, two, doc, at, anchor, edges))
                 new = np.ones(len(at), bool)
@@ -105,7 +103,7 @@ def _edges(text: int, k: int):
         for batch in batches:
             rid, listed = batch.column(0).to_numpy(), batch.column(2)
             for i, j, data, offs in parts(batch.column(1).field(text)):
-                w = words(data, offs, "space", False)
+                w = words(data, offs, "space", False, True)
                 own = listed.slice(i, j - i)
                 flat = own.flatten()
                 doc = np.repeat(np.arange(j - i), own.value_lengths().to_numpy())
@@ -113,7 +111,7 @@ def _edges(text: int, k: int):
                 each = np.repeat(np.arange(len(pos)), size)
                 off = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
                 at = w.first[doc[each]] + pos[each] + off
-                yield pa.record_batch([Grams(w.hash).at(at, k).view(np.int64), Grams(w.hash, 1).at(at, k).view(np.int64), n[each], rid[i + doc[each]], pos[each], off.astype(np.int32)], ["one", "two", "n", "rid", "pos", "off"])
+                yield pa.record_batch([Grams(w).at(at, k).view(np.int64), Grams(w, 1).at(at, k).view(np.int64), n[each], rid[i + doc[each]], pos[each], off.astype(np.int32)], ["one", "two", "n", "rid", "pos", "off"])
 
     return run
 
@@ -184,20 +182,10 @@ def _kept(data: np.ndarray, offs: np.ndarray, w: Words, gone: np.ndarray, layout
     return [out[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _perhaps_in(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """``base`` with ``met``: false only for documents without a row in ``rows`` (by rid). The filter is one bitmap of a
-    fixed size, so it can be broadcast; once it fills up, more documents are met than need be, never fewer."""
-    h = F.pmod(F.xxhash64("rid"), F.lit(BITS))
-    bits = rows.select((h / 32768).cast("long").alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bit = F.expr("conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, CAST(bit % 8 AS INT))")) > 0
-    out = base.withColumn("page", (h / 32768).cast("long")).withColumn("bit", h % 32768).join(F.broadcast(bits), "page", "left")
-    return out.select(*base.columns, F.coalesce(bit, F.lit(False)).alias("met"))
-
-
 def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout: bool = False) -> DataFrame:
     """``row`` (all columns of a document), n_words, kept (its remaining words, joined by one space or as laid out),
     removed_from/removed_to (runs of removed words)."""
-    spark, text = docs.sparkSession, docs.columns.index(text_col)
+    text = docs.columns.index(text_col)
     m = min(M, k)
     if k - m + 1 > 31:
         m = k - 30  # a path has at most k - m + 1 edges, the bits of a mask
@@ -212,18 +200,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout:
     branching = written(branching, "branching")
     listed = kinds.join(branching, "anchor", "left_semi").groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "n")).alias("paths"))
     listed = written(listed, "listed")
-    released(spark)
     # texts of documents without such a path don't move
-    edges = written(_perhaps_in(base, listed).filter("met").join(listed, "rid").select("rid", "row", "paths").mapInArrow(_edges(text, k), "one long, two long, n long, rid long, pos int, off int"), "edges")
-    released(spark)
+    edges = written(perhaps_in(base, listed, "rid").filter("met").join(listed, "rid").select("rid", "row", "paths").mapInArrow(_edges(text, k), "one long, two long, n long, rid long, pos int, off int"), "edges")
     again = edges.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
     single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1, off)")).alias("mask")).select("rid", F.array("pos").alias("pos"), "mask")
     whole = paths.join(kinds.filter("n > 1").select(*content), content, "left_semi").select("rid", "pos", F.expr("shiftleft(1, edges) - 1").alias("mask"))
     marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks")), "marks")
     dropped(anchors, branching, paths, kinds, listed, edges)
-    released(spark)
     schema = T.StructType([base.schema["row"], *T._parse_datatype_string("n_words long, kept string, removed_from array<int>, removed_to array<int>").fields])
-    flagged = _perhaps_in(base, marks)
+    flagged = perhaps_in(base, marks, "rid")
     untouched = flagged.filter("NOT met").select("row", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
     every = flagged.filter("met").join(marks, "rid", "left").select("row", "marks").unionByName(untouched)
     return every.mapInArrow(_cut(text, k, layout), schema)

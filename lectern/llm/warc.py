@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import dropped, released, shared_dir, written
+from lectern.llm.storage import dropped, shared_dir, written
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -113,7 +113,6 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}/warc"
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    released(spark)
     return records_of(spark, path).select("length", "sha1", "record").mapInArrow(_parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -1,7 +1,10 @@
 """Words and word n-grams of whole columns of texts, as 64-bit hashes, vectorised over UTF-8 bytes.
 
 A word's hash is a polynomial over its bytes, a gram's one over its words' hashes; both come from prefix sums, so a
-gram of any length costs the same. Arithmetic is modulo 2**64 and a bijective mixer ends each hash.
+gram of any length costs the same. Arithmetic is modulo 2**64 and a bijective mixer ends each hash. Polynomials modulo a
+power of two have known collisions between long inputs, so words of more than ``PLAIN`` bytes are hashed by BLAKE2b;
+grams here have far fewer words than such a collision needs. A second hash of each word has other byte values and
+another base, so grams of both seeds are independent from the bytes on.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,10 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE = 1 << 18
+#: Bytes up to which a word is hashed by a polynomial.
+PLAIN = 64
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xC2B2AE3D27D4EB4F))
+_SEEDS = (U(0x9E3779B97F4A7C15), U(0x8EBC6AF09C88C6E3))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -49,8 +56,8 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 @lru_cache
-def table(kind: str, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: whether it belongs to a word, and its 64-bit value. kind "space": words are runs without
+def table(kind: str, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: whether it belongs to a word, and its 64-bit value under a seed. kind "space": words are runs without
     U+0020 and U+0009..U+000D; "alnum": runs of ASCII letters, ASCII digits and characters outside ASCII."""
     codes = np.arange(256)
     if kind == "space":
@@ -62,24 +69,35 @@ def table(kind: str, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError(f"no such kind of word: {kind}")
     if lower:
         codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    return inside, mix((codes.astype(U) + U(1)) * _BASES[0])
+    return inside, mix((codes.astype(U) + U(1)) * _SEEDS[seed])
 
 
 @dataclass
 class Words:
-    """Words of some texts in order: byte bounds, hashes, and ``first``: for text i its words are first[i]:first[i+1]."""
+    """Words of some texts in order: byte bounds, hashes, and ``first``: for text i its words are first[i]:first[i+1].
+    ``second`` (where asked for) has other hashes of the same words, independent of the first ones."""
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    second: np.ndarray | None = None
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True) -> Words:
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value_of: np.ndarray, seed: int) -> np.ndarray:
+    n, base = len(data), int(_BASES[seed + 1])
+    sums = np.zeros(n + 1, U)
+    np.cumsum(value_of[data] * powers(base, n)[:n], out=sums[1:])
+    hashes = (sums[end] - sums[start]) * powers(inverse(base), n)[start]
+    return mix(hashes + (end - start).astype(U) * _BASES[0])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True, both: bool = False) -> Words:
+    """Words of the texts that ``offsets`` cut ``data`` into; with ``both`` also their second hashes."""
     inside_of, value_of = table(kind, lower)
     n = len(data)
     inside = inside_of[data]
@@ -90,21 +108,24 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: boo
     before[cuts] = False
     after[cuts - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(n + 1, U)
-    base = int(_BASES[1])
-    np.cumsum(value_of[data] * powers(base, n)[:n], out=sums[1:])
-    hashes = (sums[end] - sums[start]) * powers(inverse(base), n)[start]
-    hashes = mix(hashes + (end - start).astype(U) * _BASES[0])
-    return Words(start, end, hashes, np.searchsorted(start, offsets))
+    out = Words(start, end, _hashes(data, start, end, value_of, 0), np.searchsorted(start, offsets))
+    if both:
+        out.second = _hashes(data, start, end, table(kind, lower, 1)[1], 1)
+    for k in np.flatnonzero(end - start > PLAIN).tolist():
+        raw = data[start[k] : end[k]].tobytes()
+        digest = blake2b(raw.lower() if lower else raw, digest_size=16).digest()  # bytes.lower is ASCII only
+        out.hash[k] = int.from_bytes(digest[:8], "little")
+        if both:
+            out.second[k] = int.from_bytes(digest[8:], "little")
+    return out
 
 
 class Grams:
-    """Hashes of runs of words; two seeds give independent hashes, so both together count as 128 bits."""
+    """Hashes of runs of words; seed 1 takes the words' second hashes, so both seeds together count as 128 bits."""
 
-    def __init__(self, hashes: np.ndarray, seed: int = 0):
+    def __init__(self, w: Words, seed: int = 0):
+        hashes = w.second if seed else w.hash
         n, base = len(hashes), int(_BASES[seed + 1])
-        if seed:
-            hashes = mix(hashes + _BASES[0])
         self.sums = np.zeros(n + 1, U)
         np.cumsum(hashes * powers(base, n)[:n], out=self.sums[1:])
         self.back = powers(inverse(base), n)
