@@ -13,28 +13,35 @@ from lectern.llm.decontaminate import contaminated, matches
 from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.quality import scored, train
 from lectern.llm.sentencepiece_codec import encoded
-from lectern.llm.storage import written
+from lectern.llm.storage import dropped, perhaps_in, scratch, written
 from lectern.llm.substrings import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject (a score of 0.5 and more). Null and empty texts are scored like any
+    other; without labels nothing is rejected."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).filter("score >= 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the least id. Rows with
-    equal ids and equal texts count as one; a null id is kept where no document with an id is linked to it."""
-    found = written(jaccard_components(docs, shingle=5, percent=80), "near")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id))
-    again = rows.filter("kept_rows > 1").dropDuplicates(["doc_id", "text"])
-    return rows.filter("kept_rows = 1").unionByName(again).select(*(docs[c] for c in docs.columns))
+    equal ids and equal texts count as one; a null id is kept where no document with an id is linked to it. Documents
+    whose id has one row, and that is kept, don't move."""
+    found = jaccard_components(docs, shingle=5, percent=80)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(stays).alias("kept"))
+    ids = written(ids.filter("n > 1 OR kept < n"), "ids")
+    rows = perhaps_in(docs.select(docs.doc_id.cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), ids, "id")
+    met = rows.filter("met").join(ids.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left").filter("coalesce(kept, 1) > 0")
+    again = met.filter("n > 1").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"])
+    out = rows.filter("NOT met").select("row").unionByName(met.filter("coalesce(n, 1) = 1").select("row")).unionByName(again.select("row"))
+    return out.select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of 35 words that occur more than once; a document left without a word goes."""
+    """Documents without the runs of 35 words that occur more than once; a document left without a word goes. Null and
+    empty texts, and those of fewer words, stay as they are; equal rows are occurrences of each other."""
     out = remove_repeats(docs, layout=True)
     cut = F.size("removed_from") > 0
     text = F.when(cut, F.trim("kept")).otherwise(F.col("row.text"))
@@ -43,23 +50,28 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more of the benchmark than one word in twenty."""
+    """Documents of whose words fewer than one in twenty are in passages of the benchmark. Null and empty texts stay."""
     return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~contaminated()).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; a null or empty text has none."""
     return encoded(docs).select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens)]
 
-#: SQL can't express the classifier; tests hold the stages against brute force.
+#: SQL can't express the classifier; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row. Each result is written and reread; what a stage wrote before is deleted once the next one's
+    result stands. An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch() as keep:
+            docs = keep(written(stage(spark, before, sf_dir), name))
+        dropped(before)
     return docs
