@@ -1,8 +1,11 @@
 """Main text of web pages by scoring their element tree.
 
-Pages are parsed leniently (unclosed and stray tags, raw elements, comments without an end). Elements that are never
-content (navigation, headers, footers, asides, forms, scripts ...) or are named so (class, id, role) are left out.
-Each paragraph then passes points to its ancestors, one and more for its commas and its length, whole to the parent,
+Pages are parsed leniently (unclosed and stray tags, attributes without a closing quote, raw elements, comments without
+an end). Elements that are never content (navigation, headers, footers, asides, forms, scripts ...) or have such a role
+are left out. A class or id that names what is not content (``ad``, ``site-footer``, ``comment-list``) is evidence that
+the element's own text can outweigh: with few links and most of the page's text it stays, unless it names comments.
+Where such a word is only part of another name (``social-history``), the element goes only if it is short or full of
+links. Each paragraph then passes points to its ancestors, one and more for its commas and its length, whole to the parent,
 half to the grandparent and less above; a container's points are discounted by its link density. The best container
 (or the article around it) is kept with the siblings that have a fair part of its points or read like prose, and with
 sibling articles. Of a main part (or an article of articles) around it all is kept but links and what is named so.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +27,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm.storage import framed
 
-_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/]")
+#: A quoted value ends before white space, "/" or ">", or holds no "<"; else the quote was never closed, and the tag ends
+#: at the next ">".
+_TAG = re.compile(
+    r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^<>\"']|\"[^\"]*\"(?=[\s/>])|\"[^\"<]*\"|'[^']*'(?=[\s/>])|'[^'<]*')*))>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/]"
+)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -32,12 +41,18 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br picture source".split())
 NEVER = frozenset("head script style textarea title noscript iframe svg math template nav footer aside form button select option input dialog menu object embed canvas audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
 #: Words of a class or id that name what is not content.
-NAMES = frozenset(
+NAMES = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu menubar sidebar side aside "
-    "footer foot header masthead breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr alert alerts "
+    "footer foot header masthead breadcrumb breadcrumbs pagination pager notice notices cookie cookies consent gdpr alert alerts "
     "modal popup overlay newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar search form skip outbrain taboola".split()
 )
+#: Words that such a name may hold besides.
+PLAIN = frozenset(
+    "site page top bottom left right primary secondary main list box wrap wrapper container block inner outer section area item items links link bar global user users reader readers unit slot "
+    "panel row col column group holder region module thread post posts article articles stories more us up down buttons button icons media policy law eu text content body title text label form".split()
+)
 #: An opening tag ends an open element of these, up to the nearest one of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 SCOPE = frozenset("html body article section main div table td th ul ol dl blockquote nav aside footer header form button".split())
@@ -45,37 +60,107 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "kids", "drop", "lang")
+    __slots__ = ("tag", "names", "weak", "parent", "kids", "drop", "lang")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), drop: bool = False):
-        self.tag, self.parent, self.names, self.drop = tag, parent, names, drop
+    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), drop: bool = False, weak: bool = False):
+        self.tag, self.parent, self.names, self.drop, self.weak = tag, parent, names, drop, weak
         self.kids: list[Node | str] = []
         self.lang = ""
 
 
+def _named(attrs: str) -> tuple[frozenset, bool]:
+    """Words of a class and id that name what is not content, and whether one only occurs in another name."""
+    strong, weak = set(), False
+    for name in attrs.lower().split():
+        parts = _WORD.findall(name)
+        own = NAMES.intersection(parts)
+        if own and all(p in NAMES or p in PLAIN or p.isdigit() for p in parts):
+            strong |= own
+        elif own:
+            weak = True
+    return frozenset(strong), weak
+
+
 def _opened(tag: str, attrs: str, parent: Node) -> Node:
-    names, drop = frozenset(), tag in NEVER
+    names, drop, weak = frozenset(), tag in NEVER, False
     if attrs and not attrs.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-        names = frozenset(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        names, weak = _named(f"{found.get('class', '')} {found.get('id', '')}")
         drop = drop or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if found.get("role", "").lower() == "main":
             names |= {"role-main"}
-    return Node(tag, parent, names, drop)
+    return Node(tag, parent, names, drop, weak)
+
+
+class _Open:
+    """The open elements while a page is parsed, with what is open of each tag, so that a tag that closes nothing costs
+    nothing. ``inline`` counts inline elements opened since the last other one, in which alone their end tags reach."""
+
+    def __init__(self, root: Node):
+        self.root = self.here = root
+        self.count: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        self.count[node.tag] += 1
+        if node.tag in INLINE:
+            self.inline[-1][node.tag] += 1
+        else:
+            self.inline.append(Counter())
+
+    def leave(self, node: Node) -> None:
+        """Close an open element and all within it."""
+        while True:
+            own = self.here
+            self.here = own.parent
+            self.count[own.tag] -= 1
+            if own.tag in INLINE:
+                self.inline[-1][own.tag] -= 1
+            else:
+                self.inline.pop()
+            if own is node:
+                return
+
+    def end(self, tag: str) -> None:
+        if not (self.inline[-1] if tag in INLINE else self.count)[tag]:
+            return
+        node = self.here
+        while node.tag != tag:
+            node = node.parent
+        self.leave(node)
+
+    def make_room(self, tag: str) -> None:
+        """Close what the opening tag of another block or item ends."""
+        if tag not in INLINE and self.count["p"]:
+            node = self.here
+            while node is not self.root and node.tag != "p" and node.tag not in SCOPE:
+                node = node.parent
+            if node.tag == "p":
+                self.leave(node)
+        ends, bounds = ENDS.get(tag, (frozenset(), frozenset()))
+        if any(self.count[x] for x in ends):
+            node, last = self.here, None
+            while node is not self.root and node.tag not in bounds:
+                if node.tag in ends:
+                    last = node
+                node = node.parent
+            if last is not None:
+                self.leave(last)
 
 
 def parse(page: str) -> Node:
     """The element tree of a page; text is kept as it is, and of html elements the first language declared."""
     root = Node("html", None)
-    here, at, n = root, 0, len(page)
+    open_, at, n = _Open(root), 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            here.kids.append(page[at:])
+            open_.here.kids.append(page[at:])
             break
         if m.start() > at:
-            here.kids.append(page[at : m.start()])
-        tag = m[2]
+            open_.here.kids.append(page[at : m.start()])
+        slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             if m[0] == "<!--":
                 end = page.find("-->", m.end())
@@ -85,42 +170,24 @@ def parse(page: str) -> Node:
                 at = n if end < 0 else end + 1
             continue
         tag, at = tag.lower(), m.end()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag and not (tag in INLINE and node.tag not in INLINE):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                here = node.parent
+        if slash:
+            open_.end(tag)
             continue
         if tag == "html":
             if not root.lang:
-                root.lang = next((m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(m[3]) if m[1].lower() == "lang"), "")
+                root.lang = next((x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(attrs) if x[1].lower() == "lang"), "")
             continue
-        if tag not in INLINE:  # a block ends an open paragraph
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in SCOPE:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in ENDS:
-            ends, bounds = ENDS[tag]
-            node, last = here, None
-            while node is not root and node.tag not in bounds:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        new = _opened(tag, m[3], here)
-        here.kids.append(new)
-        if tag in RAW and not m[3].endswith("/"):
+        open_.make_room(tag)
+        new = _opened(tag, attrs, open_.here)
+        open_.here.kids.append(new)
+        if tag in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(page, at)
             if end is None:
                 at = n
             else:
                 at = page.find(">", end.start()) + 1 or n
         elif tag not in VOID:
-            here = new
+            open_.enter(new)
     return root
 
 
@@ -140,7 +207,7 @@ def _marked(node: Node) -> bool:
         if own.parent is not None:
             inner = found[id(own)]
             if not inner and own.tag != "body" and (own.names & NAMES or own.tag == "header"):
-                own.drop = not (own.tag == "header" and _inside_article(own))
+                own.drop = own.drop or not (own.tag == "header" and _inside_article(own))
             if own.drop and inner and own.tag in ("form", "header"):
                 own.drop = False  # a page wrapped in one
             found[id(own.parent)] |= inner
@@ -218,8 +285,24 @@ def _sizes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
     return text, link
 
 
+def _weighed(root: Node) -> None:
+    """Let an element's text speak against its name, or for one that is only part of another name."""
+    text, link = _sizes(root)
+    whole = text.get(id(root), 0)
+    for kind, node in _walk(root):
+        if kind != "in" or not (node.weak or node.names & NAMES):
+            continue
+        n = text.get(id(node), 0)
+        linked = link.get(id(node), 0) / max(1, n)
+        if node.weak and (n < 200 or linked >= 0.25):
+            node.names |= {"side"}
+        elif node.names & NAMES and not node.names & COMMENTS and n >= 400 and 2 * n >= whole and linked < 0.25:
+            node.names -= NAMES
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container and the siblings kept with it, in page order."""
+    _weighed(root)
     _marked(root)
     text, link = _sizes(root)
     density = lambda x: link.get(id(x), 0) / max(1, text.get(id(x), 0))
@@ -301,5 +384,6 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
+    """A row a page: its address, main text and the text's code points. Null and empty pages have an empty text."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extracted(pages).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,16 +1,24 @@
 """Quality classifier by positive-unlabelled learning.
 
-Positives are documents trusted as good, the rest of the text is unlabelled: a mix of good and bad in which the share
-of good, the class prior, is estimated from the labelled rows of the training folds. The network minimises the
-non-negative unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)): where the second
-term would fall below zero, its gradient is reversed. A logistic curve fitted to the labelled training rows turns the
-network's output into a score. Inputs are shares of bytes, words and lines of the text alone.
+Positives are documents trusted as good, the rest of the text is unlabelled: a mix of good and bad. The classifier is
+linear in the standardised features and a fixed set of random tanh features of them, and minimises the non-negative
+unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  with squared loss. That risk
+depends on the rows through their first and second moments alone, so it is taken over all unlabelled rows in one pass,
+whatever their number, and minimised on the driver: by its closed form where the second term is not negative, else by
+gradient steps that reverse the second term's gradient.
 
-Fitted on bounded samples (documented parameters, in the order of a hash of the id); every document is scored.
+The class prior is estimated from positives and unlabelled rows: a classifier of one against the other ranks both, and
+of all thresholds that one is taken at which the share of unlabelled rows above it over the share of positives above it
+is least, with a margin for small shares; that least ratio is the prior.
+
+A logistic curve, fitted to the outputs of the labelled training rows, turns the output into a score. Inputs are shares
+of bytes, words and lines of the text alone. Labels are a bounded sample (``labelled`` rows, in the order of a hash of
+the id); unlabelled rows are all those of the training folds; every document is scored.
 
 Edge cases: null and empty texts get the features of an empty text and so a score; a null id is not held out; rows
-without a label, or with null labels, are unlabelled; repeated rows score alike; with no labels at all every score is
-the prior 0.5; other columns travel in ``row``.
+without a label, or with null labels, are unlabelled; repeated rows count as often as they occur, score alike, and
+nothing but sums reaches the driver; without positives or without any row every score is 0.5; other columns travel in
+``row``.
 """
 
 from __future__ import annotations
@@ -23,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import framed
+from lectern.llm.storage import framed, scratch, written
 from lectern.llm.words import parts, words
 
-#: Most rows sampled as labelled, and as unlabelled.
-LABELLED, UNLABELLED = 20_000, 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 512, 3e-3, 1e-4
+#: Most rows sampled as labelled.
+LABELLED = 20_000
+#: Random features, the weight of the ridge (a constant, and a part for each weight a positive row), and bins of outputs
+#: (between -SPAN and SPAN).
+RANDOM, RIDGE, EACH, BINS, SPAN = 160, 1e-3, 0.5, 4096, 4.0
 
 _BYTES = 96
 _SYMBOL = np.zeros(256, bool)
@@ -105,71 +115,111 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A network of one hidden layer on standardised features, and the curve from its output to a score."""
+    """Weights of the features and of random features of them, and the curve from the output to a score."""
 
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
+    weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
     prior: float = 0.5
 
     def output(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.w1 + self.b1) @ self.w2 + self.b2
+        return expanded(x, self.mean, self.scale) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.output(x).astype(np.float64) + self.shift)
+        return _sigmoid(self.slope * self.output(x) + self.shift)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, labelled: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
-    """Minimise the non-negative risk (sigmoid loss) by Adam, then fit the score's curve to labelled rows."""
-    rng = np.random.default_rng(seed)
-    every = np.concatenate((positive, unlabelled))
-    d = every.shape[1]
-    m = Model(every.mean(0), every.std(0) + 1e-3, rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0, prior=prior)
-    xs = [np.clip((x - m.mean) / m.scale, -8, 8).astype(np.float64) for x in (positive, unlabelled)]
-    theta = [m.w1, m.b1, m.w2, np.zeros(1)]
-    first, second, t = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta], 0
-    steps = max(1, (len(xs[1]) + BATCH - 1) // BATCH)
-    for _ in range(max(EPOCHS, 400 // steps)):
-        order, plus = rng.permutation(len(xs[1])), rng.permutation(len(xs[0]))
-        for k in range(steps):
-            u, p = xs[1][order[k * BATCH : (k + 1) * BATCH]], xs[0][np.take(plus, np.arange(k * BATCH, (k + 1) * BATCH), mode="wrap")[: max(1, len(xs[0]))]]
-            x = np.concatenate((p, u))
-            h = np.tanh(x @ theta[0] + theta[1])
-            s = _sigmoid(h @ theta[2] + theta[3][0])
-            slope = s * (1 - s)  # the loss of a positive is 1 - s, of a negative s
-            rest = s[len(p) :].mean() - prior * s[: len(p)].mean()
-            g = np.concatenate((slope[: len(p)] * prior / len(p) * -1.0, np.zeros(len(u))))
-            down = np.concatenate((-prior * slope[: len(p)] / len(p), slope[len(p) :] / len(u)))
-            g = g + down if rest >= 0 else -down
-            gh = np.outer(g, theta[2]) * (1 - h * h)
-            grads, t = [x.T @ gh, gh.sum(0), h.T @ g, np.array([g.sum()])], t + 1
-            for i, gr in enumerate(grads):
-                gr = gr + DECAY * theta[i]
-                first[i] = 0.9 * first[i] + 0.1 * gr
-                second[i] = 0.999 * second[i] + 0.001 * gr * gr
-                theta[i] = theta[i] - RATE * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    m.w1, m.b1, m.w2, m.b2 = theta[0], theta[1], theta[2], float(theta[3][0])
-    if len(labels):
-        z, y = m.output(labelled), labels.astype(float)
-        a, b = 1.0, 0.0
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        for _ in range(60):  # Newton steps with a little damping
-            s = _sigmoid(a * z + b)
-            v = s * (1 - s) + 1e-6
-            h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-3]])
-            step = np.linalg.solve(h, np.array([((s - target) * z).sum(), (s - target).sum()]))
-            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-        m.slope, m.shift = (float(a), float(b)) if a > 0 else (1.0, 0.0)
-    return m
+def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int = 7) -> np.ndarray:
+    """A constant, the standardised features, and the random features of rows."""
+    rng, d = np.random.default_rng(seed), x.shape[1]
+    turn, shift = rng.normal(0, (2 / d) ** 0.5, (d, RANDOM)), rng.normal(0, 0.5, RANDOM)
+    x = np.clip((x.astype(np.float64) - mean) / scale, -8, 8)
+    return np.concatenate((np.ones((len(x), 1)), x, np.tanh(x @ turn + shift)), axis=1)
+
+
+@dataclass
+class Moments:
+    """Number, sum and sum of outer products of the expanded rows of one kind."""
+
+    n: float
+    first: np.ndarray
+    second: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Moments:
+        return Moments(float(len(rows)), rows.sum(0), rows.T @ rows)
+
+    def means(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.first / max(self.n, 1), self.second / max(self.n, 1)
+
+
+def _ridge(positive: Moments) -> np.ndarray:
+    d = len(positive.first)
+    return (RIDGE + EACH * d / max(positive.n, 1)) * np.eye(d)
+
+
+def against(positive: Moments, unlabelled: Moments) -> np.ndarray:
+    """Weights of least squares that tell positives from unlabelled rows."""
+    (mp, cp), (mu, cu) = positive.means(), unlabelled.means()
+    return np.linalg.solve(cp + cu + _ridge(positive), mp - mu)
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from counts of both by bins of an output, lowest first."""
+    p, u = positive[::-1].cumsum(), unlabelled[::-1].cumsum()
+    some = p > 0
+    over_p, over_u = p[some] / p[-1], u[some] / max(u[-1], 1)
+    margin = sum((np.log(4 / confidence) / (2 * max(n, 1))) ** 0.5 for n in (p[-1], u[-1]))
+    best = np.argmin((over_u + 1.01 * margin) / over_p)
+    return float(np.clip(over_u[best] / over_p[best], 0.01, 0.99))
+
+
+def risk(w: np.ndarray, prior: float, positive: Moments, unlabelled: Moments) -> tuple[float, float]:
+    """The two terms of the risk: of positives, and of negatives (which may be below zero)."""
+    (mp, cp), (mu, cu) = positive.means(), unlabelled.means()
+    square = lambda c, m, sign: 1 + sign * 2 * w @ m + w @ c @ w
+    return prior * square(cp, mp, -1), square(cu, mu, 1) - prior * square(cp, mp, 1)
+
+
+def fit(positive: Moments, unlabelled: Moments, prior: float, steps: int = 500) -> np.ndarray:
+    """Weights of least non-negative risk."""
+    (mp, cp), (mu, cu) = positive.means(), unlabelled.means()
+    eye = _ridge(positive)
+    w = np.linalg.solve(cu + eye, 2 * prior * mp - mu)
+    if risk(w, prior, positive, unlabelled)[1] >= 0:
+        return w
+    best, least = w, np.inf
+    rate = 0.25 / np.linalg.eigvalsh(cu + cp + eye)[-1]
+    for _ in range(steps):
+        plus, minus = risk(w, prior, positive, unlabelled)
+        if plus + max(0.0, minus) < least:
+            best, least = w, plus + max(0.0, minus)
+        down = 2 * (mu + cu @ w) - prior * 2 * (mp + cp @ w)
+        w = w - rate * (prior * 2 * (cp @ w - mp) + down + 2 * eye @ w if minus >= 0 else -down)
+    return best
+
+
+def curve(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through outputs of labelled rows, given as counts by bins."""
+    at = (np.arange(BINS) + 0.5) / BINS * 2 * SPAN - SPAN
+    n, y = good + bad, good.sum()
+    if not y or not bad.sum():
+        return 4.0, 0.0
+    target = (good * (y + 1) / (y + 2) + bad / (bad.sum() + 2)) / np.maximum(n, 1)
+    a, b = 1.0, 0.0
+    for _ in range(100):  # Newton steps with a little damping
+        s = _sigmoid(a * at + b)
+        v, g = n * (s * (1 - s) + 1e-6), n * (s - target)
+        h = np.array([[(v * at * at).sum() + 1e-3, (v * at).sum()], [(v * at).sum(), v.sum() + 1e-3]])
+        step = np.linalg.solve(h, np.array([(g * at).sum(), g.sum()]))
+        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
+    return (float(a), float(b)) if a > 0 else (4.0, 0.0)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -183,23 +233,72 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x.tobytes() for x in f], pa.binary()), batch.column(1).slice(i, j - i)], ["x", "label"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on at most ``labelled`` labelled and ``unlabelled`` other rows; rows of the held-out fold are never read."""
+def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
+    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(size), False
+        for batch in batches:
+            if len(batch):
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, N_FEATURES)
+                total += add(x, batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False))
+                seen = True
+        if seen:
+            at = np.flatnonzero(total)
+            yield pa.record_batch([at, total[at]], ["place", "value"])
+
+    out = np.zeros(size)
+    for r in rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toLocalIterator():
+        out[r.place] = r.value
+    return out
+
+
+def _moments(total: np.ndarray, d: int) -> Moments:
+    upper, second = np.triu_indices(d), np.zeros((d, d))
+    second[upper] = total[1 + d :]
+    return Moments(total[0], total[1 : 1 + d], second + np.triu(second, 1).T)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
+    """Fit on at most ``labelled`` labels and on the texts of all rows outside the held-out fold, which is never read.
+    The features are written once (460 bytes a row) and passed over four times; each pass sends sums of a fixed size."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out("id")).dropDuplicates(["id"])
-    order = F.xxhash64("id")
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").filter(~held_out("id"))
-    spark = docs.sparkSession
-    marks = {r.id: r.label for r in own.orderBy(order, "id").limit(labelled).collect()}
-    some = {r.id: -1 for r in ids.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).collect()}
-    chosen = spark.createDataFrame([(i, l) for i, l in marks.items()] + [(i, l) for i, l in some.items()], "id long, label int")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label").mapInArrow(_featured, "x binary, label int").collect()
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, N_FEATURES)
-    y = np.array([r.label for r in rows], int)
-    if not (y == 1).any() or not (y == -1).any():
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
-    known = y >= 0
-    prior = float(np.clip(y[known].mean(), 0.05, 0.95))
-    return fit(x[y == 1], x[y == -1], prior, x[known], y[known])
+    marks = [(r.id, r.label) for r in own.orderBy(F.xxhash64("id"), "id").limit(labelled).collect()]
+    nothing = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(1 + N_FEATURES + RANDOM))
+    if not any(y == 1 for _, y in marks):
+        return nothing
+    chosen = docs.sparkSession.createDataFrame(marks, "id long, label int")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
+    texts = texts.join(F.broadcast(chosen), "id", "left").select("text", "label")
+    with scratch():
+        rows = written(texts.mapInArrow(_featured, "x binary, label int"), "features")
+        sums = _summed(rows, 1 + 2 * N_FEATURES, lambda x, _: np.concatenate(([len(x)], x.sum(0, dtype=np.float64), (x.astype(np.float64) ** 2).sum(0))))
+        n, mean = sums[0], sums[1 : 1 + N_FEATURES] / max(sums[0], 1)
+        scale = np.sqrt(np.maximum(sums[1 + N_FEATURES :] / max(n, 1) - mean**2, 0)) + 1e-3
+        d = 1 + N_FEATURES + RANDOM
+        upper = np.triu_indices(d)
+
+        def moments(x, label):
+            z = expanded(x, mean, scale)
+            both = (Moments.of(z), Moments.of(z[label == 1]))
+            return np.concatenate([np.concatenate(([m.n], m.first, m.second[upper])) for m in both])
+
+        unlabelled, positive = (_moments(m, d) for m in np.split(_summed(rows, 2 * (1 + d + len(upper[0])), moments), 2))
+        if not positive.n:
+            return nothing
+
+        def counted(w):
+            def add(x, label):
+                place = np.clip((expanded(x, mean, scale) @ w + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int64)
+                return np.concatenate([np.bincount(place[kind], minlength=BINS) for kind in (label > -2, label == 1, label == 0)])
+
+            return np.split(_summed(rows, 3 * BINS, add), 3)
+
+        every, good, _ = counted(against(positive, unlabelled))
+        prior = prior_of(good, every)
+        w = fit(positive, unlabelled, prior)
+        _, good, bad = counted(w)
+    return Model(mean, scale, w, *curve(good, bad), prior=prior)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -218,6 +317,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """A row a document: whether it is held out, its score and the label that the score speaks for. Null and empty texts
+    are scored like any other."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = train(docs, labels)
     out = scored(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "score")

@@ -147,6 +147,27 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<!-- only") == ""
 
 
+def test_html_names_and_broken_tags():
+    a, b = (f"{x} " + "some words of prose, and more of them. " * 9 for x in ("First", "Second"))
+    text = "\n".join(" ".join(x.split()) for x in (a, b))
+    for name in ("social-history", "side-effects", "share-price", "form"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>{a}</p><p>{b}</p></div><div class=ad><p>Buy this, now, and that.</p></div>") == text
+    for gone in ("<div class='ad'><p>Buy this, now.</p></div>", "<div id=user-comments>" + f"<p>{a}</p>" * 3 + "</div>", "<div class='cookie-notice'><p>We use cookies, a lot.</p></div>", "<div class='related-work'><a href=x>More, and more of it all</a></div>"):
+        assert html_text.main_text(f"<body><article><p>{a}</p><p>{b}</p></article>{gone}") == text
+        assert html_text.main_text(f"<body><div>{gone}<p>{a}</p><p>{b}</p></div>") == text
+    assert html_text.main_text(f'<div><p title="it\'s>{a}</p><p class="big">{b}</p></div>') == text
+    assert html_text.main_text(f'<div><p title="a > b" data-x=\'<i>\'>{a}</p><p title="<b>">{b}</p></div>') == text
+
+
+def test_html_of_hostile_nesting():
+    import time
+
+    for page in ("<div>" * 20000 + "</span>" * 20000 + "x", "<div><b>" * 20000 + "</i>" * 20000 + "x", "<x>" * 20000 + "<div>" * 20000 + "x", "</div>" * 50000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 5
+
+
 def test_html_keeps_the_siblings_of_an_article():
     a, b, c = (f"{x} " + "some words of prose, and more of them. " * 8 for x in ("First", "Second", "Third"))
     text = lambda *x: "\n".join(" ".join(t.split()) for t in x)
@@ -168,12 +189,41 @@ def test_language_declared_after_any_preamble(spark):
     assert got[0].lang == got[3].lang == "de" and got[1].lang == "en"
 
 
-def test_quality_learns():
+def test_quality_risk_and_prior():
     r = np.random.default_rng(0)
-    good, bad = r.normal(1, 1, (600, quality.N_FEATURES)), r.normal(-1, 1, (200, quality.N_FEATURES))
-    mixed = np.concatenate((good[300:], bad[:100]))
-    m = quality.fit(good[:300], mixed, 0.75, np.concatenate((good[:50], bad[:50])), np.array([1] * 50 + [0] * 50))
-    assert (m.score(good) > 0.5).mean() > 0.95 and (m.score(bad[100:]) < 0.5).mean() > 0.95
+    mean, scale = np.zeros(6), np.ones(6)
+    good, bad = r.normal(1, 1, (3000, 6)), r.normal(-1, 1, (1000, 6))
+    every = quality.expanded(np.concatenate((good[1000:], bad)), mean, scale)
+    p, u = quality.Moments.of(quality.expanded(good[:1000], mean, scale)), quality.Moments.of(every)
+    # the risk from moments is the mean loss over rows
+    w = r.normal(0, 0.1, every.shape[1])
+    plus, minus = ((1 - quality.expanded(good[:1000], mean, scale) @ w) ** 2).mean(), ((1 + quality.expanded(good[:1000], mean, scale) @ w) ** 2).mean()
+    assert quality.risk(w, 0.6, p, u) == pytest.approx((0.6 * plus, ((1 + every @ w) ** 2).mean() - 0.6 * minus))
+    bins = lambda x: np.bincount(np.clip((x + 4) / 8 * quality.BINS, 0, quality.BINS - 1).astype(int), minlength=quality.BINS)
+    z = quality.against(p, u)
+    prior = quality.prior_of(bins(quality.expanded(good[:1000], mean, scale) @ z), bins(every @ z))
+    assert abs(prior - 2 / 3) < 0.1
+    w = quality.fit(p, u, prior)
+    out = lambda x: quality.expanded(x, mean, scale) @ w
+    assert (out(good) > 0).mean() > 0.95 and (out(bad) < 0).mean() > 0.9
+    # where the closed form's second term is below zero, the risk found is not above the one it has
+    w = quality.fit(p, u, 0.95)
+    closed = np.linalg.solve(u.means()[1] + quality._ridge(p), 2 * 0.95 * p.means()[0] - u.means()[0])
+    clipped = lambda w: (lambda x: x[0] + max(0.0, x[1]))(quality.risk(w, 0.95, p, u))
+    assert clipped(w) <= clipped(closed) + 1e-9
+
+
+def test_quality_query(spark, tmp_path):
+    good = [prose(k, 120, 4000) for k in range(120)]
+    bad = [" ".join("!!$ " + x.upper() for x in prose(k, 40, 5).split()) for k in range(120, 200)]
+    spark.createDataFrame(list(enumerate([*good, *bad, None, ""])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 120), 0) for i in range(0, 200)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in quality.op4_quality(spark, str(tmp_path)).collect()}
+    import zlib
+
+    assert len(got) == 202 and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i].score <= 1 for i in got)
+    assert all(r.predicted == int(r.score >= 0.5) for r in got.values()) and got[200].score == got[201].score
+    assert np.mean([got[i].predicted == (i < 120) for i in range(200) if got[i].held_out]) > 0.95
 
 
 def test_quality_of_odd_texts(spark):
