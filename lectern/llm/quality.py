@@ -7,8 +7,8 @@ depends on the rows through their first and second moments alone, so it is taken
 whatever their number, and minimised on the driver: by its closed form where the second term is not negative, else by
 gradient steps that reverse the second term's gradient.
 
-The class prior is estimated from positives and unlabelled rows: a classifier of one against the other ranks both, and
-of all thresholds that one is taken at which the share of unlabelled rows above it over the share of positives above it
+The class prior is estimated from positives and unlabelled rows: a classifier of one half of the positives against the
+unlabelled rows ranks these and the other half, and of all thresholds that one is taken at which the share of unlabelled rows above it over the share of positives above it
 is least, with a margin for small shares; that least ratio is the prior.
 
 A logistic curve, fitted to the outputs of the labelled training rows, turns the output into a score. Inputs are shares
@@ -155,6 +155,9 @@ class Moments:
     def of(rows: np.ndarray) -> Moments:
         return Moments(float(len(rows)), rows.sum(0), rows.T @ rows)
 
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.first + other.first, self.second + other.second)
+
     def means(self) -> tuple[np.ndarray, np.ndarray]:
         return self.first / max(self.n, 1), self.second / max(self.n, 1)
 
@@ -263,9 +266,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``labelled`` labels and on the texts of all rows outside the held-out fold, which is never read.
     The features are written once (460 bytes a row) and passed over four times; each pass sends sums of a fixed size."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out("id")).dropDuplicates(["id"])
-    marks = [(r.id, r.label) for r in own.orderBy(F.xxhash64("id"), "id").limit(labelled).collect()]
+    # positives have label 1 or, the half that the prior is counted on, 2
+    marks = [(r.id, 2 if r.label == 1 and r.half else r.label) for r in own.select("id", "label", (F.xxhash64("id", F.lit(1)) % 2 == 0).alias("half")).orderBy(F.xxhash64("id"), "id").limit(labelled).collect()]
     nothing = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(1 + N_FEATURES + RANDOM))
-    if not any(y == 1 for _, y in marks):
+    if not any(y > 0 for _, y in marks):
         return nothing
     chosen = docs.sparkSession.createDataFrame(marks, "id long, label int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
@@ -280,24 +284,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         def moments(x, label):
             z = expanded(x, mean, scale)
-            both = (Moments.of(z), Moments.of(z[label == 1]))
-            return np.concatenate([np.concatenate(([m.n], m.first, m.second[upper])) for m in both])
+            kinds = (Moments.of(z), Moments.of(z[label == 1]), Moments.of(z[label == 2]))
+            return np.concatenate([np.concatenate(([m.n], m.first, m.second[upper])) for m in kinds])
 
-        unlabelled, positive = (_moments(m, d) for m in np.split(_summed(rows, 2 * (1 + d + len(upper[0])), moments), 2))
+        unlabelled, one, two = (_moments(m, d) for m in np.split(_summed(rows, 3 * (1 + d + len(upper[0])), moments), 3))
+        positive = one + two
         if not positive.n:
             return nothing
 
         def counted(w):
             def add(x, label):
                 place = np.clip((expanded(x, mean, scale) @ w + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int64)
-                return np.concatenate([np.bincount(place[kind], minlength=BINS) for kind in (label > -2, label == 1, label == 0)])
+                return np.concatenate([np.bincount(place[kind], minlength=BINS) for kind in (label > -2, label == 1, label == 2, label == 0)])
 
-            return np.split(_summed(rows, 3 * BINS, add), 3)
+            return np.split(_summed(rows, 4 * BINS, add), 4)
 
-        every, good, _ = counted(against(positive, unlabelled))
-        prior = prior_of(good, every)
+        every, good, other, _ = counted(against(one, unlabelled))
+        prior = prior_of(other if other.sum() else good, every)
         w = fit(positive, unlabelled, prior)
-        _, good, bad = counted(w)
+        _, good, other, bad = counted(w)
+        good = good + other
     return Model(mean, scale, w, *curve(good, bad), prior=prior)
 
 

@@ -201,7 +201,7 @@ def test_quality_risk_and_prior():
     assert quality.risk(w, 0.6, p, u) == pytest.approx((0.6 * plus, ((1 + every @ w) ** 2).mean() - 0.6 * minus))
     bins = lambda x: np.bincount(np.clip((x + 4) / 8 * quality.BINS, 0, quality.BINS - 1).astype(int), minlength=quality.BINS)
     z = quality.against(p, u)
-    prior = quality.prior_of(bins(quality.expanded(good[:1000], mean, scale) @ z), bins(every @ z))
+    prior = quality.prior_of(bins(quality.expanded(r.normal(1, 1, (1000, 6)), mean, scale) @ z), bins(every @ z))
     assert abs(prior - 2 / 3) < 0.1
     w = quality.fit(p, u, prior)
     out = lambda x: quality.expanded(x, mean, scale) @ w
