@@ -46,5 +46,76 @@ CANONICAL = {
     "meditaton": "meditation", "chanting": "chanting", "chantng": "chanting", "philosophy": "philosophy",
     "philosphy": "philosophy", "scripture": "scripture", "scriptur": "scripture", "verse": "verse", "vers": "verse",
 }
+#: Words that the filter replaces, as whole words in any case.
+PROFANITY = (
+    "fuck fucking fucked fucker fucks shit shitting shitted shits bitch bitching bitches damn damned damning hell hells "
+    "ass asses asshole assholes crap crappy craps piss pissed pissing bastard bastards whore whores slut sluts "
+    "f*ck f**k f*** fck fuk sh*t sh** sht b*tch b**ch btch d*mn d**n dmn h*ll h**l hll a*s a** azz cr*p cr** p*ss p**s "
+    "f4ck sh1t b1tch d4mn h3ll fvck shyt bytch dayum"
+).split()
+#: Spellings with digits and signs, and what they become.
+LEET = [("f[u4@]ck", "f***"), ("sh[i1!]t", "s***"), ("b[i1!]tch", "b****"), ("d[a@4]mn", "d***"), ("h[e3]ll", "h***"), ("[a@4]ss", "a**")]
+#: Two of these in a text make its context religious; then RELIGIOUS_KEPT stays.
+RELIGIOUS = (
+    "krishna rama vishnu shiva brahma hare mantra bhakti yoga dharma karma samsara moksha guru swami temple deity prasadam "
+    "kirtan bhajan god lord divine sacred holy prayer worship faith spirit soul heaven paradise blessed grace "
+    "hell damn jesus christ allah"
+).split()
+RELIGIOUS_KEPT = {"hell", "damn"}
+SYNONYMS = {
+    "fuck": "darn", "shit": "crud", "damn": "darn", "bitch": "person", "hell": "heck", "ass": "butt", "stupid": "silly",
+    "idiot": "person", "hate": "dislike",
+}
+#: Misheard terms in the order in which they are rewritten.
+MISHEARD = {
+    "diana": "dhyāna", "dianna": "dhyāna", "dhana": "dhyāna", "dyana": "dhyāna", "dhyan": "dhyāna", "kusha": "kuśa",
+    "kusa": "kuśa", "kosha": "kuśa", "abhyasa": "abhyāsa", "abhiasa": "abhyāsa", "abhyassa": "abhyāsa",
+    "vairagya": "vairāgya", "vairaga": "vairāgya", "pratyahara": "pratyāhāra", "pratyaahara": "pratyāhāra",
+    "pratiahara": "pratyāhāra", "pranayama": "prāṇāyāma", "pranayaama": "prāṇāyāma", "pranaayama": "prāṇāyāma",
+    "asana": "āsana", "aasana": "āsana", "aasanna": "āsana", "dhaarana": "dhāraṇā", "dharana": "dhāraṇā",
+    "dhaaranaa": "dhāraṇā", "samadhi": "samādhi", "samaadhi": "samādhi", "samaadhii": "samādhi", "krishna": "Krishna",
+    "krsna": "Krsna", "krisna": "Krishna", "arjuna": "Arjuna", "arjun": "Arjuna", "arjunaa": "Arjuna",
+    "bhagavad": "Bhagavad", "bhagavat": "Bhagavad", "bhagwad": "Bhagavad", "prabhupaada": "Prabhupāda",
+    "prabhupada": "Prabhupāda", "prabhupad": "Prabhupāda", "madhusudana": "Madhusūdana", "madhusudan": "Madhusūdana",
+    "janardana": "Janārdana", "janardan": "Janārdana", "govinda": "Govinda", "govind": "Govinda", "keshava": "Keśava",
+    "keshav": "Keśava", "kesava": "Keśava", "atma": "ātmā", "aatma": "ātmā", "aatmaa": "ātmā", "paramatma": "paramātmā",
+    "paramaatma": "paramātmā", "paramaatmaa": "paramātmā", "moksha": "mokṣa", "moksh": "mokṣa", "mokshaa": "mokṣa",
+    "samsara": "samsāra", "samsaar": "samsāra", "samsaara": "samsāra", "brahmacaari": "brahmacārī",
+    "brahmachari": "brahmacārī", "brahmacari": "brahmacārī", "varnasrama": "varṇāśrama", "varnashrama": "varṇāśrama",
+    "varna ashrama": "varṇāśrama",
+}
+DIACRITICS = "āīūṛṝḷḹēōṃḥṅñṭḍṇśṣḻĀĪŪṚṜḶḸĒŌṂḤṄÑṬḌṆŚṢḺ"
+KNOWN_TERMS = (
+    "Krishna Krsna Arjuna Bhagavan Bhagavad dharma karma yoga Kurukshetra Pandava Kauravas Sanjaya Dhritarashtra Duryodhana "
+    "Bhima Yudhishthira Nakula Sahadeva Draupadi Drona Bhishma moksha samsara atman Brahman Paramatma jiva maya lila "
+    "bhakti jnana vairagya tapas yajna mantra ashrama varna guru shishya sadhu sant rishi muni acharya "
+    "pranayama asana dhyana samadhi pratyahara dharana Vishnu Shiva Brahma Devi Lakshmi Saraswati Ganga "
+    "puja aarti prasadam kirtan bhajan satsang darshan vrindavan mathura dvaraka mayapur kashi vraja "
+    "Govinda Madhusudana Janardana Vasudeva Keshava Hrishikesha Achyuta Ananta Garuda Hanuman Ganesha Indra Varuna "
+    "Agni Vayu Surya Chandra Prithvi Akasha Kala Maha Prabhu Dasa Mata Pitamaha"
+).split()
+SUFFIXES = "a am an as i u ya va na ra la ta da ma sa".split()
+TOPIC_WORDS = "krishna arjuna dharma karma".split()
+KEY_WORDS = [*TOPIC_WORDS, "yoga", "soul", "supreme"]
+GLOSSARY_TERMS = [
+    "Krishna", "Bhagavad Gita", "Srimad Bhagavatam", "Prabhupada", "ISKCON", "devotee", "devotees", "bhakti", "yoga",
+    "dharma", "karma", "moksha", "samsara", "guru", "mantra", "kirtan", "prasadam", "temple", "deity", "Radha", "Govinda",
+    "Vrindavan", "Mayapur", "spiritual", "consciousness", "transcendental", "meditation", "chanting", "Hare Krishna",
+    "maha-mantra", "Vedic", "Sanskrit", "philosophy", "scripture", "verse",
+]
+FALLBACK_TERMS = ["Krishna", "Arjuna", "Bhagavad Gita", "dharma", "karma", "yoga"]
+#: Blue, green, red of each language's captions; any other language is white.
+COLOURS = {
+    "en": (255, 255, 255), "fr": (255, 180, 120), "de": (0, 255, 255), "it": (0, 165, 255), "hu": (0, 255, 0),
+    "ru": (203, 192, 255), "uk": (255, 0, 255),
+}
+#: Devanagari letters in the international transliteration.
+VOWELS = dict(zip("अआइईउऊऋॠऌएऐओऔ", "a ā i ī u ū ṛ ṝ ḷ e ai o au".split(), strict=True))
+VOWEL_SIGNS = dict(zip("ािीुूृॄॢेैोौ", "ā i ī u ū ṛ ṝ ḷ e ai o au".split(), strict=True))
+CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ", (
+    "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h ḻ"
+).split(), strict=True))
+SIGNS = dict(zip("ंःँऽॐ।॥०१२३४५६७८९", "ṃ ḥ m̐ ' oṃ . .. 0 1 2 3 4 5 6 7 8 9".split(), strict=True))
+VIRAMA = "्"
 MILD = set("stupid idiot moron dumb dumbass crazy insane nuts mental suck sucks sucked sucking hate hated hating hates".split())
 # fmt: on

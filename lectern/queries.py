@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import columns as C
 from lectern.functions.lists import BOGUS, CANONICAL, SILENCE_WORDS, STOP_WORDS
+from lectern.functions.machines import MovingMean
+from lectern.operators import captions as CP
 from lectern.operators import library as L
+from lectern.operators import streams as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +34,14 @@ def _list(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
+#: White space of any kind.
+_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
 _UNIQUE = "u AS (SELECT doc_id, text, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) ORDER BY doc_id) = 1)"
 _TOKENS = r"t AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS token FROM u)"
 _TERMS = rf"k AS (SELECT * FROM t WHERE length(token) BETWEEN 2 AND 50 AND lower(token) NOT IN {_list(STOP_WORDS)} AND NOT regexp_full_match(token, '\p{{N}}+'))"
@@ -107,7 +118,7 @@ def text_similarity(spark, sf):
     return _turn_pairs(spark, sf).select("conv_id", "turn", F.round(C.text_similarity(F.col("text"), F.col("before")), 6).alias("similarity"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(lower(text))) < 2 OR " + " OR ".join(f"contains(lower(text), '{b}')" for b in BOGUS) + f" OR (len(string_split_regex(trim(lower(text)), '\\s+')) <= 2 AND len(list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda w: w NOT IN {_list(SILENCE_WORDS)})) = 0) THEN true ELSE false END AS dropped FROM documents")
+@query(f"WITH d AS (SELECT doc_id, {_strip('lower(text)')} AS low FROM documents) SELECT doc_id, CASE WHEN length(low) < 2 OR " + " OR ".join(f"contains(low, '{b}')" for b in BOGUS) + f" OR (len(string_split_regex(low, '{_SPACE}+')) <= 2 AND len(list_filter(string_split_regex(low, '{_SPACE}+'), lambda w: w NOT IN {_list(SILENCE_WORDS)})) = 0) THEN true ELSE false END AS dropped FROM d")
 def bogus_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (C.bogus_filter(F.col("text")) == "").alias("dropped"))
 
@@ -117,7 +128,10 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("SELECT doc_id, trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '–', '-'), '—', '-'), '…', '...'), '€', 'EUR'), '£', 'GBP'), '¥', 'JPY'), '°', 'deg'), '±', '+/-'), '×', 'x'), '÷', '/')) AS shown FROM documents")
+@query(
+    "WITH d AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '–', '-'), '—', '-'), '…', '...'), '€', 'EUR'), '£', 'GBP'), '¥', 'JPY'), '°', 'deg'), '±', '+/-'), '×', 'x'), '÷', '/') AS x FROM documents) "
+    f"SELECT doc_id, {_strip('x')} AS shown FROM d"
+)
 def display_cleanup(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.display_text(F.col("text")).alias("shown"))
 
@@ -137,25 +151,18 @@ def srt_lines(spark, sf):
     return _captions(spark, sf).select("conv_id", "id", C.srt_time(F.col("s")).alias("shown"), number.alias("number"))
 
 
-_FRAMES_SQL = "f AS (SELECT n AS frame, n / 4.0::DOUBLE AS t FROM unnest(generate_series(0, 79)) AS g(n))"
-
-
-def _frames(captions: DataFrame) -> DataFrame:
-    """Four frames a second up to the last caption's end; the SQL's axis ends at frame 79, 19.75 s."""
-    last = captions.agg(F.floor(F.max("e") * 4).alias("last"))
-    return last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame")).withColumn("t", F.col("frame") / 4.0)
+#: Four frames a second up to the last caption's end.
+_FRAMES_SQL = "f AS (SELECT n AS frame, n / 4.0::DOUBLE AS t FROM (SELECT unnest(generate_series(0, CAST((SELECT floor(max(e) * 4) FROM c) AS BIGINT))) AS n))"
 
 
 @query(f"WITH {_CAPTIONS_SQL}, {_FRAMES_SQL} SELECT conv_id, id, frame, round(greatest(0.1, least(1.0, (t - s) / 0.1, (e - t) / 0.1))::DOUBLE, 6) AS fade FROM c JOIN f ON s <= t AND t <= e")
 def caption_active_frames(spark, sf):
-    captions = _captions(spark, sf)
-    return L.range_join(_frames(captions), captions, "t", "s", "e", 2.0).select("conv_id", "id", "frame", F.round(C.fade(F.col("t"), F.col("s"), F.col("e")), 6).alias("fade"))
+    return CP.frames(_captions(spark, sf), 4).select("conv_id", "id", "frame", F.round(C.fade(F.col("t"), F.col("s"), F.col("e")), 6).alias("fade"))
 
 
 @query(f"WITH {_CAPTIONS_SQL}, {_FRAMES_SQL} SELECT conv_id, frame, max(id) AS latest FROM c JOIN f ON s <= t AND t <= e GROUP BY ALL")
 def latest_caption_asof(spark, sf):
-    captions = _captions(spark, sf)
-    return L.range_join(_frames(captions), captions, "t", "s", "e", 2.0).groupBy("conv_id", "frame").agg(F.max_by("id", "s").alias("latest"))
+    return CP.frames(_captions(spark, sf), 4).groupBy("conv_id", "frame").agg(F.max_by("id", "s").alias("latest"))
 
 
 @query(f"WITH {_CAPTIONS_SQL}, d AS (SELECT conv_id, conv_id * 100000 + id AS id, s, e FROM c) SELECT id FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE a.conv_id = b.conv_id AND a.id > b.id AND a.s < b.e + 1 AND a.e > b.s - 1)")
@@ -185,8 +192,9 @@ def rolling_20_failures(spark, sf):
 
 @query(f"WITH {_EVENTS}, g AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM e WHERE value IS NOT NULL GROUP BY user_id) SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda a, x: CASE WHEN a = 0 THEN x ELSE 0.1 * x + 0.9 * a END), 4) AS ema FROM g")
 def ema_by_user(spark, sf):
-    e = _events(spark, sf).filter("value IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return e.select("user_id", F.round(C.ema(F.transform("v", lambda x: x.value)), 4).alias("ema"))
+    e = _events(spark, sf).filter("value IS NOT NULL").select("user_id", "ts", "event_id", "value")
+    means = S.folded(e, "user_id", ["ts", "event_id"], MovingMean())
+    return means.groupBy("user_id").agg(F.round(F.max_by("ema", F.struct("ts", "event_id")), 4).alias("ema"))
 
 
 @query(f"WITH {_EVENTS}, w AS (SELECT event_id, event_type, CAST(floor(t / 12600) AS BIGINT) AS k, t FROM e), x AS (SELECT event_type, (k - d) * 12600 AS start, t FROM w, unnest([0, 1]) AS g(d)) SELECT event_type, CAST(start AS BIGINT) AS start, count(*) AS n FROM x WHERE t >= start AND t < start + 18000 GROUP BY ALL")

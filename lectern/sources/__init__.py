@@ -1,0 +1 @@
+"""Readers of the file formats that the jobs take."""

@@ -1,0 +1 @@
+"""Live twins of the ordered operators, and windows with watermarks."""
