@@ -102,9 +102,10 @@ def fade(t: Column, start: Column, end: Column) -> Column:
 def dedup_lines(x: Column) -> Column:
     """Keep each line's first occurrence, compared without case and outer white space."""
     lines = F.split(x, "\n")
-    key = lambda s: F.lower(strip(s))
-    keys = F.transform(lines, key)
-    return F.array_join(F.filter(lines, lambda s, i: F.array_position(keys, key(s)) == i + 1), "\n")
+    both = F.struct(lines.alias("lines"), F.transform(lines, lambda s: F.lower(strip(s))).alias("keys"))
+    # bound in an array of one, so that the keys are made once and not for each line
+    kept = F.transform(F.array(both), lambda b: F.filter(b.lines, lambda s, i: F.array_position(b.keys, F.get(b.keys, i)) == i + 1))
+    return F.array_join(F.get(kept, F.lit(0)), "\n")
 
 
 def wrap(x: Column, width: int = 60) -> Column:

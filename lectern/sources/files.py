@@ -45,7 +45,7 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def glossaries(spark: SparkSession, path: str) -> DataFrame:
     """Glossary files as they are: ``name`` (the file's in lower case, without its ending) and ``text``."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     name = F.lower(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", ""))
     return rows.select(name.alias("name"), C.strip("value").alias("text"))
 

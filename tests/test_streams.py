@@ -207,7 +207,7 @@ def test_files_and_the_vocabulary_job(spark, tmp_path):
     assert sources.corpus(spark, path).count() == 4 and [r.line for r in sources.malformed(spark, path).collect()] == ["{broken"]
     assert jobs.vocabulary(spark, path, out) == {"common_glossary": True, "chapter_glossaries": False, "all_valid": False}
     table = spark.read.option("header", True).option("escape", '"').csv(f"{out}/gita_tokens").collect()
-    assert (table[0].token, table[0]["count"], table[0].chapters, table[0].sources, table[0].contexts) == ("Krishna", "2", "2", "test", "Krishna speaks to Arjuna about dha | Kṛṣṇa and Krishna teach yoga")
+    assert (table[0].token, table[0]["count"], table[0].chapters, table[0].sources, table[0].contexts) == ("Krishna", "2", "2", "test", "Krishna speaks to Arjuna about dharma | Kṛṣṇa and Krishna teach yoga")
     common = (tmp_path / "out/glossaries/common_200.txt").read_text(encoding="utf-8").splitlines()
     assert common[4] == f"# Total terms: {len(common) - 6}" and common[5] == "#" and common[-1] == "Krishna" and len(table) == len(common) - 6
     ascii_ = (tmp_path / "out/glossaries/by_chapter/02_ascii.txt").read_text(encoding="utf-8").splitlines()
