@@ -2,11 +2,11 @@
 
 The model file's protobuf is parsed here field by field; normaliser (white space rules and, where the model has one,
 its compiled character map), metaspace marker, unigram scores or the merge order of a BPE model, byte fallback and
-special pieces are rebuilt as a ``tokenizers.Tokenizer``, which encodes batches on several threads. ``parity`` holds
-its ids against the sentencepiece library's.
+special pieces are rebuilt as a ``tokenizers.Tokenizer``, which encodes batches on ``threads`` threads. What it makes of
+the units it meets is held against the sentencepiece library (``differing``), in every run; ``parity`` does so for texts.
 
 A piece never has the marker inside unless it is a run of markers, so texts are cut before each run of markers: equal
-words then cost one lookup in the library's cache. Models for which that doesn't hold are encoded uncut.
+words are encoded once by a worker, in batches of some hundred texts of many words. Models for which that doesn't hold are encoded uncut.
 
 Edge cases: a null or empty text has no ids; a text of white space only may have none; what the normaliser changes
 (the marker's own character, runs of spaces) is what a round trip may lose, and ``decode(encode(x))`` equals the
@@ -170,13 +170,16 @@ class Codec:
 
     #: Units remembered by a worker; beyond it, the memory starts anew.
     KEPT = 800_000
-    JOINED = 4096
+    JOINED = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        import sentencepiece
+
         with open(path, "rb") as f:
             self.model = parse_model(f.read())
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.whole = rebuild(self.model)
         self.apart = self.whole.pre_tokenizer is not None
         if self.apart:
@@ -184,7 +187,10 @@ class Codec:
             self.units.pre_tokenizer = self.whole.pre_tokenizer
             self.cut = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
             self.ids: dict[str, tuple[int, ...]] = {}
+            self.lead = MARK + "a" if self.model.escape else " a"
             self.sound: set[str] = set()
+            #: Units for which the sentencepiece library has other ids.
+            self.differing: set[str] = set()
             self.plain = [p if kind not in (BYTE, UNKNOWN) else None for p, _, kind in self.model.pieces]
             self.number = list(range(len(self.model.pieces)))  # one object for each id
             self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
@@ -194,17 +200,34 @@ class Codec:
         if len(self.ids) > self.KEPT:
             self.ids.clear()
             self.sound.clear()
+            self.differing.clear()
         new = [u for u in units if u not in self.ids]
         # with one marker each, at its start, units can be told apart in the ids of a joined text
         joined = [u for u in new if u.startswith(MARK) and not u.startswith(MARK * 2) and u != MARK]
         alone = [u for u in new if not u.startswith(MARK) or u.startswith(MARK * 2) or u == MARK]
-        for k in range(0, len(joined), self.JOINED):
-            own = joined[k : k + self.JOINED]
-            ids = self.units.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids
-            at = np.flatnonzero(self.begins[ids]).tolist()
-            self.ids.update(zip(own, [tuple(map(self.number.__getitem__, ids[a:b])) for a, b in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
+        texts = [joined[k : k + self.JOINED] for k in range(0, len(joined), self.JOINED)]
+        for own, e in zip(texts, self.units.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
+            at = np.flatnonzero(self.begins[e.ids]).tolist()
+            self.ids.update(zip(own, [tuple(map(self.number.__getitem__, e.ids[a:b])) for a, b in zip(at, [*at[1:], len(e.ids)], strict=True)], strict=True))
         for u, e in zip(alone, self.units.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.ids[u] = tuple(e.ids)
+        self._compare(texts)
+        # a run of markers is one only after something else
+        self.ids.setdefault(self.lead, tuple(self.units.encode(self.lead, add_special_tokens=False).ids))
+        self._compare([[self.lead, u] if u.startswith(MARK) else [u] for u in alone])
+
+    def _compare(self, texts: list[list[str]]) -> None:
+        """Hold the ids of new units against the sentencepiece library's, text by text, and where a text differs, unit by
+        unit."""
+
+        def differ(texts: list[list[str]]) -> Iterator[list[str]]:
+            plain = ["".join(own).removeprefix(MARK if self.model.dummy_prefix else "").replace(MARK, " ") for own in texts]
+            for own, theirs in zip(texts, self.library.encode(plain, num_threads=1), strict=True):
+                if theirs != list(chain.from_iterable(map(self.ids.__getitem__, own))):
+                    yield own
+
+        for own in differ(texts):
+            self.differing.update(u[-1] for u in ([own] if len(own) < 3 else differ([[u] for u in own])))
 
     def _split(self, texts: list[str]) -> list[list[str]]:
         plain = self.whole.normalizer.normalize_str
@@ -213,13 +236,15 @@ class Codec:
         return [self.cut.findall(plain(t)) if t else [] for t in texts]
 
     def encode(self, texts: list[str], check: bool = False):
-        """Ids of each text; with ``check`` also whether they decode to the text, as the model normalises it."""
+        """Ids of each text; with ``check`` also whether they decode to the text, as the model normalises it, and whether
+        the sentencepiece library has the same ids."""
         if not self.apart:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             if not check:
                 return ids
             plain = self.whole.normalizer.normalize_str
-            return ids, [a == plain(t).replace(MARK, " ").removeprefix(" ") for a, t in zip(self.decode(ids), texts, strict=True)]
+            whole = [a == plain(t).replace(MARK, " ").removeprefix(" ") for a, t in zip(self.decode(ids), texts, strict=True)]
+            return ids, whole, [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
         split = self._split(texts)
         every = set().union(*split)
         self._learn(every)
@@ -227,8 +252,8 @@ class Codec:
         ids = [list(chain.from_iterable(map(get, own))) for own in split]
         if not check:
             return ids
-        lost = self._lost(every)
-        return ids, [lost.isdisjoint(own) for own in split] if lost else [True] * len(split)
+        free = lambda of: [of.isdisjoint(own) for own in split] if of else [True] * len(split)
+        return ids, free(self._lost(every)), free(self.differing)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -274,11 +299,12 @@ def parity(texts: list[str], path: str = MODEL) -> list[str]:
 
 def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int | None = None, check: bool = False) -> DataFrame:
     """``row`` (all columns), ids array<int>, and, with ``check``, round_trip: whether the ids decode to the text as the
-    model normalises it."""
+    model normalises it, and parity: whether the sentencepiece library has the same ids. ``threads``: of the library in
+    each task, twice the cores of a task unless given, so that one batch is encoded while another is read."""
     spark, text = docs.sparkSession, docs.columns.index(text_col)
     spark.sparkContext.addFile(model)
     name = os.path.basename(model)
-    threads = threads or int(spark.conf.get("spark.task.cpus", "1"))
+    threads = threads or 2 * int(spark.conf.get("spark.task.cpus", "1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.set_threshold(200_000)
@@ -291,17 +317,17 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads
             _, offs = utf8(column)
             for i, j in slices(offs):
                 texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
-                ids, sound = loaded(path).encode(texts, True) if check else (encode(texts, path), None)
+                ids, sound, same = loaded(path).encode(texts, True) if check else (encode(texts, path), None, None)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32)
                 first = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 cols = [row.slice(i, j - i), pa.ListArray.from_arrays(pa.array(first), pa.array(flat))]
                 names = ["row", "ids"]
                 if check:
-                    cols.append(pa.array(sound))
-                    names.append("round_trip")
+                    cols += [pa.array(sound, pa.bool_()), pa.array(same, pa.bool_())]
+                    names += ["round_trip", "parity"]
                 yield pa.record_batch(cols, names)
 
-    frame, schema = framed(docs, "ids array<int>" + (", round_trip boolean" if check else ""))
+    frame, schema = framed(docs, "ids array<int>" + (", round_trip boolean, parity boolean" if check else ""))
     return frame.mapInArrow(run, schema)
 
 
@@ -321,6 +347,8 @@ def decoded(tokens: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Data
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """A row a document: its token ids, their number, whether they decode to the text, and whether the sentencepiece
+    library has the same ones. Null and empty texts have none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = encoded(docs, check=True)
-    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "parity")
