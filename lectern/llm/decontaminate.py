@@ -2,215 +2,170 @@
 
 An item's windows are its runs of ``window`` consecutive words (a shorter item is one window). A window is treated as
 a set of shingles that a document must contain whole, so by the prefix principle a match needs the window's first
-shingle in any fixed order. The order is rarity in the corpus, counted over all documents: each window is joined on
-its rarest shingle only, and a window with a shingle that no document has is gone before the join. A hit fixes where
-the window would start (positional bound) and end inside the document (length bound); what is left is verified
-exactly by two independent hashes of the whole run.
+shingle in any fixed order. The order is rarity in the corpus.
 
-Items are read in blocks of bounded size, so neither the driver nor an executor holds more than one block; each
-further block is one further scan.
+1. Windows and their shingles are a table; equal windows of several items are one row.
+2. One pass over the documents puts out where shingles of items may occur: those that pass a bitmap of all items'
+   shingles (2 MB, whatever the benchmark). Counted by shingle, they give the rarity.
+3. Each window is joined on its rarest shingle only; a window with a shingle that no document has is gone before that.
+   An occurrence fixes where the window would start (positional bound) and end in the document (length bound).
+4. Candidates go back to their documents, and the words there are compared by two independent hashes of the whole run,
+   128 bits. Documents without candidates don't move.
+
+Documents are told apart by a hash of the text: equal texts have equal hits, and where two texts have one hash, the
+comparison sorts their candidates out.
 
 Edge cases: a null or empty text has no words and is never contaminated; a null or empty item has no windows; items
 with the same text all count; repeated rows each get their own result; other columns travel in ``row`` untouched, so
-their names can't clash; an item without an id removes words but is not listed.
+their names can't clash; an item without an id removes words but is not listed; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.llm.storage import written
-from lectern.llm.words import Grams, parts, starts, utf8, words
+from lectern.llm.storage import BITS, framed, perhaps_in, written
+from lectern.llm.words import Grams, parts, starts, words
 
 WINDOW, SHINGLE = 13, 5
-#: Windows of items in one block: about 100 bytes each.
-BLOCK_WINDOWS = 500_000
-
-
-@dataclass
-class Windows:
-    """Distinct windows of a block of items: length, hashes, the items that have them, and their shingles."""
-
-    length: np.ndarray
-    one: np.ndarray
-    two: np.ndarray
-    items: list[tuple[str, ...]]
-    shingle: np.ndarray  # all shingles, window after window
-    first: np.ndarray  # where a window's shingles begin
-
-
-def item_windows(rows: list[tuple[str | None, str]], window: int = WINDOW) -> Windows:
-    ids, texts = [r[0] for r in rows], pa.array([r[1] for r in rows], pa.large_string())
-    data, offs = utf8(texts)
-    w = words(data, offs, "alnum", True, True)
-    one, two, counts = Grams(w), Grams(w, 1), np.diff(w.first)
-    found: dict[tuple[int, int, int], set] = {}
-    where: dict[tuple[int, int, int], int] = {}
-    for i, n in enumerate(counts):
-        if not n:
-            continue
-        size = int(min(n, window))
-        at = np.arange(w.first[i], w.first[i + 1] - size + 1)
-        for p, a, b in zip(at.tolist(), one.at(at, size).tolist(), two.at(at, size).tolist(), strict=True):
-            found.setdefault((size, a, b), set()).add(ids[i])
-            where.setdefault((size, a, b), p)
-    keys = sorted(found)
-    length = np.array([k[0] for k in keys], np.int64)
-    q = np.minimum(length, SHINGLE)
-    n_shingles = length - q + 1
-    first = np.concatenate(([0], np.cumsum(n_shingles)))
-    at = np.arange(first[-1]) - np.repeat(first[:-1], n_shingles) + np.repeat(np.array([where[k] for k in keys], np.int64), n_shingles)
-    return Windows(length, np.array([k[1] for k in keys], np.uint64), np.array([k[2] for k in keys], np.uint64), [tuple(sorted(x for x in found[k] if x is not None)) for k in keys], one.at(at, np.repeat(q, n_shingles)), first)
-
-
-class Lookup:
-    """Membership of many hashes in a sorted set: a bit table first, a binary search for the few that pass."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(values >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``hashes`` of members, and their places in the set."""
-        at = np.flatnonzero(self.bits[(hashes >> np.uint64(44)).astype(np.int64)])
-        if not len(self.values) or not len(at):
-            return at[:0], at[:0]
-        place = np.minimum(np.searchsorted(self.values, hashes[at]), len(self.values) - 1)
-        same = self.values[place] == hashes[at]
-        return at[same], place[same]
-
-
-def _counts(lookup: Lookup, sizes: list[int]):
+
+
+def _windows(window: int):
+    """A row for each window of each item: size, hashes, the item, and the hashes of its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(lookup.values), np.int64)
         for batch in batches:
-            for _, _, data, offs in parts(batch.column(0)):
-                w = words(data, offs, "alnum", True)
-                grams = Grams(w)
-                for q in sizes:
-                    at, _ = starts(w.first, q)
-                    _, place = lookup.find(grams.at(at, q))
-                    total += np.bincount(place, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["place", "n"])
+            for i, j, data, offs in parts(batch.column(1)):
+                w = words(data, offs, "alnum", True, True)
+                one, two, n = Grams(w), Grams(w, 1), np.diff(w.first)
+                size = np.minimum(n, window)
+                count = np.where(n > 0, n - size + 1, 0)
+                item = np.repeat(np.arange(j - i), count)
+                at = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
+                q = np.minimum(size, SHINGLE)[item]
+                each = size[item] - q + 1
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(at, each)
+                shingles = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))), pa.int32()), pa.array(one.at(place, np.repeat(q, each)).view(np.int64)))
+                cols = [pa.array(size[item], pa.int32()), one.at(at, size[item]).view(np.int64), two.at(at, size[item]).view(np.int64), batch.column(0).slice(i, j - i).take(pa.array(item)), shingles]
+                yield pa.record_batch(cols, ["size", "one", "two", "item", "shingles"])
 
     return run
 
 
-def _rarest(win: Windows, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each window the index (in all shingles) of its rarest one, or -1 if the corpus lacks one of them."""
-    n = counts[places]
-    owner = np.repeat(np.arange(len(win.length)), np.diff(win.first))
-    order = np.lexsort((np.arange(len(n)), n, owner))
-    best = order[win.first[:-1]]
-    return np.where(n[best] > 0, best, -1)
-
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """Bits of the shingles' hashes, packed: 2 MB."""
+    h = F.pmod("shingle", F.lit(BITS))
+    pages = shingles.select((h / 32768).cast("long").alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in pages.toLocalIterator():
+        out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-_MATCHES = "hit_from array<int>, hit_to array<int>, items array<string>"
 
-
-def _find(win: Windows, chosen: np.ndarray, text: int):
-    """Add this block's hits (runs of word positions) and items to each document's."""
-    live = np.flatnonzero(chosen >= 0)
-    key, offset = win.shingle[chosen[live]], chosen[live] - win.first[live]
-    order = np.argsort(key, kind="stable")
-    live, key, offset = live[order], key[order], offset[order]
-    values, begin = np.unique(key, return_index=True)
-    begin = np.append(begin, len(key))
-    sizes, lookup = sorted({int(min(x, SHINGLE)) for x in win.length[live]}), Lookup(values)
+def _hits(bits: np.ndarray, sizes: list[int]):
+    """Where shingles that pass the bitmap occur: a row for each different one of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column(0)
-            n_words, hits = np.zeros(len(row), np.int64), [[] for _ in range(len(row))]
-            for i, _, data, offs in parts(row.field(text)):
-                w = words(data, offs, "alnum", True, True)
-                n_words[i : i + len(offs) - 1] = np.diff(w.first)
-                if not len(live):
-                    continue
-                one, doc = Grams(w), w.doc
-                two = None
+            key = batch.column(1).to_numpy()
+            for i, _, data, offs in parts(batch.column(0)):
+                w = words(data, offs, "alnum", True)
+                grams, n = Grams(w), np.diff(w.first)
                 for q in sizes:
                     at, _ = starts(w.first, q)
-                    found, place = lookup.find(one.at(at, q))
-                    if not len(found):
+                    h = grams.at(at, q).view(np.int64)
+                    low = h & np.int64(BITS - 1)
+                    some = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                    if not len(some):
                         continue
-                    counts = begin[place + 1] - begin[place]
-                    which = np.repeat(begin[place], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    pos = np.repeat(at[found], counts)
-                    d, id_ = doc[pos], live[which]
-                    size = win.length[id_]
-                    start = pos - offset[which]
-                    keep = (np.minimum(size, SHINGLE) == q) & (start >= w.first[d]) & (start + size <= w.first[d + 1])
-                    start, size, id_, d = start[keep], size[keep], id_[keep], d[keep]
-                    keep = one.at(start, size) == win.one[id_]
-                    start, size, id_, d = start[keep], size[keep], id_[keep], d[keep]
-                    two = two or Grams(w, 1)
-                    keep = two.at(start, size) == win.two[id_]
-                    for s, n, k, x in zip(start[keep].tolist(), size[keep].tolist(), id_[keep].tolist(), d[keep].tolist(), strict=True):
-                        hits[i + x].append((s - int(w.first[x]), s - int(w.first[x]) + n, k))
-            before = [batch.column(c).to_pylist() for c in (2, 3, 4)] if batch.num_columns > 1 else None
-            out_from, out_to, items = [], [], []
-            for k, own in enumerate(hits):
-                a, b, ids = [], [], set()
-                if before:
-                    own = own + [(x, y, None) for x, y in zip(before[0][k], before[1][k], strict=True)]
-                    ids.update(before[2][k])
-                for s, e, win_id in sorted(own, key=lambda x: x[:2]):
-                    if win_id is not None:
-                        ids.update(win.items[win_id])
-                    if b and s <= b[-1]:
-                        b[-1] = max(b[-1], e)
-                    else:
-                        a.append(s)
-                        b.append(e)
-                out_from.append(a)
-                out_to.append(b)
-                items.append(sorted(ids))
-            yield pa.record_batch([row, pa.array(n_words), pa.array(out_from, pa.list_(pa.int32())), pa.array(out_to, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "hit_from", "hit_to", "items"])
+                    h, at = h[some], at[some]
+                    doc = np.searchsorted(w.first, at, "right") - 1
+                    order = np.lexsort((at, h, doc))
+                    h, at, doc = h[order], at[order], doc[order]
+                    begin = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+                    pos = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), pa.array((at - w.first[doc]).astype(np.int32)))
+                    yield pa.record_batch([key[i + doc[begin]], h[begin], pos, n[doc[begin]].astype(np.int32)], ["key", "shingle", "pos", "n"])
+
+    return run
+
+
+_MATCHES = "n_words long, hit_from array<int>, hit_to array<int>, items array<string>"
+
+
+def _verified(text: int):
+    """Of a document's candidates those whose words are the window's, as disjoint runs, and their items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, marks = batch.column(0), batch.column(1)
+            n_words, out_from, out_to, items = [], [], [], []
+            for i, j, data, offs in parts(row.field(text)):
+                own = marks.slice(i, j - i)
+                some = own.null_count < len(own)
+                w = words(data, offs, "alnum", True, some)
+                n = np.diff(w.first)
+                n_words.extend(n.tolist())
+                ok = ()
+                if some:
+                    flat = own.flatten()
+                    doc = np.repeat(np.arange(j - i), own.value_lengths().fill_null(0).to_numpy())
+                    begin, size, one, two = (flat.field(c).to_numpy() for c in range(4))
+                    fits = begin + size <= n[doc]
+                    at = np.where(fits, w.first[doc] + begin, 0)
+                    size_ = np.where(fits, size, 0)
+                    same = fits & (Grams(w).at(at, size_).view(np.int64) == one) & (Grams(w, 1).at(at, size_).view(np.int64) == two)
+                    ok = np.flatnonzero(same)
+                found: list[list] = [[] for _ in range(j - i)]
+                for k in ok:
+                    found[doc[k]].append((int(begin[k]), int(begin[k] + size[k]), flat.field(4)[int(k)].as_py()))
+                for own_hits in found:
+                    a, b, ids = [], [], set()
+                    for s, e, these in sorted(own_hits, key=lambda x: x[:2]):
+                        ids.update(these)
+                        if b and s <= b[-1]:
+                            b[-1] = max(b[-1], e)
+                        else:
+                            a.append(s)
+                            b.append(e)
+                    out_from.append(a)
+                    out_to.append(b)
+                    items.append(sorted(ids))
+            yield pa.record_batch([row, pa.array(n_words, pa.int64()), pa.array(out_from, pa.list_(pa.int32())), pa.array(out_to, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "hit_from", "hit_to", "items"])
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``row`` (all columns of a document), n_words, hit_from/hit_to (disjoint runs of word positions inside
     occurrences of windows) and items (ids as text, sorted), one row a document."""
-    frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = docs.columns.index(text_col)
-    schema = T.StructType([frame.schema["row"], T.StructField("n_words", T.LongType()), *T._parse_datatype_string(_MATCHES).fields])
-
-    def blocks():
-        rows, size = [], 0
-        for r in benchmark.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text_col), F.lit(""))).toLocalIterator():
-            rows.append((r[0], r[1]))
-            size += max(1, len(r[1]) // 3)
-            if size >= block_windows:
-                yield rows
-                rows, size = [], 0
-        yield rows
-
-    first = True
-    for rows in blocks():
-        win = item_windows(rows, window)
-        values, places = np.unique(win.shingle, return_inverse=True)
-        sizes = sorted({int(min(x, SHINGLE)) for x in win.length})
-        counts = np.zeros(len(values), np.int64)
-        if len(values):
-            seen = docs.select(F.col(text_col)).mapInArrow(_counts(Lookup(values), sizes), "place long, n long")
-            for place, n in seen.groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
-                counts[place] = n
-        chosen = _rarest(win, places, counts) if len(win.length) else np.zeros(0, np.int64)
-        frame = (frame if first else written(frame, "matches")).mapInArrow(_find(win, chosen, text), schema)
-        first = False
-    return frame
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    windows = items.mapInArrow(_windows(window), "size int, one long, two long, item string, shingles array<long>")
+    windows = written(windows.groupBy("size", "one", "two").agg(F.array_sort(F.collect_set("item")).alias("items"), F.first("shingles").alias("shingles")), "windows")
+    each = windows.select("size", "one", "two", F.posexplode("shingles").alias("offset", "shingle"))
+    sizes = sorted(r.q for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("q")).distinct().collect())
+
+    key = F.xxhash64(docs[text_col])
+    hits = written(docs.select(docs[text_col].alias("text"), key.alias("key")).mapInArrow(_hits(_bitmap(each), sizes), "key long, shingle long, pos array<int>, n int"), "hits")
+    counts = hits.groupBy("shingle").agg(F.sum(F.size("pos")).alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset")
+    rarest = each.join(counts, "shingle", "left").groupBy("size", "one", "two").agg(F.min(F.struct(rarity.alias("by"), "shingle")).alias("best")).filter("best.by.n > 0")
+    rarest = written(rarest.join(windows.drop("shingles"), ["size", "one", "two"]).select("best.shingle", F.col("best.by.offset").alias("offset"), "size", "one", "two", "items"), "rarest")
+    begin = F.col("at") - F.col("offset")
+    met = hits.join(rarest, "shingle").select("key", "n", F.explode("pos").alias("at"), "offset", "size", "one", "two", "items").filter((begin >= 0) & (begin + F.col("size") <= F.col("n")))
+    marks = written(met.groupBy("key").agg(F.collect_set(F.struct(begin.alias("begin"), "size", "one", "two", "items")).alias("marks")), "marks")
+
+    frame, schema = framed(docs, _MATCHES)
+    frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    flagged = perhaps_in(frame, marks, "key")
+    plain = flagged.filter("NOT met").select("row", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
+    every = flagged.filter("met").join(marks, "key", "left").select("row", "marks").unionByName(plain)
+    return every.mapInArrow(_verified(text), schema)
 
 
 def n_hit():
@@ -224,6 +179,8 @@ def contaminated(per_share: int = 20):
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """A row a document: its words, those inside windows of items, the items, and whether it counts as contaminated. Null
+    and empty texts have no words."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return matches(docs.select("doc_id", "text"), items).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),

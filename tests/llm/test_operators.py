@@ -104,9 +104,34 @@ def test_decontamination(spark):
                         hit |= set(range(p, p + n))
                         found.add(str(i))
         want[d] = (len(w), len(hit), sorted(found))
-    for block in (decontaminate.BLOCK_WINDOWS, 1):
-        got = decontaminate.matches(frame(spark, texts), bench, block_windows=block).select("row.doc_id", "n_words", decontaminate.n_hit().alias("n"), "items").collect()
-        assert {r.doc_id: (r.n_words, r.n, list(r["items"])) for r in got} == want
+    got = decontaminate.matches(frame(spark, texts), bench).select("row.doc_id", "n_words", decontaminate.n_hit().alias("n"), "items").collect()
+    assert {r.doc_id: (r.n_words, r.n, list(r["items"])) for r in got} == want
+    for docs, items_ in ((frame(spark, texts).limit(0), bench), (frame(spark, texts), bench.limit(0))):
+        assert all(not r.n for r in decontaminate.matches(docs, items_).select(decontaminate.n_hit().alias("n")).collect())
+
+
+def colliding(length=1024):
+    """Two different words that every polynomial of their bytes modulo 2**64 with an odd base takes for one."""
+    bits = [bin(k).count("1") & 1 for k in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_a_polynomial_are_told_apart(spark):
+    x, y = colliding()
+    texts = [f"{prose(80, 34, 10**6)} {x}", f"{prose(80, 34, 10**6)} {y}"]
+    got = substrings.remove_repeats(frame(spark, texts)).select(substrings.n_removed().alias("n")).collect()
+    assert [r.n for r in got] == [0, 0]
+    texts = [f"one two three {x}", f"one two three {y}"]
+    assert {r.component_id for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()} == {0, 1}
+    bench = spark.createDataFrame([(0, x)], "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.matches(frame(spark, [x, y]), bench).select("row.doc_id", "items").collect()}
+    assert got == {0: ["0"], 1: []}
+
+
+def test_likeness_of_many_equal_triples():
+    a, b, c = (fingerprints.vectors(["a " * n]) for n in (32760, 32780, 70000))
+    assert fingerprints.likeness(a, b)[0] > 0.99 and fingerprints.likeness(a, c)[0] > 0.3
+    assert (fingerprints.parsed(fingerprints.hexed(c[0])) == c[0]).all()
 
 
 def test_fingerprints(spark):
@@ -286,4 +311,9 @@ def test_sentencepiece(spark):
     odd = ["", "  a  b ", "▁x", "a\tb\n\nc", "日本語 ☃ 🙂", "<s> </s><unk>", "   ", "x" * 300, "a ▁ b", *(t or "" for t in TEXTS)]
     assert sentencepiece_codec.parity(odd) == []
     got = {r.row.doc_id: r for r in sentencepiece_codec.encoded(frame(spark, TEXTS), check=True).collect()}
-    assert not got[0].ids and all(r.round_trip for r in got.values())
+    assert not got[0].ids and all(r.round_trip and r.parity for r in got.values())
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.MODEL)
+    assert codec.encode(["alpha beta gamma"], True)[2] == [True]
+    codec.ids["▁beta"] = (1, 2)  # a wrong result is found
+    codec._compare([["▁alpha", "▁beta", "▁gamma"]])
+    assert codec.differing == {"▁beta"} and codec.encode(["alpha", "x beta"], True)[2] == [True, False]
