@@ -165,17 +165,19 @@ def rebuild(m: Model):
 
 
 class Codec:
-    """A rebuilt model with the ids of the units (a run of markers and what follows) that it has met. Units are
-    encoded apart, so each distinct one of a batch costs the library one call, however often it occurs."""
+    """A rebuilt model with the ids of the units (a run of markers and what follows) that it has met, all in one array.
+    Units are encoded apart, so each distinct one costs the library one call, however often it occurs. Of each it is
+    known whether its ids decode to it (``lost``: not) and whether the sentencepiece library has the same (``differing``:
+    not)."""
 
     #: Units remembered by a worker; beyond it, the memory starts anew.
     KEPT = 800_000
-    JOINED = 64
+    #: Units joined in one text of a batch; the library's time for a text grows faster than its length.
+    JOINED = 16
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         import sentencepiece
+        from tokenizers import Tokenizer
 
         with open(path, "rb") as f:
             self.model = parse_model(f.read())
@@ -186,48 +188,74 @@ class Codec:
             self.units = Tokenizer(self.whole.model)
             self.units.pre_tokenizer = self.whole.pre_tokenizer
             self.cut = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
-            self.ids: dict[str, tuple[int, ...]] = {}
-            self.lead = MARK + "a" if self.model.escape else " a"
-            self.sound: set[str] = set()
-            #: Units for which the sentencepiece library has other ids.
-            self.differing: set[str] = set()
-            self.plain = [p if kind not in (BYTE, UNKNOWN) else None for p, _, kind in self.model.pieces]
-            self.number = list(range(len(self.model.pieces)))  # one object for each id
+            # what a piece decodes to by itself; bytes and the unknown piece don't
+            self.plain = [p if kind not in (BYTE, UNKNOWN) else "\0" for p, _, kind in self.model.pieces]
             self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+            self.lead = MARK + "a" if self.model.escape else " a"
+            self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.first, self.n = np.zeros(1 << 16, np.int64), 0
+        self.flat = np.zeros(1 << 18, np.int32)
+        self.lost: set[str] = set()
+        self.differing: set[str] = set()
+
+    def ids_of(self, unit: str) -> list[int]:
+        k = self.place[unit]
+        return self.flat[self.first[k] : self.first[k + 1]].tolist()
+
+    def _keep(self, units: list[str], ids: np.ndarray, begin: np.ndarray) -> None:
+        """Remember units whose ids begin at ``begin`` in ``ids``."""
+        used, more = int(self.first[self.n]), self.n + len(units) + 1
+        while more > len(self.first):
+            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[used : used + len(ids)] = ids
+        self.first[self.n : more] = used + np.append(begin, len(ids))
+        self.place.update(zip(units, range(self.n, self.n + len(units)), strict=True))
+        self.n += len(units)
 
     def _learn(self, units: set[str]) -> None:
-        """Encode units not met before, many joined in one text."""
-        if len(self.ids) > self.KEPT:
-            self.ids.clear()
-            self.sound.clear()
-            self.differing.clear()
-        new = [u for u in units if u not in self.ids]
+        """Encode units not met before: many in one text, and many texts in one batch of the library."""
+        if self.n > self.KEPT:
+            self._forget()
+        new = [u for u in units | {self.lead} if u not in self.place]
         # with one marker each, at its start, units can be told apart in the ids of a joined text
-        joined = [u for u in new if u.startswith(MARK) and not u.startswith(MARK * 2) and u != MARK]
         alone = [u for u in new if not u.startswith(MARK) or u.startswith(MARK * 2) or u == MARK]
-        texts = [joined[k : k + self.JOINED] for k in range(0, len(joined), self.JOINED)]
-        for own, e in zip(texts, self.units.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
-            at = np.flatnonzero(self.begins[e.ids]).tolist()
-            self.ids.update(zip(own, [tuple(map(self.number.__getitem__, e.ids[a:b])) for a, b in zip(at, [*at[1:], len(e.ids)], strict=True)], strict=True))
-        for u, e in zip(alone, self.units.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.ids[u] = tuple(e.ids)
-        self._compare(texts)
+        joined = [u for u in new if u.startswith(MARK) and not u.startswith(MARK * 2) and u != MARK]
+        groups = [joined[k : k + self.JOINED] for k in range(0, len(joined), self.JOINED)]
+        texts = ["".join(g) for g in groups]
+        made = [e.ids for e in self.units.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(made), np.int32)
+        self._keep(joined, flat, np.flatnonzero(self.begins[flat]))
+        own = [e.ids for e in self.units.encode_batch_fast(alone, add_special_tokens=False)]
+        self._keep(alone, np.fromiter(chain.from_iterable(own), np.int32), np.cumsum([0, *map(len, own)])[:-1])
+        get = self.plain.__getitem__
+        every = zip([*groups, *([u] for u in alone)], [*texts, *alone], [*made, *own], strict=True)
+        self._find_lost([u for group, text, ids in every if "".join(map(get, ids)) != text for u in group])
+        self._compare(groups, texts, made)
         # a run of markers is one only after something else
-        self.ids.setdefault(self.lead, tuple(self.units.encode(self.lead, add_special_tokens=False).ids))
-        self._compare([[self.lead, u] if u.startswith(MARK) else [u] for u in alone])
+        lead = self.ids_of(self.lead)
+        first = [self.lead if u.startswith(MARK) else "" for u in alone]
+        self._compare([[u] for u in alone], [x + u for x, u in zip(first, alone, strict=True)], [(lead if x else []) + i for x, i in zip(first, own, strict=True)])
+
+    def _find_lost(self, units: list[str]) -> None:
+        """Of some units those that their ids don't decode to, by the library where pieces don't decode alone."""
+        ids = {u: self.ids_of(u) for u in units}
+        odd = [u for u, own in ids.items() if "".join(map(self.plain.__getitem__, own)) != u]
+        for u, back in zip(odd, self.decode([ids[u] for u in odd]), strict=True):
+            if back != u.replace(MARK, " ").removeprefix(" "):
+                self.lost.add(u)
 
-    def _compare(self, texts: list[list[str]]) -> None:
+    def _compare(self, groups: list[list[str]], texts: list[str], ids: list[list[int]]) -> None:
         """Hold the ids of new units against the sentencepiece library's, text by text, and where a text differs, unit by
         unit."""
-
-        def differ(texts: list[list[str]]) -> Iterator[list[str]]:
-            plain = ["".join(own).removeprefix(MARK if self.model.dummy_prefix else "").replace(MARK, " ") for own in texts]
-            for own, theirs in zip(texts, self.library.encode(plain, num_threads=1), strict=True):
-                if theirs != list(chain.from_iterable(map(self.ids.__getitem__, own))):
-                    yield own
-
-        for own in differ(texts):
-            self.differing.update(u[-1] for u in ([own] if len(own) < 3 else differ([[u] for u in own])))
+        plain = lambda t: (t.removeprefix(MARK) if self.model.dummy_prefix else t).replace(MARK, " ")
+        for group, own, theirs in zip(groups, ids, self.library.encode([plain(t) for t in texts], num_threads=1), strict=True):
+            if own != theirs:
+                self.differing.update(u for u in group if len(group) == 1 or self.library.encode(plain(u)) != self.ids_of(u))
 
     def _split(self, texts: list[str]) -> list[list[str]]:
         plain = self.whole.normalizer.normalize_str
@@ -235,44 +263,36 @@ class Codec:
             return [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         return [self.cut.findall(plain(t)) if t else [] for t in texts]
 
-    def encode(self, texts: list[str], check: bool = False):
-        """Ids of each text; with ``check`` also whether they decode to the text, as the model normalises it, and whether
-        the sentencepiece library has the same ids."""
+    def flat_ids(self, texts: list[str], check: bool = False):
+        """All ids of some texts, and where each text's begin; with ``check`` also whether they decode to the text, as the
+        model normalises it, and whether the sentencepiece library has the same ids."""
         if not self.apart:
-            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            made = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            out = np.fromiter(chain.from_iterable(made), np.int32), np.cumsum([0, *map(len, made)])
             if not check:
-                return ids
+                return out
             plain = self.whole.normalizer.normalize_str
-            whole = [a == plain(t).replace(MARK, " ").removeprefix(" ") for a, t in zip(self.decode(ids), texts, strict=True)]
-            return ids, whole, [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
+            whole = [a == plain(t).replace(MARK, " ").removeprefix(" ") for a, t in zip(self.decode(made), texts, strict=True)]
+            return *out, whole, [a == b for a, b in zip(made, self.library.encode(texts, num_threads=1), strict=True)]
         split = self._split(texts)
-        every = set().union(*split)
-        self._learn(every)
-        get = self.ids.__getitem__
-        ids = [list(chain.from_iterable(map(get, own))) for own in split]
+        self._learn(set().union(*split))
+        unit = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64)
+        begin, size = self.first[unit], self.first[unit + 1] - self.first[unit]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        first = ends[np.cumsum([0, *map(len, split)])]
         if not check:
-            return ids
+            return ids, first
         free = lambda of: [of.isdisjoint(own) for own in split] if of else [True] * len(split)
-        return ids, free(self._lost(every)), free(self.differing)
+        return ids, first, free(self.lost), free(self.differing)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, first = self.flat_ids(texts)
+        return [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
-    def _lost(self, units: set[str]) -> set[str]:
-        """Units that their ids don't decode to."""
-        lost, odd = set(), []
-        for u in units - self.sound:
-            own = [self.plain[i] for i in self.ids[u]]
-            if None in own:
-                odd.append(u)
-            elif "".join(own) != u:
-                lost.add(u)
-        for u, back in zip(odd, self.decode([self.ids[u] for u in odd]), strict=True):
-            if back != u.replace(MARK, " ").removeprefix(" "):
-                lost.add(u)
-        self.sound |= units - lost
-        return lost
-
 
 @lru_cache(maxsize=4)
 def loaded(path: str) -> Codec:
@@ -317,13 +337,11 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads
             _, offs = utf8(column)
             for i, j in slices(offs):
                 texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
-                ids, sound, same = loaded(path).encode(texts, True) if check else (encode(texts, path), None, None)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32)
-                first = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                cols = [row.slice(i, j - i), pa.ListArray.from_arrays(pa.array(first), pa.array(flat))]
+                flat, first, *checks = loaded(path).flat_ids(texts, check)
+                cols = [row.slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))]
                 names = ["row", "ids"]
                 if check:
-                    cols += [pa.array(sound, pa.bool_()), pa.array(same, pa.bool_())]
+                    cols += [pa.array(x, pa.bool_()) for x in checks]
                     names += ["round_trip", "parity"]
                 yield pa.record_batch(cols, names)
 

@@ -313,7 +313,9 @@ def test_sentencepiece(spark):
     got = {r.row.doc_id: r for r in sentencepiece_codec.encoded(frame(spark, TEXTS), check=True).collect()}
     assert not got[0].ids and all(r.round_trip and r.parity for r in got.values())
     codec = sentencepiece_codec.Codec(sentencepiece_codec.MODEL)
-    assert codec.encode(["alpha beta gamma"], True)[2] == [True]
-    codec.ids["▁beta"] = (1, 2)  # a wrong result is found
-    codec._compare([["▁alpha", "▁beta", "▁gamma"]])
-    assert codec.differing == {"▁beta"} and codec.encode(["alpha", "x beta"], True)[2] == [True, False]
+    assert codec.flat_ids(["alpha beta gamma"], True)[3] == [True]
+    codec._compare([["▁alpha", "▁beta"]], ["▁alpha▁beta"], [[1, 2]])  # a wrong result is looked into
+    assert codec.differing == set()
+    codec.flat[codec.first[codec.place["▁beta"]]] += 1
+    codec._compare([["▁alpha", "▁beta"]], ["▁alpha▁beta"], [[1, 2]])
+    assert codec.differing == {"▁beta"} and codec.flat_ids(["alpha", "x beta"], True)[3] == [True, False]
