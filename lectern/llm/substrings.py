@@ -1,18 +1,21 @@
 """Substring dedup on a compacted de Bruijn graph of word k-mers.
 
-Every run of ``k`` words (an edge of the graph) is assigned to the least of its m-mers, which depends on its words
-alone. Consecutive edges of a text with the same m-mer form a path; equal paths of the whole corpus meet on the
-m-mer's hash (their anchor), so one row stands for about (k - m) / 2 edges. Equal paths of one document are one row
-with their positions, so lines repeated in a text meet before any shuffle.
-
-1. Anchors that occur once hold no repeated edge; a count with map-side combining finds the others.
-2. Paths of repeated anchors are counted by their content. A path that occurs twice or more is repeated edge by edge.
-3. Where an anchor has one path only, nothing branches there and the count decides. Only where paths of one anchor
-   differ (a branch of the graph) one copy of each is cut into its edges, read again at its source coordinates, and
+Every run of ``k`` words is an edge between its first and its last k - 1 words.
+
+1. Pieces. An edge is assigned to the least of its m-mers, which depends on its words alone; consecutive edges of a text
+   with the same m-mer form a piece, and equal pieces of the whole corpus meet on the m-mer's hash (their anchor), so one
+   row stands for about (k - m) / 2 edges. Anchors that occur once hold no repeated edge; a count with map-side combining
+   finds the others. Equal pieces of one document are one row with their positions.
+2. Pieces are counted by their content; one that occurs twice or more is repeated edge by edge. Where pieces of one
+   anchor differ (a branch within it) one copy of each is cut into its edges, read again at its source coordinates, and
    the edges are counted.
-4. Joins carry the result back to every occurrence, and a document's words inside repeated edges are removed.
+3. Compaction. The end of a repeated piece doesn't branch if the same piece follows wherever it occurs, and that follows
+   nothing else. Such neighbours are joined to paths by pointer doubling: each round joins a piece with what its pointer
+   points to, so a path of n pieces takes log2(n) rounds.
+4. Verification. A path's words are read at its source coordinates (the first piece's first occurrence), and every
+   occurrence is removed only if its words have the same 128-bit BLAKE2b digest.
 
-Content is compared by two independent 64-bit hashes of the words at the source coordinates, 128 bits together.
+Documents are told apart by a hash of the text, so no table of all texts is written; equal texts have equal marks.
 
 Edge cases: null and empty texts have no words; texts under ``k`` words lose none; equal rows count as occurrences of
 each other; other columns travel in ``row``, so names can't clash; very long texts are handled alone, not cut.
@@ -21,10 +24,11 @@ each other; other columns travel in ``row``, so names can't clash; very long tex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,11 +75,11 @@ def _paths(w: Words, k: int, m: int):
     return mers[anchor[begin]], at[begin], np.diff(np.append(begin, len(at)))
 
 
-def _emit(text: int, k: int, m: int, full: bool):
+def _emit(k: int, m: int, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            for i, _, data, offs in parts(batch.column(1).field(text)):
+            for i, _, data, offs in parts(batch.column(1)):
                 w = words(data, offs, "space", False, full)
                 anchor, at, edges = _paths(w, k, m)
                 if not full:
@@ -96,26 +100,68 @@ def _emit(text: int, k: int, m: int, full: bool):
     return run
 
 
-def _edges(text: int, k: int):
-    """Edges of the paths listed for each document."""
+def _listed(batch: pa.RecordBatch, k: int, both: bool):
+    """For the slices of texts with pieces listed for them: words, rids, and of each piece that is at its place its text,
+    first word, edges, and the place in the list."""
+    rid, listed = batch.column(0).to_numpy(), batch.column(2)
+    for i, j, data, offs in parts(batch.column(1)):
+        w = words(data, offs, "space", False, both)
+        own = listed.slice(i, j - i)
+        flat = own.flatten()
+        doc = np.repeat(np.arange(j - i), own.value_lengths().to_numpy())
+        pos, size, one, two = (flat.field(x).to_numpy() for x in range(4))
+        fits = pos + size + k - 1 <= np.diff(w.first)[doc]
+        at = np.where(fits, w.first[doc] + pos, 0)
+        length = np.where(fits, size + k - 1, 0)
+        # another text may have the same rid: its words are others
+        fits &= (Grams(w).at(at, length).view(np.int64) == one) & (Grams(w, 1).at(at, length).view(np.int64) == two)
+        some = np.flatnonzero(fits)
+        yield data, w, rid[i:j], doc[some], at[some], size[some], flat, some
+
+
+def _edges(k: int):
+    """Edges of the pieces listed for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, listed = batch.column(0).to_numpy(), batch.column(2)
-            for i, j, data, offs in parts(batch.column(1).field(text)):
-                w = words(data, offs, "space", False, True)
-                own = listed.slice(i, j - i)
-                flat = own.flatten()
-                doc = np.repeat(np.arange(j - i), own.value_lengths().to_numpy())
-                pos, size, n = (flat.field(x).to_numpy() for x in range(3))
-                each = np.repeat(np.arange(len(pos)), size)
+            for _, w, rid, doc, at, size, flat, some in _listed(batch, k, True):
+                n = flat.field(4).to_numpy()[some]
+                each = np.repeat(np.arange(len(at)), size)
                 off = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-                at = w.first[doc[each]] + pos[each] + off
-                yield pa.record_batch([Grams(w).at(at, k).view(np.int64), Grams(w, 1).at(at, k).view(np.int64), n[each], rid[i + doc[each]], pos[each], off.astype(np.int32)], ["one", "two", "n", "rid", "pos", "off"])
+                cols = [Grams(w).at(at[each] + off, k).view(np.int64), Grams(w, 1).at(at[each] + off, k).view(np.int64), n[each], rid[doc[each]], (at - w.first[doc])[each].astype(np.int32), off.astype(np.int32)]
+                yield pa.record_batch(cols, ["one", "two", "n", "rid", "pos", "off"])
+
+    return run
+
+
+def _sources(k: int):
+    """Digests of the paths listed for each document by their first piece: its hashes and the path's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, w, _, doc, at, _, flat, some in _listed(batch, k, True):
+                whole = flat.field(4).to_numpy()[some]
+                ok = at + whole + k - 1 <= w.first[doc + 1]
+                some, at, whole = some[ok], at[ok], whole[ok]
+                one, two = (flat.field(c).to_numpy()[some] for c in (2, 3))
+                yield pa.record_batch([one, two, pa.array(digests(data, w, at, whole + k - 1), pa.binary())], ["one", "two", "digest"])
 
     return run
 
 
+def digests(data: np.ndarray, w: Words, start: np.ndarray, length: np.ndarray) -> list[bytes]:
+    """BLAKE2b digests of runs of words, joined by one space each."""
+    size = w.end - w.start
+    ends = np.cumsum(size + 1)
+    begin = ends - size - 1
+    joined = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+    inside = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+    joined[begin[inside] + nth] = data[w.start[inside] + nth]
+    raw = memoryview(joined.tobytes())
+    return [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin[start].tolist(), (ends[start + length - 1] - 1).tolist(), strict=True)]
+
+
 def _cut(text: int, k: int, layout: bool):
     """Remove the words covered by marked edges. layout: leave the white space around kept words as it is."""
 
@@ -128,13 +174,22 @@ def _cut(text: int, k: int, layout: bool):
                 own = marks.slice(i, j - i)
                 flat = own.flatten()
                 doc = np.repeat(np.arange(j - i), own.value_lengths().fill_null(0).to_numpy())
-                each = flat.field(0).value_lengths().to_numpy()
-                doc, pos, mask = np.repeat(doc, each), flat.field(0).flatten().to_numpy(), np.repeat(flat.field(1).to_numpy(), each)
                 delta = np.zeros(len(w.hash) + 1, np.int64)
-                for off in range(int(mask.max()).bit_length() if len(mask) else 0):
-                    at = (w.first[doc] + pos + off)[(mask >> off) & 1 == 1]
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + k, -1)
+                if len(doc):
+                    pos, edges, mask = (flat.field(c).to_numpy() for c in range(3))
+                    fits = pos + edges + k - 1 <= np.diff(w.first)[doc]
+                    whole = np.flatnonzero(fits & (mask == 0))
+                    at = w.first[doc[whole]] + pos[whole]
+                    # the words here are those at the path's source
+                    wanted = flat.field(3).take(pa.array(whole)).to_pylist()
+                    same = np.array([x == y for x, y in zip(digests(data, w, at, edges[whole] + k - 1), wanted, strict=True)], bool)
+                    np.add.at(delta, at[same], 1)
+                    np.add.at(delta, at[same] + edges[whole][same] + k - 1, -1)
+                    for off in range(int(mask.max()).bit_length()):
+                        some = np.flatnonzero(fits & ((mask >> off) & 1 == 1))
+                        at = w.first[doc[some]] + pos[some] + off
+                        np.add.at(delta, at, 1)
+                        np.add.at(delta, at + k, -1)
                 gone = np.cumsum(delta)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                 lo, hi = edge[::2], edge[1::2]
@@ -182,31 +237,74 @@ def _kept(data: np.ndarray, offs: np.ndarray, w: Words, gone: np.ndarray, layout
     return [out[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _compacted(pieces: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Paths of repeated pieces (one, two, edges, n, source): the first piece's hashes, edges and source, and ``whole``, the
+    path's edges. occurrences: rid, pos, edges, one, two and how many rows have the text (copies)."""
+    order = Window.partitionBy("rid").orderBy("pos")
+    after = F.struct(F.lead("one").over(order).alias("one"), F.lead("two").over(order).alias("two"))
+    met = occurrences.select("one", "two", "copies", after.alias("after"), (F.lead("pos").over(order) == F.col("pos") + F.col("edges")).alias("next")).filter("next")
+    # a piece with one follower wherever it occurs, and that without another one before it
+    links = met.groupBy("one", "two").agg(F.min("after").alias("after"), F.max("after").alias("other"), F.sum("copies").alias("m")).filter("after = other")
+    links = links.join(pieces.select("one", "two", "n", "edges"), ["one", "two"]).filter("m = n")
+    links = links.select(F.struct("one", "two").alias("p"), F.col("edges").alias("off"), F.col("after.one").alias("one"), F.col("after.two").alias("two"), "m")
+    links = links.join(pieces.select("one", "two", "n"), ["one", "two"]).filter("m = n").select("one", "two", "p", "off")
+    # each piece points to one before it, ever further: to the first of its path at last
+    now, more = written(links, "pointers"), True
+    while more:
+        own = now.select(F.struct("one", "two").alias("p"), F.col("p").alias("pp"), F.col("off").alias("more"))
+        then = written(now.join(own, "p", "left").select("one", "two", F.coalesce("pp", "p").alias("p"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("pp").isNotNull().alias("moved")), "pointers")
+        more = bool(then.filter("moved").limit(1).count())
+        dropped(now)
+        now = then.select("one", "two", "p", "off")
+        now._lectern_path = then._lectern_path
+    ends = now.join(pieces.select("one", "two", "edges"), ["one", "two"]).groupBy("p").agg(F.max(F.col("off") + F.col("edges")).alias("whole"))
+    heads = pieces.join(now.select("one", "two"), ["one", "two"], "left_anti")
+    return heads.join(ends.select("p.one", "p.two", "whole"), ["one", "two"], "left").select("one", "two", "edges", "source", F.coalesce("whole", "edges").alias("whole"))
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout: bool = False) -> DataFrame:
     """``row`` (all columns of a document), n_words, kept (its remaining words, joined by one space or as laid out),
     removed_from/removed_to (runs of removed words)."""
     text = docs.columns.index(text_col)
     m = min(M, k)
     if k - m + 1 > 31:
-        m = k - 30  # a path has at most k - m + 1 edges, the bits of a mask
-    base = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "texts")
-    anchors = base.mapInArrow(_emit(text, k, m, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+        m = k - 30  # a piece has at most k - m + 1 edges, the bits of a mask
+    rid = F.xxhash64(docs[text_col])
+    base = docs.select(rid.alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    texts = docs.select(rid.alias("rid"), docs[text_col].alias("text"))
+
+    def at_sources(lists: DataFrame, read, schema: str) -> DataFrame:
+        """Texts read again where pieces (struct source) are listed; other texts don't move."""
+        lists = written(lists, "listed")
+        return perhaps_in(texts, lists, "rid").filter("met").join(lists, "rid").select("rid", "text", "pieces").mapInArrow(read, schema)
+
+    anchors = texts.mapInArrow(_emit(k, m, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     anchors = written(anchors, "anchors")  # so that a hot anchor's rows can be split in the join
-    paths = base.mapInArrow(_emit(text, k, m, True), "anchor long, one long, two long, rid long, pos array<int>, edges int")
-    paths = written(paths.join(anchors, "anchor", "left_semi"), "paths")
+    pieces = texts.mapInArrow(_emit(k, m, True), "anchor long, one long, two long, rid long, pos array<int>, edges int")
+    pieces = written(pieces.join(anchors, "anchor", "left_semi"), "pieces")
     content = ["anchor", "one", "two"]
-    kinds = written(paths.groupBy(*content).agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("rid", F.element_at("pos", 1).alias("pos"))).alias("source"), F.min("edges").alias("edges")), "kinds")
+    kinds = written(pieces.groupBy(*content).agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("rid", F.element_at("pos", 1).alias("pos"))).alias("source"), F.min("edges").alias("edges")), "kinds")
+
     branching = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("anchor")
-    branching = written(branching, "branching")
-    listed = kinds.join(branching, "anchor", "left_semi").groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "n")).alias("paths"))
-    listed = written(listed, "listed")
-    # texts of documents without such a path don't move
-    edges = written(perhaps_in(base, listed, "rid").filter("met").join(listed, "rid").select("rid", "row", "paths").mapInArrow(_edges(text, k), "one long, two long, n long, rid long, pos int, off int"), "edges")
+    listed = kinds.join(written(branching, "branching"), "anchor", "left_semi").groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "one", "two", "n")).alias("pieces"))
+    edges = written(at_sources(listed, _edges(k), "one long, two long, n long, rid long, pos int, off int"), "edges")
     again = edges.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
-    single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1, off)")).alias("mask")).select("rid", F.array("pos").alias("pos"), "mask")
-    whole = paths.join(kinds.filter("n > 1").select(*content), content, "left_semi").select("rid", "pos", F.expr("shiftleft(1, edges) - 1").alias("mask"))
-    marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks")), "marks")
-    dropped(anchors, branching, paths, kinds, listed, edges)
+    single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    single = single.select("rid", "pos", F.lit(0).alias("edges"), "mask", F.lit(None).cast("binary").alias("digest"))
+
+    repeated = written(kinds.filter("n > 1"), "repeated")
+    found = written(pieces.join(repeated.select(*content), content, "left_semi").select("rid", "pos", "edges", "one", "two"), "found")
+    dropped(anchors, pieces, kinds)
+    found = found.groupBy("rid", "one", "two", "edges").agg(F.count("*").alias("copies"), F.first("pos").alias("pos"))
+    occurrences = written(found.select("rid", "one", "two", "edges", "copies", F.explode("pos").alias("pos")), "occurrences")
+    paths = written(_compacted(repeated, occurrences), "paths")
+    lists = paths.groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "one", "two", "whole")).alias("pieces"))
+    read = at_sources(lists, _sources(k), "one long, two long, digest binary").groupBy("one", "two").agg(F.min("digest").alias("digest"))
+    paths = written(paths.join(read, ["one", "two"]).select("one", "two", "whole", "digest"), "digests")
+    whole = occurrences.select("rid", "pos", "one", "two").join(paths, ["one", "two"]).select("rid", "pos", F.col("whole").alias("edges"), F.lit(0).cast("long").alias("mask"), "digest")
+    marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("pos", "edges", "mask", "digest")).alias("marks")), "marks")
+    dropped(edges, repeated, occurrences, paths)
+
     schema = T.StructType([base.schema["row"], *T._parse_datatype_string("n_words long, kept string, removed_from array<int>, removed_to array<int>").fields])
     flagged = perhaps_in(base, marks, "rid")
     untouched = flagged.filter("NOT met").select("row", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
@@ -219,6 +317,7 @@ def n_removed():
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """A row a document: its words, how many go, and a digest of the rest. Null texts have no words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select(F.col("row.doc_id").alias("doc_id"), "n_words", n_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
