@@ -28,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,14 +88,21 @@ def _emit(k: int, m: int, full: bool):
                     continue
                 doc = np.searchsorted(w.first, at, "right") - 1
                 one, two = Grams(w).at(at, edges + k - 1), Grams(w, 1).at(at, edges + k - 1)
+                # what follows each piece without a gap; a text's last piece has no follower
+                after, follows = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
+                after[:-1], follows[:-1] = one[1:], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + edges[:-1])
                 order = np.lexsort((at, two, one, doc))
-                one, two, doc, at, anchor, edges = (x[order] for x in (one, two, doc, at, anchor, edges))
+                one, two, doc, at, anchor, edges, after, follows = (x[order] for x in (one, two, doc, at, anchor, edges, after, follows))
                 new = np.ones(len(at), bool)
                 new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1])
                 begin = np.flatnonzero(new)
+                # known only where it is the same at all of the row's positions
+                sure = np.ones(len(at), bool)
+                sure[1:] = new[1:] | (after[1:] == after[:-1])
+                sure = np.minimum.reduceat(follows & sure, begin) if len(begin) else sure
                 pos = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array((at - w.first[doc]).astype(np.int32)))
-                cols = [anchor[begin].view(np.int64), one[begin].view(np.int64), two[begin].view(np.int64), rid[i + doc[begin]], pos, edges[begin].astype(np.int32)]
-                yield pa.record_batch(cols, ["anchor", "one", "two", "rid", "pos", "edges"])
+                cols = [anchor[begin].view(np.int64), one[begin].view(np.int64), two[begin].view(np.int64), rid[i + doc[begin]], pos, edges[begin].astype(np.int32), pa.array(after[begin].view(np.int64), mask=~sure)]
+                yield pa.record_batch(cols, ["anchor", "one", "two", "rid", "pos", "edges", "after"])
 
     return run
 
@@ -176,12 +183,15 @@ def _cut(text: int, k: int, layout: bool):
                 doc = np.repeat(np.arange(j - i), own.value_lengths().fill_null(0).to_numpy())
                 delta = np.zeros(len(w.hash) + 1, np.int64)
                 if len(doc):
-                    pos, edges, mask = (flat.field(c).to_numpy() for c in range(3))
+                    each = flat.field(0).value_lengths().to_numpy()
+                    nth = np.repeat(np.arange(len(doc)), each)
+                    doc, pos = doc[nth], flat.field(0).flatten().to_numpy()
+                    edges, mask = (flat.field(c).to_numpy()[nth] for c in (1, 2))
                     fits = pos + edges + k - 1 <= np.diff(w.first)[doc]
                     whole = np.flatnonzero(fits & (mask == 0))
                     at = w.first[doc[whole]] + pos[whole]
                     # the words here are those at the path's source
-                    wanted = flat.field(3).take(pa.array(whole)).to_pylist()
+                    wanted = flat.field(3).take(pa.array(nth[whole])).to_pylist()
                     same = np.array([x == y for x, y in zip(digests(data, w, at, edges[whole] + k - 1), wanted, strict=True)], bool)
                     np.add.at(delta, at[same], 1)
                     np.add.at(delta, at[same] + edges[whole][same] + k - 1, -1)
@@ -237,17 +247,12 @@ def _kept(data: np.ndarray, offs: np.ndarray, w: Words, gone: np.ndarray, layout
     return [out[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _compacted(pieces: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Paths of repeated pieces (one, two, edges, n, source): the first piece's hashes, edges and source, and ``whole``, the
-    path's edges. occurrences: rid, pos, edges, one, two and how many rows have the text (copies)."""
-    order = Window.partitionBy("rid").orderBy("pos")
-    after = F.struct(F.lead("one").over(order).alias("one"), F.lead("two").over(order).alias("two"))
-    met = occurrences.select("one", "two", "copies", after.alias("after"), (F.lead("pos").over(order) == F.col("pos") + F.col("edges")).alias("next")).filter("next")
-    # a piece with one follower wherever it occurs, and that without another one before it
-    links = met.groupBy("one", "two").agg(F.min("after").alias("after"), F.max("after").alias("other"), F.sum("copies").alias("m")).filter("after = other")
-    links = links.join(pieces.select("one", "two", "n", "edges"), ["one", "two"]).filter("m = n")
-    links = links.select(F.struct("one", "two").alias("p"), F.col("edges").alias("off"), F.col("after.one").alias("one"), F.col("after.two").alias("two"), "m")
-    links = links.join(pieces.select("one", "two", "n"), ["one", "two"]).filter("m = n").select("one", "two", "p", "off")
+def _compacted(pieces: DataFrame) -> DataFrame:
+    """Paths of repeated pieces (one, two, edges, n, source, and ``after``: what follows, if that is the same wherever the
+    piece occurs): the first piece's hashes, edges and source, and ``whole``, the path's edges."""
+    links = pieces.filter("after IS NOT NULL").select(F.struct("one", "two").alias("p"), F.col("edges").alias("off"), F.col("after").alias("one"), F.col("n").alias("m"))
+    # and a follower that occurs as often follows nothing else
+    links = links.join(pieces.select("one", "two", "n"), "one").filter("m = n").select("one", "two", "p", "off")
     # each piece points to one before it, ever further: to the first of its path at last
     now, more = written(links, "pointers"), True
     while more:
@@ -280,30 +285,29 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, layout:
 
     anchors = texts.mapInArrow(_emit(k, m, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     anchors = written(anchors, "anchors")  # so that a hot anchor's rows can be split in the join
-    pieces = texts.mapInArrow(_emit(k, m, True), "anchor long, one long, two long, rid long, pos array<int>, edges int")
+    pieces = texts.mapInArrow(_emit(k, m, True), "anchor long, one long, two long, rid long, pos array<int>, edges int, after long")
     pieces = written(pieces.join(anchors, "anchor", "left_semi"), "pieces")
     content = ["anchor", "one", "two"]
-    kinds = written(pieces.groupBy(*content).agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("rid", F.element_at("pos", 1).alias("pos"))).alias("source"), F.min("edges").alias("edges")), "kinds")
+    after = F.when((F.count("*") == F.count("after")) & (F.min("after") == F.max("after")), F.min("after"))
+    kinds = written(pieces.groupBy(*content).agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("rid", F.element_at("pos", 1).alias("pos"))).alias("source"), F.min("edges").alias("edges"), after.alias("after")), "kinds")
 
     branching = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("anchor")
     listed = kinds.join(written(branching, "branching"), "anchor", "left_semi").groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "one", "two", "n")).alias("pieces"))
     edges = written(at_sources(listed, _edges(k), "one long, two long, n long, rid long, pos int, off int"), "edges")
     again = edges.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
     single = edges.filter("n = 1").join(again, ["one", "two"], "left_semi").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
-    single = single.select("rid", "pos", F.lit(0).alias("edges"), "mask", F.lit(None).cast("binary").alias("digest"))
+    single = single.select("rid", F.array("pos").alias("pos"), F.lit(0).alias("edges"), "mask", F.lit(None).cast("binary").alias("digest"))
 
     repeated = written(kinds.filter("n > 1"), "repeated")
-    found = written(pieces.join(repeated.select(*content), content, "left_semi").select("rid", "pos", "edges", "one", "two"), "found")
-    dropped(anchors, pieces, kinds)
-    found = found.groupBy("rid", "one", "two", "edges").agg(F.count("*").alias("copies"), F.first("pos").alias("pos"))
-    occurrences = written(found.select("rid", "one", "two", "edges", "copies", F.explode("pos").alias("pos")), "occurrences")
-    paths = written(_compacted(repeated, occurrences), "paths")
+    dropped(anchors, kinds)
+    paths = written(_compacted(repeated), "paths")
     lists = paths.groupBy(F.col("source.rid").alias("rid")).agg(F.collect_list(F.struct("source.pos", "edges", "one", "two", "whole")).alias("pieces"))
     read = at_sources(lists, _sources(k), "one long, two long, digest binary").groupBy("one", "two").agg(F.min("digest").alias("digest"))
     paths = written(paths.join(read, ["one", "two"]).select("one", "two", "whole", "digest"), "digests")
-    whole = occurrences.select("rid", "pos", "one", "two").join(paths, ["one", "two"]).select("rid", "pos", F.col("whole").alias("edges"), F.lit(0).cast("long").alias("mask"), "digest")
-    marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("pos", "edges", "mask", "digest")).alias("marks")), "marks")
-    dropped(edges, repeated, occurrences, paths)
+    whole = pieces.select("rid", "pos", "one", "two").join(paths, ["one", "two"]).select("rid", "pos", F.col("whole").alias("edges"), F.lit(0).cast("long").alias("mask"), "digest")
+    # equal texts have equal marks, and a task sends each once
+    marks = written(whole.unionByName(single).groupBy("rid").agg(F.collect_set(F.struct("pos", "edges", "mask", "digest")).alias("marks")), "marks")
+    dropped(edges, pieces, repeated, paths)
 
     schema = T.StructType([base.schema["row"], *T._parse_datatype_string("n_words long, kept string, removed_from array<int>, removed_to array<int>").fields])
     flagged = perhaps_in(base, marks, "rid")
