@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,24 +237,31 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x.tobytes() for x in f], pa.binary()), batch.column(1).slice(i, j - i)], ["x", "label"])
 
 
+#: Tasks that add up the tasks' sums, and rows that one handles at once.
+ADDERS, ROWS = 16, 2000
+
+
 def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of batches."""
+    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of some of them. A task sends
+    one vector, and ``ADDERS`` tasks add these up one by one, so nothing holds more than two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(size), False
+        total = np.zeros(size)
         for batch in batches:
-            if len(batch):
-                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, N_FEATURES)
-                total += add(x, batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False))
-                seen = True
-        if seen:
-            at = np.flatnonzero(total)
-            yield pa.record_batch([at, total[at]], ["place", "value"])
-
-    out = np.zeros(size)
-    for r in rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toLocalIterator():
-        out[r.place] = r.value
-    return out
+            for k in range(0, len(batch), ROWS):
+                x = np.frombuffer(b"".join(batch.column(0).slice(k, ROWS).to_pylist()), np.float32).reshape(-1, N_FEATURES)
+                total += add(x, batch.column(1).slice(k, ROWS).fill_null(-1).to_numpy(zero_copy_only=False))
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["adder", "total"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column(1):
+                total += np.frombuffer(x.as_buffer(), np.float64)
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    sums = rows.mapInArrow(run, "adder int, total binary").repartition(ADDERS, "adder").mapInArrow(added, "total binary")
+    return sum((np.frombuffer(r.total, np.float64) for r in sums.collect()), np.zeros(size))
 
 
 def _moments(total: np.ndarray, d: int) -> Moments:

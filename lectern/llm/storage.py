@@ -82,7 +82,8 @@ def dropped(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Within the block, keep track of written tables; at its end all go but those handed to the yielded function."""
+    """Within the block, keep track of written tables; at its end all go but those handed to the yielded function, and
+    the driver collects its garbage, so that executors let go of broadcasts that nothing refers to."""
     _OPEN.append([])
     kept: list[DataFrame] = []
 
@@ -100,6 +101,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
                     _OPEN[-1].append(table)
             else:
                 dropped(table)
+        if own:
+            own[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def perhaps_in(base: DataFrame, rows: DataFrame, key: str, bits: int = BITS) -> DataFrame:
