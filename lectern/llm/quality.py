@@ -238,7 +238,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Tasks that add up the tasks' sums, and rows that one handles at once.
-ADDERS, ROWS = 16, 2000
+ADDERS, ROWS = 8, 2000
 
 
 def _summed(rows: DataFrame, size: int, add) -> np.ndarray:

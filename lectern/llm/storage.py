@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
@@ -54,6 +55,8 @@ def _while_writing(spark: SparkSession) -> Iterator[None]:
 
 #: Tables written within the open ``scratch`` blocks.
 _OPEN: list[list[DataFrame]] = []
+#: Tables written so far; the driver collects its garbage (plans, broadcasts) after every ``_GARBAGE`` of them.
+_count, _GARBAGE = itertools.count(1), 8
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +70,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out._lectern_path = path
     if _OPEN:
         _OPEN[-1].append(out)
+    if next(_count) % _GARBAGE == 0:
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.ones(size + 1, U)
         have[1:] = U(base)
         np.cumprod(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 19:  # longer ones are made again for the few long texts, so that workers stay small
             _powers[base] = have
     return have[: n + 1]
 
