@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from lectern.llm.decontaminate import OP10_SQL, op10_decontaminate
+from lectern.llm.divergence import OP11_SQL, op11_source_divergence
 from lectern.llm.fingerprints import op1_fingerprints
 from lectern.llm.html_text import op6_html_text
 from lectern.llm.jaccard_join import OP8_SQL, op8_jaccard_join
@@ -16,6 +17,6 @@ from lectern.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_substring_dedup, op3_warc, op4_quality, op5_masked_lm, op6_html_text, op7_language, op8_jaccard_join, op9_sentencepiece, op10_decontaminate, op13_conversation_repair)
+    for f in (op1_fingerprints, op2_substring_dedup, op3_warc, op4_quality, op5_masked_lm, op6_html_text, op7_language, op8_jaccard_join, op9_sentencepiece, op10_decontaminate, op11_source_divergence, op13_conversation_repair)
 }
-SQL = {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontaminate": OP10_SQL, "op13_conversation_repair": OP13_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_conversation_repair": OP13_SQL}

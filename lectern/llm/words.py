@@ -58,12 +58,14 @@ def mix(z: np.ndarray) -> np.ndarray:
 @lru_cache
 def table(kind: str, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each byte: whether it belongs to a word, and its 64-bit value under a seed. kind "space": words are runs without
-    U+0020 and U+0009..U+000D; "alnum": runs of ASCII letters, ASCII digits and characters outside ASCII."""
+    U+0020 and U+0009..U+000D; "alnum": runs of ASCII letters, ASCII digits and characters outside ASCII; "letters": the
+    same without digits."""
     codes = np.arange(256)
     if kind == "space":
         inside = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-    elif kind == "alnum":
-        inside = ((codes >= 48) & (codes <= 57)) | ((codes >= 97) & (codes <= 122)) | (codes >= 128)
+    elif kind in ("alnum", "letters"):
+        inside = ((codes >= 97) & (codes <= 122)) | (codes >= 128)
+        inside |= (codes >= 48) & (codes <= 57) if kind == "alnum" else np.False_
         inside |= (codes >= 65) & (codes <= 90) if lower else np.False_
     else:
         raise ValueError(f"no such kind of word: {kind}")
