@@ -35,8 +35,8 @@ from lectern.llm.words import mix, parts, words
 LEAST, RANKS = 30, 50
 #: Counters of a row of the sketch for each document, bounds of a row's width, rows, and counters of a page.
 EACH, NARROWEST, WIDEST, DEPTH, PAGE = 16, 1 << 16, 1 << 27, 2, 1 << 15
-#: Bytes of text handled at once.
-SLICE = 1 << 20
+#: Bytes of text handled at once, and rows that a task sums up before it hands them on.
+SLICE, HELD = 1 << 20, 400_000
 
 
 def _salt(lang: str) -> np.uint64:
@@ -122,10 +122,30 @@ def _possible(texts: DataFrame, width: int, least: int) -> np.ndarray:
     return out.reshape(DEPTH, -1)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lang, source, term with the sums of n and docs of each ``HELD`` rows or so."""
+    held: list[pa.RecordBatch] = []
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        out = pa.Table.from_batches(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        yield from out.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"]).to_batches(20_000)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= HELD:
+            yield from sums()
+            held = []
+    if held:
+        yield from sums()
+
+
 def _counted(bits: np.ndarray):
-    """lang, source, term, n, docs of the terms of a slice that pass the sketch."""
+    """lang, source, term, n, docs of the terms that pass the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(slices(batches))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = bits.shape[1] * 8
         for batch in batches:
             group, names = _groups(batch.column(1), batch.column(2))
