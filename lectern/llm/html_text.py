@@ -3,12 +3,15 @@
 Pages are parsed leniently (unclosed and stray tags, attributes without a closing quote, raw elements, comments without
 an end). Elements that are never content (navigation, headers, footers, asides, forms, scripts ...) or have such a role
 are left out. A class or id that names what is not content (``ad``, ``site-footer``, ``comment-list``) is evidence that
-the element's own text can outweigh: with few links and most of the page's text it stays, unless it names comments.
-Where such a word is only part of another name (``social-history``), the element goes only if it is short or full of
-links. Each paragraph then passes points to its ancestors, one and more for its commas and its length, whole to the parent,
+the element's own text can outweigh: with few links and most of the text of a page without an article it stays, unless it
+names comments. Where such a word is only part of another name (``social-history``), or the id of a section or paragraph
+(ids are often made from headings), only links speak against the element, and within an article only if they are half of
+its text. Names of headings don't count, and those of paragraphs only if they are of comments, adverts or notices. Each
+paragraph then passes points to its ancestors, one and more for its commas and its length, whole to the parent,
 half to the grandparent and less above; a container's points are discounted by its link density. The best container
 (or the article around it) is kept with the siblings that have a fair part of its points or read like prose, and with
-sibling articles. Of a main part (or an article of articles) around it all is kept but links and what is named so.
+sibling articles. Of a main part (or an article of articles) around it all is kept but blocks of links, paragraphs that
+are nothing but links, and what is named so. No rule looks at the length of a text by itself.
 
 Edge cases: null and empty pages have an empty text, and so have pages without any block; character references are
 decoded once; white space inside a block (line breaks too) becomes one space; repeated rows give repeated rows.
@@ -48,6 +51,9 @@ NAMES = COMMENTS | frozenset(
     "footer foot header masthead breadcrumb breadcrumbs pagination pager notice notices cookie cookies consent gdpr alert alerts "
     "modal popup overlay newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar search form skip outbrain taboola".split()
 )
+#: Of these, what also speaks against a paragraph.
+LOUD = COMMENTS | frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted notice notices cookie cookies consent gdpr alert alerts banner newsletter".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that such a name may hold besides.
 PLAIN = frozenset(
     "site page top bottom left right primary secondary main list box wrap wrapper container block inner outer section area item items links link bar global user users reader readers unit slot "
@@ -81,11 +87,24 @@ def _named(attrs: str) -> tuple[frozenset, bool]:
     return frozenset(strong), weak
 
 
+def _names(tag: str, classes: str, own_id: str) -> tuple[frozenset, bool]:
+    """What an element's class and id say against it, and whether that counts only with links."""
+    if tag in HEADINGS:
+        return frozenset(), False
+    names, weak = _named(classes)
+    by_id, weak_id = _named(own_id)
+    if tag in ("p", "section"):
+        weak_id, by_id = weak_id or bool(by_id - COMMENTS), by_id & COMMENTS
+    if tag == "p":
+        weak, names = weak or bool(names - LOUD), names & LOUD
+    return names | by_id, weak or weak_id
+
+
 def _opened(tag: str, attrs: str, parent: Node) -> Node:
     names, drop, weak = frozenset(), tag in NEVER, False
     if attrs and not attrs.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-        names, weak = _named(f"{found.get('class', '')} {found.get('id', '')}")
+        names, weak = _names(tag, found.get("class", ""), found.get("id", ""))
         drop = drop or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if found.get("role", "").lower() == "main":
             names |= {"role-main"}
@@ -288,15 +307,16 @@ def _sizes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
 def _weighed(root: Node) -> None:
     """Let an element's text speak against its name, or for one that is only part of another name."""
     text, link = _sizes(root)
-    whole = text.get(id(root), 0)
-    for kind, node in _walk(root):
-        if kind != "in" or not (node.weak or node.names & NAMES):
+    whole, every = text.get(id(root), 0), [what for kind, what in _walk(root) if kind == "in"]
+    articles = any(x.tag in ("article", "main") or "role-main" in x.names for x in every)
+    for node in every:
+        if not (node.weak or node.names & NAMES):
             continue
         n = text.get(id(node), 0)
         linked = link.get(id(node), 0) / max(1, n)
-        if node.weak and (n < 200 or linked >= 0.25):
+        if node.weak and not node.names & NAMES and linked >= (0.5 if articles and _inside_article(node) else 0.25):
             node.names |= {"side"}
-        elif node.names & NAMES and not node.names & COMMENTS and n >= 400 and 2 * n >= whole and linked < 0.25:
+        elif node.names & NAMES and not node.names & COMMENTS and not articles and 2 * n >= whole and linked < 0.25:
             node.names -= NAMES
 
 
@@ -336,7 +356,7 @@ def main_nodes(root: Node) -> list[Node]:
         # up to the outermost article or main part, all stays but links and what is named as no content
         while near is not holder:
             for kid in near.parent.kids:
-                if isinstance(kid, Node) and kid is not near and kid.tag not in ("h1", "h2") and (kid.names & NAMES or density(kid) >= (0.5 if kid.tag == "article" else 0.25)):
+                if isinstance(kid, Node) and kid is not near and kid.tag not in HEADINGS and (kid.names & NAMES or density(kid) >= (1.0 if kid.tag in ("p", "blockquote") else 0.5)):
                     kid.drop = True
             near = near.parent
         if holder.tag != "article" or "role-main" in holder.names:

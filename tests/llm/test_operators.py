@@ -204,6 +204,24 @@ def test_html_keeps_the_siblings_of_an_article():
     assert html_text.main_text(page) == text("Title", "A short lead", "loose", a, b)
 
 
+def test_html_keeps_what_stands_in_an_article():
+    a = "First some words of prose, and more of them. " * 4
+    kept = [
+        "<h2 id='related-work'>Related work</h2>", "<h2 id='search'>Search</h2>", "<section id='search-algorithms'><h3>Search algorithms</h3><p>They look, and find.</p></section>",
+        "<section id='alert-systems'><p>Sirens, mostly.</p></section>", "<p class='share'>They share all.</p>", "<section id='alerts'><p>Short.</p></section>", "<h3 class='header menu'>Food</h3>",
+    ]
+    for x in kept:
+        want = "\n".join([" ".join(a.split()), *(t for t in re.split(r"(?:<[^>]*>)+", x) if t), "End."])
+        for page in (f"<article><p>{a}</p>{x}<p>End.</p></article>", f"<main><article><p>{a}</p>{x}</article><p>End.</p></main>"):
+            assert html_text.main_text(f"<body><nav>n</nav>{page}<footer>f</footer></body>") == want, page
+    page = f"<main><article><p>{a}</p></article><p>Read <a href=x>the whole report of the commission</a>.</p><p><a href=y>More</a></p></main>"
+    assert html_text.main_text(page) == " ".join(a.split()) + "\nRead the whole report of the commission."
+    gone = ["<div class=ad>Buy.</div>", "<p class='cookie-notice'>We bake.</p>", "<section id=comments><p>First!</p></section>", "<div class='share-bar'><a href=x>Share</a></div>", "<section id='related'><a href=x>More of it</a></section>"]
+    for x in gone:
+        assert html_text.main_text(f"<article><p>{a}</p>{x}<p>End.</p></article>") == " ".join(a.split()) + "\nEnd.", x
+    assert html_text.main_text("<article><p>Yes.</p></article><div class=ad>" + a * 9 + "</div>") == "Yes."
+
+
 def test_language_declared_after_any_preamble(spark):
     docs = spark.createDataFrame([(0, "the cat and the dog and the house", "en"), (1, "der hund und die katze und das haus", "de")], "doc_id long, text string, lang string")
     late = "<!-- <html lang=fr> " + "x" * 5000 + " -->" + " " * 5000 + "<!doctype html>"
