@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import contaminated, matches
-from lectern.llm.jaccard_join import jaccard_components
+from lectern.llm.jaccard_join import jaccard_components, text_key
 from lectern.llm.quality import scored, train
 from lectern.llm.sentencepiece_codec import encoded
 from lectern.llm.storage import dropped, perhaps_in, scratch, written
@@ -25,16 +25,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the least id. Rows with
-    equal ids and equal texts count as one; a null id is kept where no document with an id is linked to it. Documents
-    whose id has one row, and that is kept, don't move."""
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the first by id (nulls last) and by a
+    hash of the text: rows are told apart by both, so of two linked texts of one id one goes. Rows with equal ids and
+    texts count as one. Documents that are kept and have one row don't move."""
     found = jaccard_components(docs, shingle=5, percent=80)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(stays).alias("kept"))
-    ids = written(ids.filter("n > 1 OR kept < n"), "ids")
-    rows = perhaps_in(docs.select(docs.doc_id.cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), ids, "id")
-    met = rows.filter("met").join(ids.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left").filter("coalesce(kept, 1) > 0")
-    again = met.filter("n > 1").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"])
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    texts = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.count_if(stays).alias("kept")).filter("n > 1 OR kept = 0")
+    texts = written(texts.select(F.xxhash64("doc_id", "key").alias("text_id"), "doc_id", "key", "n", "kept"), "texts")
+    rows = docs.select(docs.doc_id.cast("long").alias("id"), text_key("text").alias("own"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = perhaps_in(rows.withColumn("text_id", F.xxhash64("id", "own")), texts, "text_id")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key"))
+    met = rows.filter("met").join(texts.drop("text_id"), same, "left").filter("coalesce(kept, 1) > 0")
+    again = met.filter("n > 1").dropDuplicates(["id", "own"])
     out = rows.filter("NOT met").select("row").unionByName(met.filter("coalesce(n, 1) = 1").select("row")).unionByName(again.select("row"))
     return out.select("row.*")
 

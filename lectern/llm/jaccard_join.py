@@ -19,8 +19,8 @@ still meet in a list are compared, for long lists in blocks of a bounded number
 and no link between components is lost. Sets move only for texts that a pair needs (``perhaps_in``).
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; a text shorter than a shingle
-is one shingle; repeated rows and equal ids are kept; ids may be null (such a row is linked through equal sets only);
-other columns are ignored.
+is one shingle; repeated rows and equal ids are kept, and have one set together; ids may be null (texts of such rows are
+told apart by ``text_key``, and sort last); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,13 +76,16 @@ def _digest(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(h + _S1), first) + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
+_SCAN = ["doc_id", "key", "n", "n_low", "cls", "two", "token", "low"]
+
+
 def _scan(shingle: int, percent: int):
-    """A row a text (n not null) and a row for each token in its prefix zone (n null)."""
+    """A row a text (id, key, text; n not null) and a row for each token in its prefix zone (n null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, data, offs in parts(batch.column(1)):
+            ids, keys = batch.column(0), batch.column(1)
+            for i, j, data, offs in parts(batch.column(2)):
                 h, first = sets(data, offs, shingle)
                 n = np.diff(first)
                 one, two = _digest(h, first), mix(_sums(mix(h + _S2), first)).view(np.int64)
@@ -91,22 +94,30 @@ def _scan(shingle: int, percent: int):
                 inside = at < _zone(n, percent)[doc]
                 low = at < _zone(n * 100 / percent, percent)[doc]
                 n_low = np.bincount(doc[low], minlength=j - i)
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(n), pa.array(n_low), pa.array(one), pa.array(two), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.bool_())], ["doc_id", "n", "n_low", "cls", "two", "token", "low"])
+                yield pa.record_batch([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(n), pa.array(n_low), pa.array(one), pa.array(two), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.bool_())], _SCAN)
                 token, k = h[inside].view(np.int64), int(inside.sum())
                 none = pa.nulls(k, pa.int64())
-                yield pa.record_batch([pa.nulls(k, ids.type), none, none, pa.array(one[doc[inside]]), none, pa.array(token), pa.array(low[inside])], ["doc_id", "n", "n_low", "cls", "two", "token", "low"])
+                yield pa.record_batch([pa.nulls(k, ids.type), none, none, none, pa.array(one[doc[inside]]), none, pa.array(token), pa.array(low[inside])], _SCAN)
 
     return run
 
 
 def _sets(shingle: int):
+    """Sets of texts that the join on their ids brought; equal rows meet in one task, which gives their set once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
             rest = [batch.column(c) for c in range(1, batch.num_columns)]
             for i, j, data, offs in parts(batch.column(0)):
                 h, first = sets(data, offs, shingle)
                 own = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
-                same = pa.array(_digest(h, first) == rest[0].slice(i, j - i).to_numpy())  # another row may have the same id
+                cls = rest[0].slice(i, j - i).to_numpy()
+                same = _digest(h, first) == cls  # another row may have the same id
+                for k in np.flatnonzero(same).tolist():
+                    same[k] = int(cls[k]) not in given
+                    given.add(int(cls[k]))
+                same = pa.array(same)
                 yield pa.record_batch([x.filter(same) for x in (*(c.slice(i, j - i) for c in rest), own)], ["cls", "n", "typical", "combine", "tokens"])
 
     return run
@@ -204,7 +215,7 @@ def _linked(percent: int):
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links among pairs (u, v). Sizes are compared before any set moves."""
-    sizes = full.select("cls", "n")
+    sizes = full.select("cls", "n").distinct()
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     for c in ("u", "v"):
         pairs = pairs.join(sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}")), c)
@@ -285,16 +296,22 @@ def _long_lists(sig: DataFrame, labels: DataFrame, full: DataFrame, percent: int
     return rows.groupBy("main", "z", "m").applyInArrow(_blocks(percent), "u long, v long")
 
 
+def text_key(text: str = "text"):
+    """What tells texts of one id apart."""
+    return F.xxhash64(text)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable through links) for every row."""
+    """doc_id, n_shingles, component_id (least id reachable through links) for every row; key (``text_key``), and
+    component_key, the key of the component's first text: least by id (nulls last) and key."""
     with scratch() as keep:
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         return keep(written(_components_of(base, shingle, percent, rare), "components"))
 
 
 def _components_of(base: DataFrame, shingle: int, percent: int, rare: int) -> DataFrame:
-    scan = written(base.mapInArrow(_scan(shingle, percent), "doc_id long, n long, n_low long, cls long, two long, token long, low boolean"), "scan")
-    members = written(scan.filter("n IS NOT NULL").select("doc_id", "n", "n_low", "cls", "two"), "members")
+    scan = written(base.select("doc_id", text_key().alias("key"), "text").mapInArrow(_scan(shingle, percent), "doc_id long, key long, n long, n_low long, cls long, two long, token long, low boolean"), "scan")
+    members = written(scan.filter("n IS NOT NULL").select("doc_id", "key", "n", "n_low", "cls", "two"), "members")
     tokens = scan.filter("n IS NULL").select("token", "cls", "low")
 
     # a token of one class is no candidate; of two, both are known from the count; the others' rows are read again
@@ -303,11 +320,12 @@ def _components_of(base: DataFrame, shingle: int, percent: int, rare: int) -> Da
     several = written(several.distinct(), "several")
     dropped(scan)
     frequent = several.filter("frequent AND low").groupBy("cls").agg(F.count("*").alias("n_frequent"))
-    classes = members.filter("n > 0").groupBy("cls", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.max("n_low").alias("n_low"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = members.filter("n > 0").groupBy("cls", "two", "n").agg(F.min(place).alias("at"), F.max("n_low").alias("n_low"))
     # of a text's rare tokens in its zone, a partner lacks ``missing`` at most
     rare_ones, missing = F.col("n_low") - F.coalesce("n_frequent", F.lit(0)), F.expr(f"n - (({percent} * n + 99) div 100)")
     typical = F.coalesce("n_frequent", F.lit(0)) / F.greatest("n_low", F.lit(1))
-    classes = written(classes.join(frequent, "cls", "left").select("cls", "n", "doc_id", typical.alias("typical"), (rare_ones - missing).alias("least")), "classes")
+    classes = written(classes.join(frequent, "cls", "left").select("cls", "n", "at.doc_id", "at.key", typical.alias("typical"), (rare_ones - missing).alias("least")), "classes")
 
     lists = several.filter("NOT frequent").groupBy("token").agg(F.array_sort(F.collect_set("cls")).alias("members")).groupBy("members").agg(F.count("*").alias("m"))
     pairs = lists.select(F.explode("members").alias("u"), "members", "m").select("u", F.explode("members").alias("v"), "m").filter("u < v")
@@ -317,10 +335,11 @@ def _components_of(base: DataFrame, shingle: int, percent: int, rare: int) -> Da
     pairs = written(pairs.filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) AND m >= greatest(least_u, least_v)").select("u", "v"), "pairs")
     dropped(shared, several)
     used = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct().withColumn("used", F.lit(True))
-    wanted = classes.join(used, "cls", "left").filter("used OR least < 1").filter("doc_id IS NOT NULL").select("doc_id", "cls", "n", "typical", (F.col("least") < 1).alias("combine"))
+    wanted = classes.join(used, "cls", "left").filter("used OR least < 1").select("doc_id", "key", F.xxhash64("doc_id", "key").alias("row"), "cls", "n", "typical", (F.col("least") < 1).alias("combine"))
     wanted = written(wanted, "wanted")
-    texts = perhaps_in(base, wanted, "doc_id").filter("met").select("doc_id", "text")
-    full = texts.join(wanted, "doc_id").select("text", "cls", "n", "typical", "combine").mapInArrow(_sets(shingle), "cls long, n long, typical double, combine boolean, tokens array<long>")
+    texts = base.withColumn("own", text_key()).withColumn("row", F.xxhash64("doc_id", "own"))
+    texts = perhaps_in(texts, wanted, "row").filter("met").select(F.col("doc_id").alias("id"), "own", "text")
+    full = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key"))).select("text", "cls", "n", "typical", "combine").mapInArrow(_sets(shingle), "cls long, n long, typical double, combine boolean, tokens array<long>")
     full = written(full, "sets")
 
     sig = written(full.filter("combine").select("cls", "typical", "tokens").mapInArrow(_signatures(percent), "sig long, cls long, typical double, n long, need long"), "signatures")
@@ -344,17 +363,17 @@ def _components_of(base: DataFrame, shingle: int, percent: int, rare: int) -> Da
     labels = written(components(links.unionByName(more).unionByName(more_long)), "labels")
 
     # classes to documents: a component's id is its least document
-    named = members.groupBy("cls", "two", "n").agg(F.min("doc_id").alias("least")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "two", "n", F.coalesce("component", "cls").alias("component"), F.col("component").isNotNull().alias("linked"), "least")
+    named = members.groupBy("cls", "two", "n").agg(F.min(place).alias("least")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "two", "n", F.coalesce("component", "cls").alias("component"), F.col("component").isNotNull().alias("linked"), "least")
     least = named.filter("linked").groupBy("component").agg(F.min("least").alias("least_of_all"))
-    named = named.join(least, "component", "left").select("cls", "two", "n", F.when(F.col("linked"), F.col("least_of_all")).otherwise(F.col("least")).alias("component_id"))
-    out = members.join(named, ["cls", "two", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = named.join(least, "component", "left").select("cls", "two", "n", F.when(F.col("linked"), F.col("least_of_all")).otherwise(F.col("least")).alias("top"))
+    out = members.join(named, ["cls", "two", "n"], "left").withColumn("top", F.when(F.col("n") > 0, F.col("top")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top.doc_id", "doc_id").alias("component_id"), "key", F.coalesce("top.key", "key").alias("component_key"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """A row a document: size of its set of four-word shingles and the least id reachable by links of 85 % and more.
     A null or empty text has an empty set and is a component of its own."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = r"""

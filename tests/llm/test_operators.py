@@ -65,6 +65,18 @@ def test_jaccard_components(spark, n, percent, rare):
     assert got == brute_components(texts, n, percent)
 
 
+def test_jaccard_of_repeated_rows(spark):
+    a, b = prose(40, 120, 10**5), prose(40, 120, 10**5) + " and more"
+    texts = [a, b, "alone", *TEXTS]
+    rows = [*((i, t) for i, t in enumerate(texts)), *[(0, a), (1, b)] * 1000, *[(None, a), (None, b), (None, "nobody else")] * 50, (0, prose(41, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_join.jaccard_components(df).groupBy("doc_id", "component_id").count().collect()
+    found = {(r.doc_id, r.component_id): r["count"] for r in got}
+    # TEXTS has copies of its own: 8 and 9 (one two), 10, 11 and 12 (60 words)
+    assert found[0, 0] == 1002 and found[1, 0] == 1001 and found[None, 0] == 100 and found[None, None] == 50
+    assert found[2, 2] == 1 and sum(found.values()) == len(rows)
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, ["x"]).limit(0)).count() == 0
 
