@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from lectern.functions.lists import BOGUS, COLOURS, DIACRITICS, DISPLAY, KEY_WORDS, KNOWN_TERMS, SILENCE_WORDS, SUFFIXES, TOPIC_WORDS
 
 
+#: White space of any kind as a character class, and as characters to trim.
+SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES = " \t\n\x0B\x0C\r\u0085\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def similarity_norm(x: Column) -> Column:
     """Lower case, punctuation (but apostrophes) to spaces, single spaces, no spaces beside apostrophes; null is ""."""
     x = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"(?U)[^\w\s']", " ")
-    x = strip(F.regexp_replace(x, r"(?U)\s+", " "))
+    x = strip(F.regexp_replace(x, SPACE + "+", " "))
     return F.regexp_replace(F.regexp_replace(x, r"'\s+", "'"), r"\s+'", "'")
 
 
@@ -48,7 +53,7 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 def clean_text(x: Column) -> Column:
     """Single spaces, none before punctuation, trimmed."""
-    x = F.regexp_replace(x, r"(?U)\s+", " ")
+    x = F.regexp_replace(x, SPACE + "+", " ")
     return strip(F.regexp_replace(x, r"\s+([,.!?;:])", "$1"))
 
 
@@ -62,7 +67,7 @@ def display_text(x: Column) -> Column:
 def bogus_filter(x: Column) -> Column:
     """"" for texts that a speech model makes up: too short, with a credit line, or one or two silence words."""
     low = strip(F.lower(x))
-    words = F.filter(F.split(low, r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(low, SPACE + "+"), lambda w: w != "")
     credit = F.lit(False)
     for pattern in BOGUS:
         credit = credit | F.contains(low, F.lit(pattern))
@@ -122,7 +127,7 @@ def wrap(x: Column, width: int = 60) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), lambda w: w != "")).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(x, F.lit("")), SPACE + "+"), lambda w: w != "")).cast("long")
 
 
 def video_id(url: Column) -> Column:
@@ -143,7 +148,7 @@ def caption_lines(x: Column) -> Column:
 
 def words_of(x: Column) -> Column:
     """Words between white space, as an array; none for null."""
-    return F.filter(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(x, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
 def not_past(x: Column, now: Column) -> Column:

@@ -12,6 +12,8 @@ import unicodedata
 from collections import Counter
 from itertools import groupby
 
+import numpy as np
+
 from lectern.functions.lists import (
     COMPLETE_PHRASES, CONSONANTS, CONTINUERS, EMPHATIC, FILLERS, INCOMPLETE, LEET, MILD, MISHEARD, PREDICATES, PROFANITY,
     RELIGIOUS, RELIGIOUS_KEPT, SIGNS, SUBJECTS, SYNONYMS, VIRAMA, VOWEL_SIGNS, VOWELS,
@@ -74,6 +76,25 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+def indel_ratios(words: list[str], term: str) -> np.ndarray:
+    """``indel_ratio`` of many words and one term: for all words at once, character by character, a bit for each of the
+    term's characters tells where the longest common subsequence hasn't grown."""
+    if not 0 < len(term) < 64 or any("\0" in w for w in words):
+        return np.array([indel_ratio(w, term) for w in words], dtype=float)
+    length = np.array([len(w) for w in words])
+    codes = np.array([w or "\0" for w in words]).view(np.uint32).reshape(len(words), -1)
+    letters = np.array(sorted({ord(c) for c in term}), np.uint32)
+    places = np.array([sum(1 << k for k, c in enumerate(term) if ord(c) == x) for x in letters.tolist()], np.uint64)
+    open_ = np.full(len(words), ~np.uint64(0))
+    for column in codes.T:
+        at = np.minimum(np.searchsorted(letters, column), len(letters) - 1)
+        own = np.where(letters[at] == column, places[at], np.uint64(0))
+        met = open_ & own
+        open_ = (open_ + met) | (open_ - met)
+    shared = len(term) - np.bitwise_count(open_ & np.uint64((1 << len(term)) - 1)).astype(np.int64)
+    return 200.0 * shared / (length + len(term))
+
+
 def tidy(text: str) -> str:
     return re.sub(r"\s+([,.!?;:])", r"\1", re.sub(r"\s+", " ", text)).strip()
 

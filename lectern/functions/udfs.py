@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from lectern.functions import machines as M
 from lectern.functions import segments as S
 
 _FINDINGS = T.StructType([T.StructField("text", T.StringType()), T.StructField("findings", T.LongType()), T.StructField("confidence", T.DoubleType())])
@@ -68,8 +70,52 @@ class Tokens:
                 yield k, piece
 
 
+#: Machines that SQL can run, by name, and what their argument is made of.
+MACHINES = {
+    "segment_cleaner": (M.SegmentCleaner, str), "bounded_buffer": (M.BoundedBuffer, int), "rate_limiter": (M.RateLimiter, float), "moving_mean": (M.MovingMean, None),
+    "word_window": (M.WordWindow, int),
+}
+
+
+class RunMachine:
+    """``run_machine(TABLE (...) PARTITION BY stream ORDER BY (place), 'name', 'argument')``: the columns of any table with
+    what a machine puts out for each row. The result's columns depend on both, so they are found when a query is
+    analysed. Each stream begins anew."""
+
+    #: What the machines put out; ``register`` fills it, as a schema is parsed by the engine.
+    schemas: dict[str, T.StructType] = {}
+
+    @classmethod
+    def _columns(cls, rows: AnalyzeArgument, machine: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("the first argument is a table")
+        if machine.value not in cls.schemas:
+            raise ValueError(f"no such machine: {machine.value}")
+        return AnalyzeResult(T.StructType([*rows.dataType.fields, *cls.schemas[machine.value].fields]))
+
+    def __init__(self):
+        self.machine = self.state = None
+
+    def eval(self, row, machine: str, option: str) -> Iterator[tuple]:
+        if self.machine is None:
+            kind, of = MACHINES[machine]
+            self.machine = kind() if of is None else kind(of(option))
+            self.state = self.machine.start()
+        for made in self.machine.step(self.state, row):
+            yield *row, *made
+
+
 def register(spark: SparkSession) -> None:
-    """All of these by name in SQL: the functions, and the table functions ``sentences`` and ``tokens``."""
+    """All of these by name in SQL: the functions, and the table functions ``sentences``, ``tokens`` and ``run_machine``."""
+
+    class Run(RunMachine):
+        schemas = {name: T._parse_datatype_string(kind.schema) for name, (kind, _) in MACHINES.items()}
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, machine: AnalyzeArgument, option: AnalyzeArgument) -> AnalyzeResult:
+            return Run._columns(rows, machine)
+
+    spark.udtf.register("run_machine", F.udtf(Run))
     for f in (seq_ratio, indel_ratio, ascii_fold, rewrite_terms, clean_repetitions):
         spark.udf.register(f.__name__, f)
     spark.udf.register("filter_profanity", filter_profanity())

@@ -12,16 +12,15 @@ from lectern.functions.lists import FALLBACK_TERMS, GLOSSARY_TERMS
 def stats(terms: DataFrame) -> DataFrame:
     """One row of numbers about the glossary job's tokens. ``marked``: tokens that differ from their ascii form, so
     capitalised ones too."""
-    return terms.agg(
-        F.count("*").alias("unique_tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_occurrences"), F.avg("n").alias("mean"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("chapters")))).alias("chapters"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        F.count_if(F.col("token") != F.col("ascii")).alias("marked"),
-    )
+    numbers = terms.agg(F.count("*").alias("unique_tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_occurrences"), F.avg("n").alias("mean"), F.count_if(F.col("token") != F.col("ascii")).alias("marked"))
+    lists = [terms.select(F.explode(c).alias("x")).distinct().agg(F.array_sort(F.collect_list("x")).alias(c)) for c in ("chapters", "sources")]
+    # three tables of one row each
+    return numbers.join(lists[0]).join(lists[1]).select("unique_tokens", "total_occurrences", "mean", "chapters", "sources", "marked")
 
 
 def duplicate_contents(df: DataFrame, text: str) -> DataFrame:
     """``duplicates``: how many different texts (without case and white space) occur more than once."""
-    norm = F.sha2(C.strip(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+", " ")), 256)
+    norm = F.sha2(C.strip(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), C.SPACE + "+", " ")), 256)
     return df.groupBy(norm.alias("_norm")).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicates"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.segments import indel_ratio
+from lectern.functions.segments import indel_ratios
 from lectern.operators.library import fuzzy_corrections
 
 WORD = r"(?U)\b\w+\b"
@@ -15,27 +16,31 @@ PIECES = r"(?Us)\b\w+\b|(?:(?!\b\w).)+"
 
 def corrections(words: DataFrame, terms: DataFrame) -> DataFrame:
     """word (lower case) -> canonical, distance, confidence, exact. A dictionary word needs no ratio; the others take the
-    best term by ratio."""
+    best term by ratio. How the two meet is the engine's choice by their sizes."""
     words = words.select("word").distinct().filter(F.length("word") >= 3)
-    exact = words.join(F.broadcast(terms), words.word == F.col("wrong")).select("word", "canonical", F.lit(0).alias("distance"), F.lit(100.0).alias("confidence"), F.lit(True).alias("exact"))
-    rest = words.join(F.broadcast(terms.select(F.col("wrong").alias("word"))), "word", "left_anti")
+    exact = words.join(terms, words.word == F.col("wrong")).select("word", "canonical", F.lit(0).alias("distance"), F.lit(100.0).alias("confidence"), F.lit(True).alias("exact"))
+    rest = words.join(terms.select(F.col("wrong").alias("word")), "word", "left_anti")
     near = fuzzy_corrections(rest, terms).select("word", "canonical", "distance", F.col("ratio").alias("confidence"), F.lit(False).alias("exact"))
     return exact.unionByName(near)
 
 
 def suggestions(words: DataFrame, terms: DataFrame, most: int = 5, least: float = 50.0) -> DataFrame:
     """The ``most`` best terms of each word by ratio (at least ``least`` of 100), in order: rank, canonical, score,
-    distance. Words and terms meet on their lengths, of which one is at most (200 - least) / least times the other."""
+    distance. Words and terms meet on their lengths, of which one is at most (200 - least) / least times the other; the
+    ratios of all words that meet a term are computed at once, a bit for each of its characters."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        words, out = a.to_numpy(), np.zeros(len(a))
+        for term, at in b.groupby(b, sort=False).indices.items():
+            out[at] = indel_ratios(words[at].tolist(), term)
+        return pd.Series(out)
 
     wide = (200 - least) / least
     left = words.select("word").distinct().filter(F.length("word") > 0).withColumn("size", F.length("word"))
     sizes = F.sequence(F.ceil(F.length("wrong") / F.lit(wide)).cast("int"), F.floor(F.length("wrong") * F.lit(wide)).cast("int"))
     right = terms.select("wrong", "canonical", "entry", F.explode(sizes).alias("size"))
-    met = left.join(F.broadcast(right), "size").withColumn("score", ratio("word", "wrong")).filter(F.col("score") >= least)
+    met = left.join(right, "size").withColumn("score", ratio("word", "wrong")).filter(F.col("score") >= least)
     w = Window.partitionBy("word").orderBy(F.desc("score"), "entry")
     out = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return out.select("word", "rank", "canonical", "score", F.levenshtein("word", "wrong").alias("distance"))

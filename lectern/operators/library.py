@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.columns import strip
+from lectern.functions.columns import SPACE, strip
 from lectern.functions.lists import CANONICAL, STOP_WORDS
 from lectern.functions.machines import SegmentCleaner
-from lectern.functions.segments import ascii_fold, indel_ratio, sentences
+from lectern.functions.segments import ascii_fold, sentences
+from lectern.operators import neighbourhood
 from lectern.operators.streams import folded
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -23,7 +24,7 @@ def first_of_equal(df: DataFrame, text: str, order: str) -> DataFrame:
     """Keep one row of rows with equal texts, compared without case and white space: the first by ``order`` (nulls last;
     of rows equal in that too, any). Rows meet on a digest, and a task sends one row of each digest it has, so a text
     that a third of all rows share doesn't gather in one task."""
-    norm = strip(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+", " "))
+    norm = strip(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACE + "+", " "))
     first = F.row_number().over(Window.partitionBy("_norm").orderBy(F.col(order).asc_nulls_last()))
     return df.withColumn("_norm", F.sha2(norm, 256)).withColumn("_row", first).filter("_row = 1").drop("_norm", "_row")
 
@@ -46,19 +47,34 @@ def vocabulary(df: DataFrame, text: str, order: str, *, by: tuple[str, ...] = ()
 GLOSSARY_TOKEN = r"(?U)\b[\wऀ-ॿ]+\b"
 
 
+def _found(df: DataFrame, text: str, seq: str, chapter: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Different texts, and the terms in them: seq, chapter, source, pos, token."""
+    unique = first_of_equal(df.select(F.col(seq).alias("seq"), F.col(text).alias("text"), F.col(chapter).alias("chapter"), F.col(source).alias("source")), "text", "seq")
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(GLOSSARY_TOKEN), F.lit(0))).alias("pos", "token")
+    return unique, unique.select("seq", "chapter", "source", found).filter(is_term(F.col("token")))
+
+
+def _counted(every: DataFrame) -> DataFrame:
+    return every.groupBy("token").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("chapter") != 0, F.col("chapter")))).alias("chapters"),
+        F.array_sort(F.collect_set("source")).alias("sources"), F.min(F.struct("seq", "pos")).alias("first"),
+    )
+
+
+def term_counts(df: DataFrame, text: str, seq: str, chapter: str, source: str) -> DataFrame:
+    """The vocabulary job without contexts: token, ascii, n, chapters, sources and first sight (seq, pos). Texts are read
+    and tokenised once and don't move; counts are summed in each task."""
+    return _counted(_found(df, text, seq, chapter, source)[1]).withColumn("ascii", ascii_folded("token"))
+
+
 def glossary(df: DataFrame, text: str, seq: str, chapter: str, source: str, most: int = 5) -> DataFrame:
     """The corpus-to-vocabulary job: token, ascii, n, chapters, sources, up to ``most`` contexts and first sight (seq,
     pos), in order of count and first sight. A context is the text around the token's first occurrence in the document.
 
     Counts are partial sums without texts. The first occurrences of a token, at most ``most`` from each task, are found
     by place alone; only those documents' texts meet them."""
-    unique = first_of_equal(df.select(F.col(seq).alias("seq"), F.col(text).alias("text"), F.col(chapter).alias("chapter"), F.col(source).alias("source")), "text", "seq")
-    found = F.posexplode(F.regexp_extract_all("text", F.lit(GLOSSARY_TOKEN), F.lit(0))).alias("pos", "token")
-    every = unique.select("seq", "chapter", "source", found).filter(is_term(F.col("token")))
-    counts = every.groupBy("token").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("chapter") != 0, F.col("chapter")))).alias("chapters"),
-        F.array_sort(F.collect_set("source")).alias("sources"), F.min(F.struct("seq", "pos")).alias("first"),
-    )
+    unique, every = _found(df, text, seq, chapter, source)
+    counts = _counted(every)
     rank = F.row_number().over(Window.partitionBy("token").orderBy("seq", "pos"))
     early = every.select("token", "seq", "pos").withColumn("rank", rank).filter(F.col("rank") <= most)
     wanted = early.groupBy("seq").agg(F.collect_list(F.struct("token", "rank")).alias("tokens"))
@@ -102,20 +118,8 @@ def dictionary(spark) -> DataFrame:
 
 
 def fuzzy_corrections(words: DataFrame, terms: DataFrame, most: int = 2, least: float = 80.0) -> DataFrame:
-    """word -> term for distinct words of three characters and more within a distance and of an Indel ratio of ``least``
-    at least; of several terms the one with the best ratio, then the first entry. Words and terms meet on their lengths
-    (which differ by the distance at most), then the distance is taken with a bound, and the ratio of what is left. The
-    dictionary is of a fixed size and broadcast; words move once, for their distinctness."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    left = words.select("word").distinct().filter(F.length("word") >= 3).withColumn("size", F.length("word"))
-    right = terms.select("wrong", "canonical", "entry", F.explode(F.sequence(F.length("wrong") - most, F.length("wrong") + most)).alias("size"))
-    met = left.join(F.broadcast(right), "size").withColumn("distance", F.levenshtein("word", "wrong", most)).filter("distance >= 0")
-    near = met.withColumn("ratio", ratio("word", "wrong")).filter(F.col("ratio") >= least)
-    return near.groupBy("word").agg(F.min_by(F.struct("wrong", "canonical", "entry", "distance", "ratio"), F.struct(-F.col("ratio"), "entry")).alias("best")).select("word", "best.*")
+    """``neighbourhood.corrections``: by deletion neighbourhoods, against a dictionary of any size."""
+    return neighbourhood.corrections(words, terms, most, least)
 
 
 def range_join(points: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float = 1.0, key: str | None = None) -> DataFrame:
@@ -166,3 +170,24 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
 def keep_last(df: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """A bounded buffer that drops its oldest rows, once a stream is over."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("_r") <= most).drop("_r")
+
+
+def last_mean(df: DataFrame, key: str, order: list[str], value: str, keep: float = 0.9) -> DataFrame:
+    """``key`` and ``ema``: each key's exponential mean after its last value, which the first value other than 0 seeds;
+    null values are left out. The share of a value in it falls with the values after it, so a number of the rows from
+    the end and a sum do."""
+    here = F.struct(*order)
+    rows = df.filter(F.col(value).isNotNull())
+    seed = F.min(F.when(F.col(value) != 0, here)).over(Window.partitionBy(key))
+    after = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))) - 1
+    rows = rows.withColumn("_seed", seed).withColumn("_after", after).filter((here >= F.col("_seed")) | F.col("_seed").isNull())
+    share = F.pow(F.lit(keep), F.col("_after")) * F.when(here == F.col("_seed"), 1.0).otherwise(1 - keep)
+    return rows.groupBy(key).agg(F.sum(F.col(value) * share).alias("ema"))
+
+
+def buffer_events(df: DataFrame, key: str, order: str, item: str, size: int) -> DataFrame:
+    """What happens in a finished stream's bounded buffer at each row: ``event``, the item ``dropped`` and the ``size``
+    after it."""
+    w = Window.partitionBy(key).orderBy(order)
+    place = F.row_number().over(w)
+    return df.withColumn("event", F.when(place <= size, "added").otherwise("dropped oldest")).withColumn("dropped", F.lag(item, size).over(w)).withColumn("size", F.least(F.lit(size), place).cast("long"))

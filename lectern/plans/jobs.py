@@ -12,13 +12,15 @@ from lectern.operators.correction import corrected
 from lectern.operators.library import glossary
 from lectern.operators.streams import folded
 from lectern.sinks import files as sinks
+from lectern.sinks.shared import written
 from lectern.sources import files as sources
 
 
-def vocabulary(spark: SparkSession, source: str, target: str, common: int = 200, each: int = 100, ascending: bool = True) -> dict[str, bool]:
-    """Corpus rows (JSON lines) to the token table, glossaries and summary under ``target``; what is valid of them."""
-    terms = glossary(sources.corpus(spark, source), "text", "seq", "chapter", "source")
-    sinks.token_table(terms, f"{target}/gita_tokens")
+def vocabulary(spark: SparkSession, source: str, target: str, common: int = 200, each: int = 100, ascending: bool = True, table: str = "gita_tokens") -> dict[str, bool]:
+    """Corpus rows (JSON lines) to the token table (of the given name), glossaries and summary under ``target``; what is
+    valid of them. The terms are written once and read again for each of these."""
+    terms = written(glossary(sources.corpus(spark, source), "text", "seq", "chapter", "source"), "terms")
+    sinks.token_table(terms, f"{target}/{table}")
     sinks.glossaries(terms, f"{target}/glossaries", common, each, ascending=ascending)
     sinks.summary(terms, K.stats(terms), f"{target}/glossaries")
     return sinks.validated(spark, f"{target}/glossaries", common)

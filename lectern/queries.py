@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import columns as C
 from lectern.functions.lists import BOGUS, CANONICAL, SILENCE_WORDS, STOP_WORDS
-from lectern.functions.machines import MovingMean
 from lectern.operators import captions as CP
 from lectern.operators import library as L
-from lectern.operators import streams as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,12 +77,12 @@ def stopword_antijoin(spark, sf):
     return L.tokens(table(spark, sf, "documents"), "text").select(F.lower("token").alias("token")).distinct().join(F.broadcast(stop), "token", "left_anti")
 
 
-_SETS = r"a AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS token FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS token FROM benchmark)"
+_SETS = r"a AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS token FROM documents), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS token FROM benchmark)"
 
 
 @query(f"WITH {_SETS} SELECT 'both' AS kind, token FROM (SELECT token FROM a INTERSECT SELECT token FROM b) UNION ALL SELECT 'benchmark only', token FROM (SELECT token FROM b EXCEPT SELECT token FROM a) UNION ALL SELECT 'either', token FROM (SELECT token FROM a UNION SELECT token FROM b)")
 def term_sets(spark, sf):
-    a = L.tokens(table(spark, sf, "documents").filter("lang = 'en'"), "text").select(F.lower("token").alias("token"))
+    a = L.tokens(table(spark, sf, "documents"), "text").select(F.lower("token").alias("token"))
     b = L.tokens(table(spark, sf, "benchmark"), "text").select(F.lower("token").alias("token"))
     kinds = {"both": a.intersect(b), "benchmark only": b.subtract(a), "either": a.union(b).distinct()}
     out = None
@@ -193,8 +191,7 @@ def rolling_20_failures(spark, sf):
 @query(f"WITH {_EVENTS}, g AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM e WHERE value IS NOT NULL GROUP BY user_id) SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda a, x: CASE WHEN a = 0 THEN x ELSE 0.1 * x + 0.9 * a END), 4) AS ema FROM g")
 def ema_by_user(spark, sf):
     e = _events(spark, sf).filter("value IS NOT NULL").select("user_id", "ts", "event_id", "value")
-    means = S.folded(e, "user_id", ["ts", "event_id"], MovingMean())
-    return means.groupBy("user_id").agg(F.round(F.max_by("ema", F.struct("ts", "event_id")), 4).alias("ema"))
+    return L.last_mean(e, "user_id", ["ts", "event_id"], "value").select("user_id", F.round("ema", 4).alias("ema"))
 
 
 @query(f"WITH {_EVENTS}, w AS (SELECT event_id, event_type, CAST(floor(t / 12600) AS BIGINT) AS k, t FROM e), x AS (SELECT event_type, (k - d) * 12600 AS start, t FROM w, unnest([0, 1]) AS g(d)) SELECT event_type, CAST(start AS BIGINT) AS start, count(*) AS n FROM x WHERE t >= start AND t < start + 18000 GROUP BY ALL")

@@ -13,6 +13,7 @@ from lectern.operators import corpus as K
 from lectern.operators import correction as X
 from lectern.operators import library as L
 from lectern.operators import streams as S
+from lectern.sinks.shared import written
 from lectern.queries import _CAPTIONS_SQL, _EVENTS, _PAIRS, _TERMS, _UNIQUE, _captions, _events, _list, _turn_pairs, query, table
 
 #: White space of any kind, and a text without it at both ends.
@@ -203,8 +204,8 @@ def external_subtitles(spark, sf):
 
 @query(f"WITH {_NAMED} SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'buffered ' || turn ELSE text END AS translation FROM n WHERE turn % 2 = 0")
 def translated_captions(spark, sf):
-    buffered = spark.range(2000).filter("id % 2 = 0").select((F.col("id") * 2.5).alias("ts"), F.lit("fr").alias("lang"), F.concat(F.lit("buffered "), F.col("id")).alias("text"))
     rows = _named(spark, sf).withColumn("lang", F.lit("fr"))
+    buffered = rows.filter("turn % 2 = 0").select(F.col("start_time").alias("ts"), "lang", F.concat(F.lit("buffered "), F.col("turn")).alias("text")).distinct()
     return CP.translated(rows, buffered, "start_time", "lang", F.col("text")).select("conv_id", "turn", "translation")
 
 
@@ -219,10 +220,10 @@ def language_fan_out(spark, sf):
     return S.fanned_out(table(spark, sf, "documents").select("doc_id"), ["fr", "de", "it", "fr"])
 
 
-@query("SELECT doc_id, lang AS language, lang = 'en' AS is_primary FROM documents WHERE lang IN ('en', 'fr')")
+@query("SELECT doc_id, lang AS language, lang = 'en' AS is_primary FROM documents")
 def merged_languages(spark, sf):
     docs = table(spark, sf, "documents")
-    return S.merged({x: docs.filter(F.col("lang") == x).select("doc_id") for x in ("en", "fr")}, "en")
+    return S.merged({x: docs.filter(F.col("lang") == x).select("doc_id") for x in ("en", "fr", "de", "es")}, "en")
 
 
 @query(None)
@@ -238,7 +239,7 @@ def admitted_captions(spark, sf):
 @query("SELECT event_id, CASE WHEN row_number() OVER w <= 10 THEN 'added' ELSE 'dropped oldest' END AS event, CAST(lag(event_id, 10) OVER w AS VARCHAR) AS dropped, least(10, row_number() OVER w) AS size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def buffer_drops(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", F.col("event_id").cast("string").alias("item"))
-    return S.folded(rows, "user_id", ["event_id"], M.BoundedBuffer(10)).drop("user_id")
+    return L.buffer_events(rows, "user_id", "event_id", "item", 10).select("event_id", "event", "dropped", "size")
 
 
 @query(
@@ -303,6 +304,11 @@ def scrape_stats(spark, sf):
     return K.scrape_stats(rows, "n_chars").withColumn("mean_words", F.round("mean_words", 6))
 
 
+def _counts(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("chapter", (F.col("doc_id") % 18 + 1).cast("int"))
+    return L.term_counts(rows, "text", "doc_id", "chapter", "source")
+
+
 def _glossary(spark, sf):
     rows = table(spark, sf, "documents").withColumn("chapter", (F.col("doc_id") % 18 + 1).cast("int"))
     return L.glossary(rows, "text", "doc_id", "chapter", "source")
@@ -314,7 +320,7 @@ _COUNTED = f"g AS (SELECT token, count(*) AS n, list_sort(list_distinct(list({_C
 
 @query(f"WITH {_UNIQUE}, {_SEEN}, {_TERMS}, {_COUNTED} SELECT count(*) AS unique_tokens, CAST(sum(n) AS BIGINT) AS total_occurrences, round(avg(n), 6) AS mean, CAST(len(list_distinct(flatten(list(chapters)))) AS BIGINT) AS chapters, CAST(len(list_distinct(flatten(list(sources)))) AS BIGINT) AS sources, CAST(count(*) FILTER (token <> strip_accents(lower(token))) AS BIGINT) AS marked FROM g")
 def corpus_stats(spark, sf):
-    out = K.stats(_glossary(spark, sf))
+    out = K.stats(written(_counts(spark, sf), "terms"))
     return out.select("unique_tokens", F.col("total_occurrences").cast("long").alias("total_occurrences"), F.round("mean", 6).alias("mean"), F.size("chapters").cast("long").alias("chapters"), F.size("sources").cast("long").alias("sources"), "marked")
 
 
@@ -332,7 +338,7 @@ def glossary_rows(spark, sf):
 
 @query(f"WITH {_UNIQUE}, {_SEEN}, {_TERMS}, {_COUNTED}, c AS (SELECT token, n // len(chapters) AS score, first, unnest(chapters) AS chapter FROM g) SELECT chapter, token, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY chapter ORDER BY score DESC, first) AS INT) AS rank FROM c QUALIFY rank <= 100")
 def chapter_terms(spark, sf):
-    return L.chapter_glossary(_glossary(spark, sf).select("token", "n", "chapters", "first")).select("chapter", "token", "score", "rank")
+    return L.chapter_glossary(_counts(spark, sf).select("token", "n", "chapters", "first")).select("chapter", "token", "score", "rank")
 
 
 _BENCH_WORDS = r"b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS wrong FROM benchmark)"
