@@ -8,12 +8,14 @@ whatever their number, and minimised on the driver: by its closed form where the
 gradient steps that reverse the second term's gradient.
 
 The class prior is estimated from positives and unlabelled rows: a classifier of one half of the positives against the
-unlabelled rows ranks these and the other half, and of all thresholds that one is taken at which the share of unlabelled rows above it over the share of positives above it
-is least, with a margin for small shares; that least ratio is the prior.
+unlabelled rows ranks these and the other half, and of all thresholds that one is taken at which the share of unlabelled
+rows above it over the share of positives above it is least, with a margin for small shares; that least ratio is the prior.
 
-A logistic curve, fitted to the outputs of the labelled training rows, turns the output into a score. Inputs are shares
-of bytes, words and lines of the text alone. Labels are a bounded sample (``labelled`` rows, in the order of a hash of
-the id); unlabelled rows are all those of the training folds; every document is scored.
+A logistic curve turns the output into a score. It too comes without negatives: the mean output of bad texts is what the
+unlabelled mean leaves once the positives' part, by the prior, is taken off, and midway between the two means the score is
+one half. Labels of bad texts are never read. Inputs are shares of bytes, words and lines of the text alone. Trusted
+positives are a bounded sample (``labelled`` rows, in the order of a hash of the id); unlabelled rows are all those of the
+training folds; every document is scored.
 
 Edge cases: null and empty texts get the features of an empty text and so a score; a null id is not held out; rows
 without a label, or with null labels, are unlabelled; repeated rows count as often as they occur, score alike, and
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from lectern.llm.storage import framed, scratch, written
 from lectern.llm.words import parts, words
 
-#: Most rows sampled as labelled.
+#: Most rows sampled as trusted positives.
 LABELLED = 20_000
 #: Random features, the weight of the ridge (a constant, and a part for each weight a positive row), and bins of outputs
 #: (between -SPAN and SPAN).
@@ -209,21 +211,15 @@ def fit(positive: Moments, unlabelled: Moments, prior: float, steps: int = 500)
     return best
 
 
-def curve(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through outputs of labelled rows, given as counts by bins."""
+def curve(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from outputs given as counts by bins: one half midway between the mean of
+    positives and that of negatives, which is what the unlabelled mean leaves once the positives' part is taken off."""
     at = (np.arange(BINS) + 0.5) / BINS * 2 * SPAN - SPAN
-    n, y = good + bad, good.sum()
-    if not y or not bad.sum():
-        return 4.0, 0.0
-    target = (good * (y + 1) / (y + 2) + bad / (bad.sum() + 2)) / np.maximum(n, 1)
-    a, b = 1.0, 0.0
-    for _ in range(100):  # Newton steps with a little damping
-        s = _sigmoid(a * at + b)
-        v, g = n * (s * (1 - s) + 1e-6), n * (s - target)
-        h = np.array([[(v * at * at).sum() + 1e-3, (v * at).sum()], [(v * at).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(h, np.array([(g * at).sum(), g.sum()]))
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    return (float(a), float(b)) if a > 0 else (4.0, 0.0)
+    good = (positive * at).sum() / max(positive.sum(), 1)
+    bad = ((unlabelled * at).sum() / max(unlabelled.sum(), 1) - prior * good) / (1 - prior)
+    half = max(good - bad, 0.2) / 2
+    slope = 4 / half
+    return float(slope), float(-slope * (good - half))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -237,31 +233,46 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x.tobytes() for x in f], pa.binary()), batch.column(1).slice(i, j - i)], ["x", "label"])
 
 
-#: Tasks that add up the tasks' sums, and rows that one handles at once.
-ADDERS, ROWS = 8, 2000
+#: Vectors that one adder adds up, those that the driver gets at most, and rows that a task handles at once.
+FAN, LAST, ROWS = 32, 8, 2000
 
 
 def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of some of them. A task sends
-    one vector, and ``ADDERS`` tasks add these up one by one, so nothing holds more than two."""
+    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of some of them. A task hands
+    on one vector, and a tree of adders, each of ``FAN`` vectors or so, adds them one by one, so nothing holds more than
+    two and the levels grow with the logarithm of the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, seen = np.zeros(size), False
         for batch in batches:
             for k in range(0, len(batch), ROWS):
                 x = np.frombuffer(b"".join(batch.column(0).slice(k, ROWS).to_pylist()), np.float32).reshape(-1, N_FEATURES)
                 total += add(x, batch.column(1).slice(k, ROWS).fill_null(-1).to_numpy(zero_copy_only=False))
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["adder", "total"])
+                seen = True
+        if seen:
+            yield _vector(total)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, seen = np.zeros(size), False
         for batch in batches:
             for x in batch.column(1):
                 total += np.frombuffer(x.as_buffer(), np.float64)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["total"])
+                seen = True
+        if seen:
+            yield _vector(total)
 
-    sums = rows.mapInArrow(run, "adder int, total binary").repartition(ADDERS, "adder").mapInArrow(added, "total binary")
-    return sum((np.frombuffer(r.total, np.float64) for r in sums.collect()), np.zeros(size))
+    n, sums = rows.rdd.getNumPartitions(), rows.mapInArrow(run, _VECTOR)
+    while n > LAST:
+        n = -(-n // FAN)
+        sums = sums.select((F.col("task") % n).alias("task"), "total").repartition(n, "task").mapInArrow(added, _VECTOR)
+    return sum((np.frombuffer(r.total, np.float64) for r in sums.toLocalIterator()), np.zeros(size))
+
+
+_VECTOR = "task int, total binary"
+
+
+def _vector(total: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "total"])
 
 
 def _moments(total: np.ndarray, d: int) -> Moments:
@@ -274,10 +285,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``labelled`` labels and on the texts of all rows outside the held-out fold, which is never read.
     The features are written once (460 bytes a row) and passed over four times; each pass sends sums of a fixed size."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out("id")).dropDuplicates(["id"])
-    # positives have label 1 or, the half that the prior is counted on, 2
-    marks = [(r.id, 2 if r.label == 1 and r.half else r.label) for r in own.select("id", "label", (F.xxhash64("id", F.lit(1)) % 2 == 0).alias("half")).orderBy(F.xxhash64("id"), "id").limit(labelled).collect()]
+    # trusted positives have label 1 or, the half that the prior is counted on, 2; other labels aren't looked at
+    own = own.filter("label = 1").select("id", F.when(F.xxhash64("id", F.lit(1)) % 2 == 0, 2).otherwise(1).alias("label"))
+    marks = [(r.id, r.label) for r in own.orderBy(F.xxhash64("id"), "id").limit(labelled).collect()]
     nothing = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(1 + N_FEATURES + RANDOM))
-    if not any(y > 0 for _, y in marks):
+    if not marks:
         return nothing
     chosen = docs.sparkSession.createDataFrame(marks, "id long, label int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
@@ -303,16 +315,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def counted(w):
             def add(x, label):
                 place = np.clip((expanded(x, mean, scale) @ w + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int64)
-                return np.concatenate([np.bincount(place[kind], minlength=BINS) for kind in (label > -2, label == 1, label == 2, label == 0)])
+                return np.concatenate([np.bincount(place[kind], minlength=BINS) for kind in (label > -2, label == 1, label == 2)])
 
-            return np.split(_summed(rows, 4 * BINS, add), 4)
+            return np.split(_summed(rows, 3 * BINS, add), 3)
 
-        every, good, other, _ = counted(against(one, unlabelled))
+        every, good, other = counted(against(one, unlabelled))
         prior = prior_of(other if other.sum() else good, every)
         w = fit(positive, unlabelled, prior)
-        _, good, other, bad = counted(w)
-        good = good + other
-    return Model(mean, scale, w, *curve(good, bad), prior=prior)
+        every, good, other = counted(w)
+    return Model(mean, scale, w, *curve(good + other, every, prior), prior=prior)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

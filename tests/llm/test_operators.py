@@ -268,6 +268,20 @@ def test_quality_risk_and_prior():
     assert clipped(w) <= clipped(closed) + 1e-9
 
 
+def test_quality_sums_in_a_tree_and_a_curve_without_negatives(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FAN", 3)
+    monkeypatch.setattr(quality, "LAST", 2)
+    x = np.random.default_rng(1).normal(0, 1, (500, quality.N_FEATURES)).astype(np.float32)
+    rows = spark.createDataFrame([(v.tobytes(), None if k % 3 else k % 2) for k, v in enumerate(x)], "x binary, label int").repartition(23)
+    got = quality._summed(rows, 3, lambda z, label: np.array([len(z), z.sum(dtype=np.float64), (label == 1).sum()]))
+    assert got == pytest.approx([500, x.sum(dtype=np.float64), sum(k % 2 for k in range(0, 500, 3))])
+    assert (quality._summed(rows.limit(0), 3, lambda z, label: np.ones(3)) == 0).all()
+    bins = lambda v: np.bincount(np.clip((v + 4) / 8 * quality.BINS, 0, quality.BINS - 1).astype(int), minlength=quality.BINS)
+    good, bad = np.full(700, 1.0), np.full(300, -0.5)
+    slope, shift = quality.curve(bins(good[:100]), bins(np.concatenate((good, bad))), 0.7)
+    assert -shift / slope == pytest.approx(0.25, abs=0.01) and slope == pytest.approx(4 / 0.75, rel=0.01)
+
+
 def test_quality_query(spark, tmp_path):
     good = [prose(k, 120, 4000) for k in range(120)]
     bad = [" ".join("!!$ " + x.upper() for x in prose(k, 40, 5).split()) for k in range(120, 200)]
