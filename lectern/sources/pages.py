@@ -98,8 +98,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         return [_File(n) for n in names(self.pages.folder)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        return self.pages.rows(partition.name)
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        # an empty folder has no partitions, for which the engine asks once with None
+        return iter(()) if partition is None else self.pages.rows(partition.name)
 
 
 class _StreamReader(DataSourceStreamReader):
