@@ -19,7 +19,13 @@ from lectern.sources import files as sources
 def vocabulary(spark: SparkSession, source: str, target: str, common: int = 200, each: int = 100, ascending: bool = True, table: str = "gita_tokens") -> dict[str, bool]:
     """Corpus rows (JSON lines) to the token table (of the given name), glossaries and summary under ``target``; what is
     valid of them. The terms are written once and read again for each of these."""
-    terms = written(glossary(sources.corpus(spark, source), "text", "seq", "chapter", "source"), "terms")
+    return vocabulary_of(sources.corpus(spark, source), target, common, each, ascending, table)
+
+
+def vocabulary_of(corpus: DataFrame, target: str, common: int = 200, each: int = 100, ascending: bool = True, table: str = "gita_tokens") -> dict[str, bool]:
+    """``vocabulary`` of corpus rows with their order ``seq``, such as ``samples.sample_corpus``."""
+    spark = corpus.sparkSession
+    terms = written(glossary(corpus, "text", "seq", "chapter", "source"), "terms")
     sinks.token_table(terms, f"{target}/{table}")
     sinks.glossaries(terms, f"{target}/glossaries", common, each, ascending=ascending)
     sinks.summary(terms, K.stats(terms), f"{target}/glossaries")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import columns as C
 from lectern.functions import machines as M
 from lectern.functions import udfs as U
-from lectern.functions.lists import COLOURS
+from lectern.functions.lists import COLOURS, GLOSSARY_TERMS, LEET, RELIGIOUS
 from lectern.operators import captions as CP
 from lectern.operators import corpus as K
 from lectern.operators import correction as X
@@ -55,15 +55,34 @@ def glossary_match_counts(spark, sf):
 
 
 _FILTERED = ["the", "ass", "and", "house", "of"]
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _replaced(x: str, pattern: str, to: str) -> str:
+    """Whole words of a text; two words may share the sign between them, so twice."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(^|{_EDGE})(?:{pattern})($|{_EDGE})', '\\1{to}\\2', 'gi')"
+    return x
+
+
+def _filtered(religious: bool) -> str:
+    x = _replaced("text", "|".join(_FILTERED), "[BEEP]")
+    for pattern, to in LEET:
+        if religious and pattern in ("h[e3]ll", "d[a@4]mn"):
+            continue
+        x = _replaced(x, pattern.replace("[a@4]ss", "[a4]ss"), to)
+        if pattern == "[a@4]ss":
+            x = f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}_])@ss($|{_EDGE})', '\\1{to}\\2', 'gi')"
+    return x
 
 
 @query(
-    "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}\\p{M}_])(?:" + "|".join(_FILTERED) + ")(?:$|\\b)', '\\1[BEEP]', 'gi'), '\\s+', ' ', 'g'), '\\s+([,.!?;:])', '\\1', 'g')) AS text "
-    "FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text, '(?i)f[u4@]ck|sh[i1!]t|b[i1!]tch|d[a@4]mn|h[e3]ll|[@4]ss')"
+    f"WITH d AS (SELECT doc_id, text, len(list_filter({list(RELIGIOUS)}, lambda t: contains(lower(text), t))) >= 2 AS religious FROM documents), f AS (SELECT doc_id, CASE WHEN religious THEN {_filtered(True)} ELSE {_filtered(False)} END AS text FROM d) "
+    "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+([,.!?;:])', '\\1', 'g')) AS text FROM f"
 )
 def profanity_beep(spark, sf):
-    rows = table(spark, sf, "documents").filter(r"lang = 'en' AND text RLIKE '^[\\x00-\\x7F]*$' AND NOT text RLIKE '(?i)f[u4@]ck|sh[i1!]t|b[i1!]tch|d[a@4]mn|h[e3]ll|[@4]ss'")
-    return rows.select("doc_id", U.filter_profanity(words=_FILTERED)("text").text.alias("text"))
+    """All documents, with a list of words that the texts have, and spellings with digits and signs."""
+    return table(spark, sf, "documents").select("doc_id", U.filter_profanity(words=_FILTERED)("text").text.alias("text"))
 
 
 @query(None)
@@ -260,7 +279,13 @@ def prompt_contexts(spark, sf):
     return S.folded(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", ["turn"], M.WordWindow(32))
 
 
-@query(None)
+_CONTEXTS = (
+    f"w AS (SELECT conv_id, turn, {_words('text')} AS ws FROM conversations), c AS (SELECT conv_id, turn, flatten(list(ws) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS ws FROM w), "
+    "b AS (SELECT conv_id, turn, coalesce(array_to_string(ws[greatest(1, len(ws) - 31):], ' '), '') AS context FROM c)"
+)
+
+
+@query(f"WITH {_CONTEXTS} SELECT conv_id, turn, substr(concat_ws(' ', nullif(context, ''), CASE WHEN 214 - length(context) > 0 THEN substr('{' '.join(GLOSSARY_TERMS)}', 1, 214 - length(context)) END), 1, 224) AS prompt FROM b")
 def prompts(spark, sf):
     rows = S.folded(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", ["turn"], M.WordWindow(32))
     return K.common_glossary(rows).select("conv_id", "turn", C.prompt(F.col("context"), F.col("glossary")).alias("prompt"))

@@ -121,9 +121,38 @@ def mono(samples: np.ndarray, channels: int, size: int) -> np.ndarray:
     return out
 
 
-def audio_chunks(sound: DataFrame, rate: int = 16000, size: float = 1.0, overlap: float = 0.2, channels: int = 1, seek: float = 0.0) -> DataFrame:
+#: Zero crossings of the resampling kernel on each side.
+CROSSINGS = 32
+
+
+def resampled(samples: np.ndarray, given: int, rate: int) -> np.ndarray:
+    """Samples at another rate, by a windowed sinc kernel below the lower of both half rates: ceil(n * rate / given) of
+    them. Up and down factors are reduced, so the kernel has one set of weights for each of the target's phases."""
+    if given == rate or not len(samples):
+        return samples.astype(np.float32)
+    up, down = (x // np.gcd(given, rate) for x in (rate, given))
+    n, cut = -(-len(samples) * up // down), min(1.0, rate / given)
+    reach = int(np.ceil(CROSSINGS / cut))
+    padded = np.pad(samples.astype(np.float64), reach)
+    out = np.empty(n, np.float32)
+    offsets = np.arange(-reach, reach + 1)
+    for phase in range(min(int(up), n)):  # targets of one phase lie equally between two samples
+        places = np.arange(phase, n, up) * int(down)
+        whole, part = places // int(up), (places[0] % int(up)) / up
+        x = offsets - part
+        kernel = cut * np.sinc(cut * x) * np.where(np.abs(x) <= reach, np.kaiser(4097, 12.0)[np.clip(np.round((x / reach + 1) * 2048), 0, 4096).astype(int)], 0.0)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, len(offsets))
+        for k in range(0, len(whole), 1 << 14):
+            at = np.minimum(whole[k : k + (1 << 14)], len(windows) - 1)
+            out[phase + k * int(up) : phase + (k + len(at)) * int(up) : int(up)] = windows[at] @ kernel
+    return out
+
+
+def audio_chunks(sound: DataFrame, rate: int = 16000, size: float = 1.0, overlap: float = 0.2, channels: int = 1, seek: float = 0.0, given: int | None = None) -> DataFrame:
     """Rows (stream, samples array<float>) cut into overlapping chunks: stream, chunk, start, samples. The last chunk of a
-    stream is filled with zeros."""
+    stream is filled with zeros. ``given``: the samples' rate where it isn't ``rate``; chunks are made at that rate,
+    mixed to one channel, and then resampled."""
+    target, rate = rate, given or rate
     if not (size > 0 and 0 <= overlap < size):
         raise ValueError("a chunk has to be longer than its overlap")
     step, each = int((size - overlap) * rate), int(size * rate)
@@ -134,7 +163,7 @@ def audio_chunks(sound: DataFrame, rate: int = 16000, size: float = 1.0, overlap
                 own = np.zeros(0, np.float32) if samples is None else np.asarray(samples, np.float32)
                 own = own[int(seek * rate) * channels :]
                 n = max(1, -(-max(0, len(own) // channels - each) // step) + 1)
-                cut = [mono(own[k * step * channels : (k * step + each) * channels], channels, each) for k in range(n)]
+                cut = [resampled(mono(own[k * step * channels : (k * step + each) * channels], channels, each), rate, target) for k in range(n)]
                 yield pd.DataFrame({"stream": [stream] * n, "chunk": range(n), "start": [seek + k * step / rate for k in range(n)], "samples": [list(x) for x in cut]})
 
     schema = T.StructType([T.StructField("stream", sound.schema.fields[0].dataType), *T._parse_datatype_string("chunk long, start double, samples array<float>").fields])
