@@ -7,12 +7,13 @@ of its tokens' conditional log-probabilities.
 Vocabulary: word counts over all documents; the most frequent words have a token each, the others share ``REST``
 tokens by hash. Such a word's probability is that of its shared token times its own share of the token's occurrences,
 n(word) / n(token), from the counts of every word. These grow with the corpus, so they stay a table: the words of a
-batch of documents meet their counts by ranges of hashes, and only sums by document come back.
+batch of documents meet their counts by ranges of hashes, and only sums by document come back. A range in which a word
+occurs very often is dealt to several groups by batch, each of which gets the range's counts.
 
 Training: in each round every partition starts from the common weights, passes over all its documents (one in ``SHARE``
 of the positions, drawn by hash, others in each round, so that the rounds together train on every position once) with
-Adagrad, and sends its weights; the mean, weighted by positions, is taken by a grouped aggregation, one row a weight,
-so what reaches the driver has a fixed size.
+Adagrad, and hands on its weights as one vector; the mean, weighted by positions, is taken by a tree of adders, so what
+reaches the driver has a fixed size.
 
 Edge cases: null and empty texts have no tokens and a score of 0 (mean null); texts shorter than a window see the
 boundary token; repeated rows score alike; an empty table trains nothing; other columns travel in ``row``; a word
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.storage import framed, written
+from lectern.llm.sums import tree_sum
 from lectern.llm.words import Words, mix, parts, words
 
 SIDE, WIDTH, CLASSES, EACH, REST, ROUNDS, SHARE, BATCH, RATE = 2, 24, 16, 32, 64, 2, 2, 2048, 0.15
@@ -42,6 +44,8 @@ N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
 _GATHER = 1 << 21
 #: Occurrences of rare words that meet their counts at once, about, and the least number of such ranges of hashes.
 _RANGE, _RANGES = 1 << 22, 32
+#: Occurrences that one group of a range has, about, at most.
+_HELD = 1 << 23
 
 
 @dataclass
@@ -192,7 +196,7 @@ def drawn(hashes: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
 
 
 def _trained(net: Net, turn: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         own, seen = Net(net.flat.copy(), net.known, net.token), 0
         grad2 = np.full(N_WEIGHTS, 1e-4, np.float32)
         wait: list[tuple[np.ndarray, np.ndarray]] = []
@@ -217,8 +221,7 @@ def _trained(net: Net, turn: int):
             c, t = (np.concatenate(x, axis=-1) for x in zip(*wait, strict=True))
             step(own, grad2, c, t)
             seen += len(t)
-        if seen:
-            yield pa.record_batch([pa.array(np.arange(N_WEIGHTS + 1, dtype=np.int32)), pa.array(np.append(own.flat.astype(np.float64) * seen, float(seen)))], ["place", "value"])
+        return np.append(own.flat.astype(np.float64) * seen, float(seen)) if seen else None
 
     return run
 
@@ -226,11 +229,9 @@ def _trained(net: Net, turn: int):
 def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Net:
     net = start(*vocabulary(word_counts(docs, text_col) if counts is None else counts))
     for turn in range(ROUNDS):
-        got = docs.select(text_col).mapInArrow(_trained(net, turn), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        if not got:
+        total = tree_sum(docs.select(text_col), N_WEIGHTS + 1, _trained(net, turn))
+        if not total[-1]:
             break
-        total = np.zeros(N_WEIGHTS + 1)
-        total[[r.place for r in got]] = [r.value for r in got]
         net.flat = (total[:-1] / total[-1]).astype(np.float32)
     return net
 
@@ -246,8 +247,8 @@ def _packed(hashes: np.ndarray, doc: np.ndarray, ranges: int, rows: int) -> pa.L
     ends = np.append(begin, len(own))
     cuts = list(zip(ends[:-1], ends[1:], strict=True))
     packs = pa.StructArray.from_arrays(
-        [pa.array(found.astype(np.int32)), *(pa.array([x.tobytes() for x in each], pa.binary()) for each in ([own[a:b] for a, b in cuts], [times[a:b] for a, b in cuts], [doc[bounds[a] : bounds[b]] for a, b in cuts]))],
-        ["place", "words", "times", "docs"],
+        [pa.array(found.astype(np.int32)), *(pa.array([x.tobytes() for x in each], pa.binary()) for each in ([own[a:b] for a, b in cuts], [times[a:b] for a, b in cuts], [doc[bounds[a] : bounds[b]] for a, b in cuts])), pa.array([int(bounds[b] - bounds[a]) for a, b in cuts], pa.int64())],
+        ["place", "words", "times", "docs", "n"],
     )
     return pa.ListArray.from_arrays(pa.array([0] + [len(found)] * rows, pa.int32()), packs)
 
@@ -310,12 +311,19 @@ def scored(docs: DataFrame, net: Net, text_col: str = "text", counts: DataFrame
                 yield pa.record_batch([row, pa.array(at + np.arange(len(row))), pa.array(np.full(len(row), at)), pa.array(n), pa.array(total), packs], ["row", "id", "batch", "n_tokens", "log_likelihood", "packs"])
             at += len(row)
 
-    _, schema = framed(docs.select(*(keep or docs.columns)), "id long, batch long, n_tokens long, log_likelihood double, packs array<struct<place:int,words:binary,times:binary,docs:binary>>")
+    _, schema = framed(docs.select(*(keep or docs.columns)), "id long, batch long, n_tokens long, log_likelihood double, packs array<struct<place:int,words:binary,times:binary,docs:binary,n:long>>")
     frame = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text_col].alias("text"))
     rows = written(frame.mapInArrow(run, schema), "scored")
     place = F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * F.lit(ranges).cast("long"), 32).cast("int")
-    packs = rows.select("batch", F.explode("packs").alias("p")).select("batch", "p.*").groupBy("place")
-    met = packs.cogroup(counts.select(place.alias("place"), "hash", "n").groupBy("place")).applyInArrow(_shares(rest), "batch long, docs binary, sums binary")
+    packs = rows.select("batch", F.explode("packs").alias("p")).select("batch", "p.*")
+    # ranges with more occurrences than a group should hold; there are no more of them than all occurrences over that
+    large = packs.groupBy("place").agg(F.ceil(F.sum("n") / _HELD).cast("int").alias("groups")).filter("groups > 1")
+    large = F.broadcast(written(large, "large"))
+    packs = packs.join(large, "place", "left").withColumn("group", F.coalesce(F.pmod(F.xxhash64("batch"), F.col("groups")).cast("int"), F.lit(0)))
+    known = counts.select(place.alias("place"), "hash", "n").join(large, "place", "left")
+    known = known.select("place", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("group"), "hash", "n")
+    packs = packs.select("place", "group", "batch", "words", "times", "docs").groupBy("place", "group")
+    met = packs.cogroup(known.groupBy("place", "group")).applyInArrow(_shares(rest), "batch long, docs binary, sums binary")
     shares = met.groupBy("batch").applyInArrow(_summed, "id long, share double")
     return rows.join(shares, "id", "left").select("row", "n_tokens", (F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))).alias("log_likelihood"))
 

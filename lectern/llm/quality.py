@@ -30,11 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.storage import framed, scratch, written
+from lectern.llm.sums import tree_sum
 from lectern.llm.words import parts, words
 
 #: Most rows sampled as trusted positives.
@@ -233,46 +233,23 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x.tobytes() for x in f], pa.binary()), batch.column(1).slice(i, j - i)], ["x", "label"])
 
 
-#: Vectors that one adder adds up, those that the driver gets at most, and rows that a task handles at once.
-FAN, LAST, ROWS = 32, 8, 2000
+#: Rows that a task handles at once.
+ROWS = 2000
 
 
 def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of some of them. A task hands
-    on one vector, and a tree of adders, each of ``FAN`` vectors or so, adds them one by one, so nothing holds more than
-    two and the levels grow with the logarithm of the tasks."""
+    """Sum over all rows (features and labels) of vectors of a fixed size that ``add`` makes of some of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(size), False
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
         for batch in batches:
             for k in range(0, len(batch), ROWS):
                 x = np.frombuffer(b"".join(batch.column(0).slice(k, ROWS).to_pylist()), np.float32).reshape(-1, N_FEATURES)
-                total += add(x, batch.column(1).slice(k, ROWS).fill_null(-1).to_numpy(zero_copy_only=False))
-                seen = True
-        if seen:
-            yield _vector(total)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(size), False
-        for batch in batches:
-            for x in batch.column(1):
-                total += np.frombuffer(x.as_buffer(), np.float64)
-                seen = True
-        if seen:
-            yield _vector(total)
-
-    n, sums = rows.rdd.getNumPartitions(), rows.mapInArrow(run, _VECTOR)
-    while n > LAST:
-        n = -(-n // FAN)
-        sums = sums.select((F.col("task") % n).alias("task"), "total").repartition(n, "task").mapInArrow(added, _VECTOR)
-    return sum((np.frombuffer(r.total, np.float64) for r in sums.toLocalIterator()), np.zeros(size))
-
-
-_VECTOR = "task int, total binary"
-
+                own = add(x, batch.column(1).slice(k, ROWS).fill_null(-1).to_numpy(zero_copy_only=False))
+                total = own.astype(np.float64) if total is None else np.add(total, own, out=total)
+        return total
 
-def _vector(total: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "total"])
+    return tree_sum(rows, size, run)
 
 
 def _moments(total: np.ndarray, d: int) -> Moments:

@@ -269,8 +269,10 @@ def test_quality_risk_and_prior():
 
 
 def test_quality_sums_in_a_tree_and_a_curve_without_negatives(spark, monkeypatch):
-    monkeypatch.setattr(quality, "FAN", 3)
-    monkeypatch.setattr(quality, "LAST", 2)
+    from lectern.llm import sums
+
+    monkeypatch.setattr(sums, "FAN", 3)
+    monkeypatch.setattr(sums, "LAST", 2)
     x = np.random.default_rng(1).normal(0, 1, (500, quality.N_FEATURES)).astype(np.float32)
     rows = spark.createDataFrame([(v.tobytes(), None if k % 3 else k % 2) for k, v in enumerate(x)], "x binary, label int").repartition(23)
     got = quality._summed(rows, 3, lambda z, label: np.array([len(z), z.sum(dtype=np.float64), (label == 1).sum()]))
@@ -316,10 +318,12 @@ def test_masked_lm(spark):
     assert one[0] == pytest.approx(1.0, abs=1e-4)
 
 
-def test_masked_lm_scores_every_rare_word_by_its_own_count(spark):
+@pytest.mark.parametrize("held", [masked_lm._HELD, 50])
+def test_masked_lm_scores_every_rare_word_by_its_own_count(spark, monkeypatch, held):
+    monkeypatch.setattr(masked_lm, "_HELD", held)  # with 50, every range is dealt to several groups
     texts = [*TEXTS, *(prose(s, 300, 1500) for s in range(8)), "w1 rare1 rare1 rare2", "rare2 rare2 w3"]
     net = masked_lm.train(frame(spark, texts))
-    got = {r.row.doc_id: r.log_likelihood for r in masked_lm.scored(frame(spark, texts), net).collect()}
+    got = {r.row.doc_id: r.log_likelihood for r in masked_lm.scored(frame(spark, texts).repartition(4), net).collect()}
     from lectern.llm.words import utf8, words
     import pyarrow as pa
 
@@ -344,7 +348,7 @@ def test_masked_lm_trains_on_every_position_once(monkeypatch):
     monkeypatch.setattr(masked_lm, "step", lambda net, grad2, context, token: (sizes.append(len(token)), step(net, grad2, context, token)))
     net = masked_lm.start(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for turn in range(masked_lm.ROUNDS):
-        list(masked_lm._trained(net, turn)(iter([pa.record_batch([pa.array(texts, pa.string())], ["text"])])))
+        masked_lm._trained(net, turn)(iter([pa.record_batch([pa.array(texts, pa.string())], ["text"])]))
     assert sum(sizes) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts)
     hashes, place = np.arange(1000, dtype=np.uint64) // np.uint64(7), np.arange(1000)
     assert np.sort(np.concatenate([masked_lm.drawn(hashes, place, turn) for turn in range(masked_lm.ROUNDS)])).tolist() == place.tolist()
