@@ -62,16 +62,16 @@ def chapter_number(path: Column) -> Column:
 
 def chapter_glossaries(contexts: DataFrame, glossaries: DataFrame, path: str, previous: str) -> DataFrame:
     """The glossary (name, text) of the chapter that a file's name tells, else of the first (by name) that the text before
-    names, else the fallback terms; confidence 0.8, or 0.3 for the fallback. Glossaries are one small row each and are
-    put in one row, so contexts don't move; names are unique."""
-    table = glossaries.agg(F.coalesce(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))), F.create_map().cast("map<string,string>")).alias("_g"))
-    out = contexts.crossJoin(F.broadcast(table)).withColumn("_n", chapter_number(F.col(path)))
-    by_file = F.filter(F.transform(F.array(*(F.lit(x) for x in ("chapter", "ch", "bg", "sb"))), lambda p: F.concat(p, F.col("_n"))), lambda name: F.map_contains_key("_g", name))
-    by_text = F.filter(F.array_sort(F.map_keys("_g")), lambda name: F.contains(F.lower(F.coalesce(previous, F.lit(""))), name))
+    names, else the fallback terms; confidence 0.8, or 0.3 for the fallback. All names are put in one row, which every
+    task gets (a name a file of a folder); the glossaries' texts are joined by name. Names are unique."""
+    names = glossaries.agg(F.coalesce(F.array_sort(F.collect_list("name")), F.array().cast("array<string>")).alias("_g"))
+    out = contexts.crossJoin(F.broadcast(names)).withColumn("_n", chapter_number(F.col(path)))
+    by_file = F.filter(F.transform(F.array(*(F.lit(x) for x in ("chapter", "ch", "bg", "sb"))), lambda p: F.concat(p, F.col("_n"))), lambda name: F.array_contains("_g", name))
+    by_text = F.filter("_g", lambda name: F.contains(F.lower(F.coalesce(previous, F.lit(""))), name))
     chapter = F.coalesce(F.try_element_at(by_file, F.lit(1)), F.try_element_at(by_text, F.lit(1)))
-    out = out.withColumn("guessed_chapter", chapter).withColumn("glossary", F.coalesce(F.try_element_at("_g", F.col("guessed_chapter")), F.lit(" ".join(FALLBACK_TERMS))))
-    out = out.withColumn("strategy", F.lit("chapter_guess")).withColumn("confidence", F.when(F.col("guessed_chapter").isNotNull(), 0.8).otherwise(0.3))
-    return out.drop("_g", "_n")
+    out = out.withColumn("guessed_chapter", chapter).drop("_g", "_n").join(glossaries.select(F.col("name").alias("_name"), F.col("text").alias("_text")), F.col("guessed_chapter") == F.col("_name"), "left")
+    out = out.withColumn("glossary", F.coalesce("_text", F.lit(" ".join(FALLBACK_TERMS)))).drop("_name", "_text")
+    return out.withColumn("strategy", F.lit("chapter_guess")).withColumn("confidence", F.when(F.col("guessed_chapter").isNotNull(), 0.8).otherwise(0.3))
 
 
 def chosen_glossary(contexts: DataFrame, strategy: str, **given) -> DataFrame:

@@ -14,7 +14,7 @@ from lectern.operators import correction as X
 from lectern.operators import library as L
 from lectern.operators import streams as S
 from lectern.sinks.shared import written
-from lectern.queries import _CAPTIONS_SQL, _EVENTS, _PAIRS, _TERMS, _UNIQUE, _captions, _events, _list, _turn_pairs, query, table
+from lectern.queries import _CAPTIONS_SQL, _EVENTS, _PAIRS, _SIMILAR, _TERMS, _UNIQUE, _captions, _events, _list, _turn_pairs, query, table
 
 #: White space of any kind, and a text without it at both ends.
 _W = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
@@ -308,7 +308,7 @@ def frame_times(spark, sf):
     return K.frame_times(table(spark, sf, "events").filter("value IS NOT NULL"), "value", "user_id").withColumn("mean", F.round("mean", 6))
 
 
-@query(None)
+@query(f"WITH {_PAIRS}, {_SIMILAR} SELECT conv_id, turn, coalesce(similarity > 0.8, false) AS skipped FROM conversations LEFT JOIN s USING (conv_id, turn)")
 def skipped_repeats(spark, sf):
     return S.repeats_last(table(spark, sf, "conversations"), "conv_id", "turn", "text", C.text_similarity).select("conv_id", "turn", "skipped")
 

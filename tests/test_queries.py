@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from lectern import queries as Q
-from lectern import queries_more, queries_streams, queries_tables  # noqa: F401
+from lectern import queries_files, queries_more, queries_streams, queries_tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
