@@ -37,17 +37,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(some, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
-def text_similarity(a: Column, b: Column) -> Column:
+def text_similarity(a: Column, b: Column, least: float | None = None) -> Column:
     """1 for equal (normalised) texts; for a text inside the other the ratio of lengths, 0 under 0.6; else the mean of
-    Levenshtein ratio and word Jaccard. Blank texts give 0."""
+    Levenshtein ratio and word Jaccard. Blank texts give 0. With ``least``, a value that can't be above it is 0: the
+    Levenshtein ratio is no more than the ratio of lengths, so most distances needn't be computed."""
     na, nb = similarity_norm(a), similarity_norm(b)
     la, lb = F.length(na), F.length(nb)
     share = F.least(la, lb) / F.greatest(la, lb)
+    common = jaccard(F.split(na, " "), F.split(nb, " "))
+    mean = (levenshtein_ratio(na, nb) + common) / 2
+    if least is not None:
+        mean = F.when((share + common) / 2 > least, mean).otherwise(0.0)
     blank = (strip(F.coalesce(a, F.lit(""))) == "") | (strip(F.coalesce(b, F.lit(""))) == "")
     return (
         F.when(blank, 0.0).when(a == b, 1.0).when((la == 0) & (lb == 0), 1.0).when((la == 0) | (lb == 0), 0.0).when(na == nb, 1.0)
         .when(F.contains(na, nb) | F.contains(nb, na), F.when(share >= 0.6, share).otherwise(0.0))
-        .otherwise((levenshtein_ratio(na, nb) + jaccard(F.split(na, " "), F.split(nb, " "))) / 2)
+        .otherwise(mean)
     )
 
 

@@ -14,6 +14,18 @@ def _none(value):
     return None if value is None or value is pd.NaT or value != value else value
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as shuffles have, without merging small ones: for work that is heavy a row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores. A table of many files stays as it is; a single small file,
+    which one task would read, is dealt out, for work that is heavy a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def folded(df: DataFrame, key: str, order: list[str], machine, keep: list[str] | None = None) -> DataFrame:
     """``key`` and the ``keep`` columns (the order's, unless given) of each row with what ``machine`` puts out for it. Rows
     of a stream pass in order, batch by batch, so a task holds a batch and one stream's state however long it is. Null
@@ -34,7 +46,7 @@ def folded(df: DataFrame, key: str, order: list[str], machine, keep: list[str] |
                 out += [(*map(_none, own), *made) for made in machine.step(state, row)]
             yield pd.DataFrame(out, columns=[key, *keep, *names])
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return dealt(df, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def last_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -44,9 +56,11 @@ def last_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def repeats_last(df: DataFrame, key: str, order: str, text: str, similarity, least: float = 0.8) -> DataFrame:
-    """Rows with ``skipped``: whether a text is more than ``least`` like the stream's text before it."""
+    """Rows with ``skipped``: whether a text is more than ``least`` like the stream's text before it. ``similarity`` takes
+    two columns and ``least``, and may be any value up to that where it is no more."""
     before = F.lag(text).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("skipped", F.coalesce(similarity(F.col(text), before) > least, F.lit(False)))
+    rows = dealt(df, key).withColumn("_before", before)
+    return rows.withColumn("skipped", F.coalesce(similarity(F.col(text), F.col("_before"), least) > least, F.lit(False))).drop("_before")
 
 
 def without_pauses(df: DataFrame, key: str, order: str, at: Column, pause: Column) -> DataFrame:

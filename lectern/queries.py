@@ -9,6 +9,7 @@ from lectern.functions import columns as C
 from lectern.functions.lists import BOGUS, CANONICAL, SILENCE_WORDS, STOP_WORDS
 from lectern.operators import captions as CP
 from lectern.operators import library as L
+from lectern.operators.streams import dealt, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,7 +95,7 @@ def term_sets(spark, sf):
 
 def _turn_pairs(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
+    return dealt(table(spark, sf, "conversations"), "conv_id").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
 
 
 _PAIRS = "p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations QUALIFY before IS NOT NULL)"
@@ -296,7 +297,7 @@ def cross_segment_clean(spark, sf):
 
 @query(None)
 def sentence_states(spark, sf):
-    return L.sentence_states(table(spark, sf, "conversations"), "text", "conv_id", "turn").groupBy("state").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return L.sentence_states(spread(table(spark, sf, "conversations")), "text", "conv_id", "turn").groupBy("state").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 @query(None)

@@ -82,7 +82,7 @@ def _filtered(religious: bool) -> str:
 )
 def profanity_beep(spark, sf):
     """All documents, with a list of words that the texts have, and spellings with digits and signs."""
-    return table(spark, sf, "documents").select("doc_id", U.filter_profanity(words=_FILTERED)("text").text.alias("text"))
+    return S.spread(table(spark, sf, "documents")).select("doc_id", U.filter_profanity(words=_FILTERED)("text").text.alias("text"))
 
 
 @query(None)
@@ -90,7 +90,7 @@ def profanity_levels(spark, sf):
     """What each level and strategy makes of every turn, by numbers of findings."""
     out = None
     for level, strategy in (("OFF", "BEEP"), ("MILD", "ASTERISK"), ("MODERATE", "REMOVE"), ("STRICT", "SYNONYM")):
-        rows = table(spark, sf, "conversations").select(U.filter_profanity(level, strategy)("text").alias("r")).groupBy("r.findings").agg(F.count("*").alias("n"))
+        rows = S.spread(table(spark, sf, "conversations")).select(U.filter_profanity(level, strategy)("text").alias("r")).groupBy("r.findings").agg(F.count("*").alias("n"))
         rows = rows.select(F.lit(level).alias("level"), "findings", "n")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -98,12 +98,12 @@ def profanity_levels(spark, sf):
 
 @query(None)
 def repetition_clean(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", U.clean_repetitions("text").alias("r")).select("conv_id", "turn", "r.*")
+    return S.spread(table(spark, sf, "conversations")).select("conv_id", "turn", U.clean_repetitions("text").alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query(None)
 def rewritten_terms(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", U.rewrite_terms("text").alias("text"))
+    return S.spread(table(spark, sf, "conversations")).select("conv_id", "turn", U.rewrite_terms("text").alias("text"))
 
 
 @query(r"WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS token FROM documents) SELECT token, strip_accents(lower(token)) AS ascii FROM t")
