@@ -247,8 +247,8 @@ def _packed(hashes: np.ndarray, doc: np.ndarray, ranges: int, rows: int) -> pa.L
     ends = np.append(begin, len(own))
     cuts = list(zip(ends[:-1], ends[1:], strict=True))
     packs = pa.StructArray.from_arrays(
-        [pa.array(found.astype(np.int32)), *(pa.array([x.tobytes() for x in each], pa.binary()) for each in ([own[a:b] for a, b in cuts], [times[a:b] for a, b in cuts], [doc[bounds[a] : bounds[b]] for a, b in cuts])), pa.array([int(bounds[b] - bounds[a]) for a, b in cuts], pa.int64())],
-        ["place", "words", "times", "docs", "n"],
+        [pa.array(found.astype(np.int32)), *(pa.array([x.tobytes() for x in each], pa.binary()) for each in ([own[a:b] for a, b in cuts], [times[a:b] for a, b in cuts], [doc[bounds[a] : bounds[b]] for a, b in cuts]))],
+        ["place", "words", "times", "docs"],
     )
     return pa.ListArray.from_arrays(pa.array([0] + [len(found)] * rows, pa.int32()), packs)
 
@@ -311,13 +311,14 @@ def scored(docs: DataFrame, net: Net, text_col: str = "text", counts: DataFrame
                 yield pa.record_batch([row, pa.array(at + np.arange(len(row))), pa.array(np.full(len(row), at)), pa.array(n), pa.array(total), packs], ["row", "id", "batch", "n_tokens", "log_likelihood", "packs"])
             at += len(row)
 
-    _, schema = framed(docs.select(*(keep or docs.columns)), "id long, batch long, n_tokens long, log_likelihood double, packs array<struct<place:int,words:binary,times:binary,docs:binary,n:long>>")
+    _, schema = framed(docs.select(*(keep or docs.columns)), "id long, batch long, n_tokens long, log_likelihood double, packs array<struct<place:int,words:binary,times:binary,docs:binary>>")
     frame = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text_col].alias("text"))
     rows = written(frame.mapInArrow(run, schema), "scored")
     place = F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * F.lit(ranges).cast("long"), 32).cast("int")
     packs = rows.select("batch", F.explode("packs").alias("p")).select("batch", "p.*")
     # ranges with more occurrences than a group should hold; there are no more of them than all occurrences over that
-    large = packs.groupBy("place").agg(F.ceil(F.sum("n") / _HELD).cast("int").alias("groups")).filter("groups > 1")
+    rare = counts.filter(~F.col("hash").isin(net.known.view(np.int64).tolist())) if len(net.known) else counts
+    large = rare.groupBy(place.alias("place")).agg(F.ceil(F.sum("n") / _HELD).cast("int").alias("groups")).filter("groups > 1")
     large = F.broadcast(written(large, "large"))
     packs = packs.join(large, "place", "left").withColumn("group", F.coalesce(F.pmod(F.xxhash64("batch"), F.col("groups")).cast("int"), F.lit(0)))
     known = counts.select(place.alias("place"), "hash", "n").join(large, "place", "left")
