@@ -75,13 +75,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no later plan reads; others are left alone."""
     for table in tables:
-        spark, path = table.sparkSession, getattr(table, "_lectern_path", None)
+        path = getattr(table, "_lectern_path", None)
         if path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            removed(table.sparkSession, path)
             table._lectern_path = None
 
 

@@ -15,13 +15,14 @@ arbitrarily) are revisits of that id; the number of copies of a payload has no e
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import dropped, shared_dir, written
+from lectern.llm.storage import dropped, removed, shared_dir, written
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -109,11 +110,13 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}/warc"
-    archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return records_of(spark, path).select("length", "sha1", "record").mapInArrow(_parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """What the records of the archive of all pages say once they are read back; the archive goes after that."""
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{path}/warc")
+    said = records_of(spark, f"{path}/warc").select("length", "sha1", "record").mapInArrow(_parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = written(said, "said")
+    removed(spark, path)
+    return out
 
 
 OP3_SQL = r"""
