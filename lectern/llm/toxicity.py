@@ -17,8 +17,8 @@ Inputs are texts alone. Words are runs without white space, without other charac
 ends, lower-cased in A-Z.
 
 Edge cases: null and empty texts have no hits and get the least score; a null id is not held out and not labelled; rows
-with null labels are unlabelled; repeated rows score alike; without labels of both kinds every score is 0; an empty
-table gives an empty result; other columns travel in ``row``.
+with null labels are unlabelled; repeated rows score alike, and of rows that share an id one text is learnt from; without
+labels of both kinds every score is 0; an empty table gives an empty result; other columns travel in ``row``.
 """
 
 from __future__ import annotations
@@ -295,8 +295,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.withColumn("half", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)).cast("int")).orderBy(F.xxhash64("id"), "id").limit(labelled)
     with scratch():
         chosen = written(own, "sample")
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label", "half")
-        texts = written(texts, "texts")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+        # one text an id, so that the sample is no larger than its labels, however many rows share an id
+        texts = texts.groupBy("id", "label", "half").agg(F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text"))
+        texts = written(texts.select("text", "label", "half"), "texts")
         each = texts.mapInArrow(_terms, "term string, half int, copies long, label int").distinct()
         each = written(each, "words")
         toxic = lambda h: F.count_if((F.col("half") == h) & (F.col("label") == 1))
