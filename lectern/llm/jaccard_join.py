@@ -228,8 +228,8 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(percent: int):
-    """One block of members outside the largest component against one block of all members: links between components,
-    one for each pair of outside member and other component."""
+    """One block of members outside the largest component against one block of all members: links between components, a
+    forest of them, so no more than the block has members. Further links of a block join what its forest joins."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, comp, rest = (table.column(c).to_numpy() for c in ("cls", "comp", "rest"))
@@ -241,7 +241,14 @@ def _blocks(percent: int):
         owner = np.repeat(np.arange(len(mine)), size[mine])
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
-        u, v, seen = [], [], set()
+        u, v, up = [], [], {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
         for k in np.flatnonzero(~rest).tolist():
             x = flat[first[k] : first[k + 1]]
             lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
@@ -249,8 +256,9 @@ def _blocks(percent: int):
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             same = np.bincount(owner[at], minlength=len(mine))
             for z in np.flatnonzero((100 * same >= percent * (size[mine] + size[k] - same)) & (comp[mine] != comp[k])).tolist():
-                if (z, comp[k]) not in seen:
-                    seen.add((z, comp[k]))
+                a, b = top(int(comp[mine[z]])), top(int(comp[k]))
+                if a != b:
+                    up[a] = b
                     u.append(int(cls[mine[z]]))
                     v.append(int(cls[k]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
