@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from lectern.functions.machines import SegmentCleaner
 from lectern.functions.segments import ascii_fold, sentences
 from lectern.operators import neighbourhood
 from lectern.operators.streams import folded
+from lectern.sinks.shared import written
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -47,57 +50,119 @@ def vocabulary(df: DataFrame, text: str, order: str, *, by: tuple[str, ...] = ()
 GLOSSARY_TOKEN = r"(?U)\b[\wऀ-ॿ]+\b"
 
 
-def _found(df: DataFrame, text: str, seq: str, chapter: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Different texts, and the terms in them: seq, chapter, source, pos, token."""
-    unique = first_of_equal(df.select(F.col(seq).alias("seq"), F.col(text).alias("text"), F.col(chapter).alias("chapter"), F.col(source).alias("source")), "text", "seq")
-    found = F.posexplode(F.regexp_extract_all("text", F.lit(GLOSSARY_TOKEN), F.lit(0))).alias("pos", "token")
-    return unique, unique.select("seq", "chapter", "source", found).filter(is_term(F.col("token")))
+#: Words that are counted at once in a task.
+_AT_ONCE = 2_000_000
 
 
-def _counted(every: DataFrame) -> DataFrame:
-    return every.groupBy("token").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("chapter") != 0, F.col("chapter")))).alias("chapters"),
-        F.array_sort(F.collect_set("source")).alias("sources"), F.min(F.struct("seq", "pos")).alias("first"),
+def _unique(df: DataFrame, text: str, seq: str, chapter: str, source: str) -> DataFrame:
+    """Different texts: seq, text, chapter, source."""
+    return first_of_equal(df.select(F.col(seq).alias("seq"), F.col(text).alias("text"), F.col(chapter).alias("chapter"), F.col(source).alias("source")), "text", "seq")
+
+
+def _counted(unique: DataFrame, most: int) -> DataFrame:
+    """The terms of texts: token, n, chapters, sources and the first ``places`` (seq, pos), ``most`` at the most. Texts are
+    tokenised once; a task sends a row for each word of a batch."""
+    kinds = {c: unique.schema[c].dataType.simpleString() for c in ("seq", "chapter", "source")}
+    schema = f"token string, n long, chapters array<{kinds['chapter']}>, sources array<{kinds['source']}>, places array<struct<seq:{kinds['seq']},pos:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                yield _seen(part, most)
+
+    words = unique.select("seq", F.when(F.col("chapter") != 0, F.col("chapter")).alias("chapter"), "source", F.regexp_extract_all("text", F.lit(GLOSSARY_TOKEN), F.lit(0)).alias("words"))
+    each = words.mapInArrow(run, schema).filter(is_term(F.col("token")))
+    every = lambda c: F.flatten(F.collect_list(c))
+    return each.groupBy("token").agg(
+        F.sum("n").alias("n"), F.array_sort(F.array_distinct(every("chapters"))).alias("chapters"), F.array_sort(F.array_distinct(every("sources"))).alias("sources"),
+        F.slice(F.array_sort(every("places")), 1, most).alias("places"),
     )
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``_AT_ONCE`` words (last column) each."""
+    until = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)) // _AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(low, high - low)
+
+
+def _lists(owner: np.ndarray, values: pa.Array, owners: int) -> pa.ListArray:
+    """Values, in order of the number of their owner, as a list for each owner."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))]), pa.int32()), values)
+
+
+def _seen(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
+    """A row for each different word of the rows (seq, chapter, source, words): how often it occurs, where, and the first
+    ``most`` places by (seq, pos), nulls first."""
+    seq, chapter, source, words = batch.columns
+    parent = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+    encoded = words.flatten().dictionary_encode()
+    codes, size = encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+    pos = np.arange(len(parent)) - np.searchsorted(parent, parent)
+    place = pc.rank(seq, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)[parent]
+    longest, rows = int(pos.max(initial=0)) + 1, batch.num_rows + 1
+    order = np.argsort((codes * rows + place) * longest + pos) if size * rows * longest < 2**62 else np.lexsort((pos, place, codes))
+    codes, parent, pos = codes[order], parent[order], pos[order]
+    n = np.bincount(codes, minlength=size)
+    early = np.arange(len(codes)) - (np.cumsum(n) - n)[codes] < most
+    places = pa.StructArray.from_arrays([seq.take(pa.array(parent[early])), pa.array(pos[early], pa.int32())], ["seq", "pos"])
+
+    def different(column: pa.Array) -> pa.ListArray:
+        own = column.dictionary_encode()
+        code = own.indices.fill_null(-1).to_numpy().astype(np.int64)[parent]
+        found = np.unique(codes[code >= 0] * max(1, len(own.dictionary)) + code[code >= 0])
+        owner, value = np.divmod(found, max(1, len(own.dictionary)))
+        return _lists(owner, own.dictionary.take(pa.array(value)), size)
+
+    columns = [encoded.dictionary, pa.array(n, pa.int64()), different(chapter), different(source), _lists(codes[early], places, size)]
+    return pa.record_batch(columns, ["token", "n", "chapters", "sources", "places"])
+
+
 def term_counts(df: DataFrame, text: str, seq: str, chapter: str, source: str) -> DataFrame:
     """The vocabulary job without contexts: token, ascii, n, chapters, sources and first sight (seq, pos). Texts are read
-    and tokenised once and don't move; counts are summed in each task."""
-    return _counted(_found(df, text, seq, chapter, source)[1]).withColumn("ascii", ascii_folded("token"))
+    and tokenised once; counts are summed in each task."""
+    return _counted(_unique(df, text, seq, chapter, source), 1).withColumn("first", F.col("places")[0]).drop("places").withColumn("ascii", ascii_folded("token"))
 
 
-def glossary(df: DataFrame, text: str, seq: str, chapter: str, source: str, most: int = 5) -> DataFrame:
+def glossary(df: DataFrame, text: str, seq: str, chapter: str, source: str, most: int = 5, top: int | None = None) -> DataFrame:
     """The corpus-to-vocabulary job: token, ascii, n, chapters, sources, up to ``most`` contexts and first sight (seq,
-    pos), in order of count and first sight. A context is the text around the token's first occurrence in the document.
-
-    Counts are partial sums without texts. The first occurrences of a token, at most ``most`` from each task, are found
-    by place alone; only those documents' texts meet them."""
-    unique, every = _found(df, text, seq, chapter, source)
-    counts = _counted(every)
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("seq", "pos"))
-    early = every.select("token", "seq", "pos").withColumn("rank", rank).filter(F.col("rank") <= most)
-    wanted = early.groupBy("seq").agg(F.collect_list(F.struct("token", "rank")).alias("tokens"))
+    pos), in order of count and first sight; ``top``: only the first so many of them. A context is the text around the
+    token's first occurrence in the document."""
+    return glossary_rows(df, text, seq, chapter, source, most, top).orderBy(F.desc("n"), "first")
+
+
+def glossary_rows(df: DataFrame, text: str, seq: str, chapter: str, source: str, most: int = 5, top: int | None = None) -> DataFrame:
+    """``glossary`` in any order. The different texts and the counted terms are written once. Counts are partial sums
+    without texts, and carry the first ``most`` places of a token; only those documents' texts meet them, of ``top``
+    tokens where that is given."""
+    unique = written(_unique(df, text, seq, chapter, source), "texts")
+    counts = _counted(unique, most).withColumn("first", F.col("places")[0])
+    counts = written(counts if top is None else counts.orderBy(F.desc("n"), "first").limit(top), "counts")
+    early = counts.select("token", F.posexplode("places").alias("rank", "place"))
+    wanted = early.groupBy(F.col("place.seq").alias("seq")).agg(F.collect_list(F.struct("token", "rank")).alias("tokens"))
     around = unique.select("seq", "text").join(wanted, "seq").select("text", "tokens").mapInArrow(_contexts, "token string, rank int, context string")
     contexts = around.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rank", "context"))).alias("_c"))
     out = counts.join(contexts, "token").withColumn("contexts", F.transform("_c", lambda c: c.context)).withColumn("ascii", ascii_folded("token"))
-    return out.select("token", "ascii", "n", "chapters", "sources", "contexts", "first").orderBy(F.desc("n"), "first")
+    return out.select("token", "ascii", "n", "chapters", "sources", "contexts", "first")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each token listed for a text, what stands around its first occurrence in any case: 30 characters on each side,
     stripped, 100 at most. A text is lowered once; a search for each token in the engine's own functions took 20 of 27 s
-    at 10,000 documents."""
+    at 10,000 documents. Only texts and contexts become objects of Python one by one."""
     for batch in batches:
-        out: list[tuple[str, int, str]] = []
-        for text, tokens in zip(batch.column(0), batch.column(1), strict=True):
+        listed = batch.column(1).flatten()
+        tokens, ranks = listed.field("token"), listed.field("rank")
+        lowered, sizes = [t.lower() for t in tokens.to_pylist()], pc.utf8_length(tokens).to_pylist()
+        out: list[str] = []
+        for text, many in zip(batch.column(0), pc.list_value_length(batch.column(1)).to_pylist(), strict=True):
             text = text.as_py()
             low = text.lower()
-            for own in tokens.as_py():
-                at = low.find(own["token"].lower())
-                out.append((own["token"], own["rank"], text[max(0, at - 30) : at + len(own["token"]) + 30].strip()[:100] if at >= 0 else ""))
-        names, kinds = ["token", "rank", "context"], [pa.string(), pa.int32(), pa.string()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 3, kinds, strict=True)], names)
+            for k in range(len(out), len(out) + many):
+                at = low.find(lowered[k])
+                out.append(text[max(0, at - 30) : at + sizes[k] + 30].strip()[:100] if at >= 0 else "")
+        yield pa.record_batch([tokens, ranks, pa.array(out, pa.string())], ["token", "rank", "context"])
 
 
 @F.pandas_udf(T.StringType())

@@ -9,7 +9,7 @@ from lectern.functions import columns as C
 from lectern.functions.machines import CaptionTimeline
 from lectern.operators import corpus as K
 from lectern.operators.correction import corrected
-from lectern.operators.library import glossary
+from lectern.operators.library import glossary_rows
 from lectern.operators.streams import folded
 from lectern.sinks import files as sinks
 from lectern.sinks.shared import written
@@ -25,7 +25,7 @@ def vocabulary(spark: SparkSession, source: str, target: str, common: int = 200,
 def vocabulary_of(corpus: DataFrame, target: str, common: int = 200, each: int = 100, ascending: bool = True, table: str = "gita_tokens") -> dict[str, bool]:
     """``vocabulary`` of corpus rows with their order ``seq``, such as ``samples.sample_corpus``."""
     spark = corpus.sparkSession
-    terms = written(glossary(corpus, "text", "seq", "chapter", "source"), "terms")
+    terms = written(glossary_rows(corpus, "text", "seq", "chapter", "source"), "terms")
     sinks.token_table(terms, f"{target}/{table}")
     sinks.glossaries(terms, f"{target}/glossaries", common, each, ascending=ascending)
     sinks.summary(terms, K.stats(terms), f"{target}/glossaries")

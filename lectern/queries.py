@@ -303,7 +303,7 @@ def sentence_states(spark, sf):
 @query(None)
 def glossary_terms(spark, sf):
     d = table(spark, sf, "documents").withColumn("chapter", (F.col("doc_id") % 18 + 1).cast("int"))
-    return L.glossary(d, "text", "doc_id", "chapter", "source").select("token", "n", F.size("chapters").alias("chapters"), F.size("sources").alias("sources"), "contexts").limit(200)
+    return L.glossary(d, "text", "doc_id", "chapter", "source", top=200).select("token", "n", F.size("chapters").alias("chapters"), F.size("sources").alias("sources"), "contexts")
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")

@@ -334,9 +334,9 @@ def _counts(spark, sf):
     return L.term_counts(rows, "text", "doc_id", "chapter", "source")
 
 
-def _glossary(spark, sf):
+def _glossary(spark, sf, top):
     rows = table(spark, sf, "documents").withColumn("chapter", (F.col("doc_id") % 18 + 1).cast("int"))
-    return L.glossary(rows, "text", "doc_id", "chapter", "source")
+    return L.glossary(rows, "text", "doc_id", "chapter", "source", top=top)
 
 
 _SEEN = rf"t AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+')) AS token, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+'), 1) AS pos FROM u WHERE text IS NOT NULL)"
@@ -358,7 +358,7 @@ def corpus_stats(spark, sf):
 def glossary_rows(spark, sf):
     numbers = F.transform("chapters", lambda c: c.cast("string"))
     joined = (F.array_join(numbers, ",").alias("chapters"), F.array_join("sources", ",").alias("sources"), F.array_join("contexts", " | ").alias("contexts"))
-    return _glossary(spark, sf).limit(200).select("token", "ascii", "n", *joined)
+    return _glossary(spark, sf, 200).select("token", "ascii", "n", *joined)
 
 
 @query(f"WITH {_UNIQUE}, {_SEEN}, {_TERMS}, {_COUNTED}, c AS (SELECT token, n // len(chapters) AS score, first, unnest(chapters) AS chapter FROM g) SELECT chapter, token, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY chapter ORDER BY score DESC, first) AS INT) AS rank FROM c QUALIFY rank <= 100")

@@ -64,3 +64,35 @@ def test_sound_at_another_rate(spark):
     assert [(r.stream, r.chunk, len(r.samples)) for r in rows] == [("a", 0, 16000), ("a", 1, 16000), ("none", 0, 16000)]
     assert np.abs(np.array(rows[0].samples) - np.sin(2 * np.pi * 100 * np.arange(16000) / 16000))[300:-300].max() == pytest.approx(0, abs=1e-3)
     assert df.select(F.size("samples")).count() == 2
+
+
+def test_terms_of_batches_against_brute_force(spark, monkeypatch):
+    """Words are counted by batch: repeated and null ids, null chapters, sources and texts, a batch in several parts."""
+    text = lambda k: None if k == 7 else " ".join(f"w{(k * j) % 11} x{k}" for j in range(k % 9))
+    rows = [(None if k == 5 else k // 2, text(k), None if k % 4 == 0 else k % 4 - 1, None if k % 5 == 0 else f"s{k % 3}") for k in range(40)]
+    df = spark.createDataFrame(rows, "seq long, text string, chapter int, source string").coalesce(1)
+    want = {}
+    for seq, own, chapter, source in rows:
+        for pos, token in enumerate((own or "").split()):
+            n, chapters, sources, places = want.setdefault(token, [0, set(), set(), []])
+            want[token][0] += 1
+            chapters |= {chapter} - {None, 0}
+            sources |= {source} - {None}
+            places.append((seq is not None, seq or 0, pos))
+    unique = df.filter("text IS NOT NULL")
+    for most in (1, 3):
+        got = {r.token: [r.n, set(r.chapters), set(r.sources), [(p.seq is not None, p.seq or 0, p.pos) for p in r.places]] for r in L._counted(unique, most).collect()}
+        assert got == {t: [n, c, s, sorted(p)[:most]] for t, (n, c, s, p) in want.items()}
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array([["a"] * 3, None, [], ["b"] * 2])], ["seq", "words"])
+    monkeypatch.setattr(L, "_AT_ONCE", 2)
+    assert [r for part in L._parts(batch) for r in part.column(0).to_pylist()] == [1, 2, 3, 4] and len(list(L._parts(batch))) > 1
+
+
+def test_texts_are_tokenised_once_and_only_wanted_terms_get_contexts(spark):
+    rows = sample_corpus(spark)
+    shown = L.term_counts(rows, "text", "seq", "chapter", "source")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in shown and "Generate posexplode" not in shown and shown.count("MapInArrow") == 1
+    whole = L.glossary(rows, "text", "seq", "chapter", "source").collect()
+    assert L.glossary(rows, "text", "seq", "chapter", "source", top=20).collect() == whole[:20]
