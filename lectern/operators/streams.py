@@ -14,16 +14,20 @@ def _none(value):
     return None if value is None or value is pd.NaT or value != value else value
 
 
+#: Tasks for each part of a table whose rows are heavy.
+_TASKS = 4
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by keys to as many tasks as shuffles have, without merging small ones: for work that is heavy a row."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over at least as many tasks as there are cores. A table of many files stays as it is; a single small file,
-    which one task would read, is dealt out, for work that is heavy a row."""
+    """Rows dealt out, for work that is heavy a row: to ``_TASKS`` tasks for each part that a table is read in, and at least
+    as many as there are cores. Parts of a file are cut by bytes, and may hold all its rows or none."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(cores, _TASKS * df.rdd.getNumPartitions()))
 
 
 def folded(df: DataFrame, key: str, order: list[str], machine, keep: list[str] | None = None) -> DataFrame:
