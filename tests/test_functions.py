@@ -119,3 +119,44 @@ def test_captions_meet_every_frame_of_a_long_conversation(spark, tmp_path):
                 latest[c, frame] = max(n, latest.get((c, frame), 0))
     assert {(r.conv_id, r.id, r.frame): r.fade for r in Q.caption_active_frames(spark, str(tmp_path)).collect()} == fades
     assert {(r.conv_id, r.frame): r.latest for r in Q.latest_caption_asof(spark, str(tmp_path)).collect()} == latest
+
+
+def plain_phrases(text, longest=5, alike=0.8):
+    """``collapse_phrases`` without bounds: every pair is compared."""
+    words, cuts = text.split(), []
+    for n in range(2, min(longest + 1, len(words) // 2)) if len(words) >= 4 else ():
+        i = 0
+        while i + 2 * n <= len(words):
+            a, b = words[i : i + n], words[i + n : i + 2 * n]
+            x, y = (" ".join(S._bare(w) for w in own) for own in (a, b))
+            near = 1.0 if a == b else 0.95 if [S._bare(w) for w in a] == [S._bare(w) for w in b] else S.seq_ratio(x, y)
+            if near >= alike and " ".join(a).lower() not in S.EMPHATIC:
+                del words[i + n : i + 2 * n]
+                cuts.append(near)
+            else:
+                i += 1
+    return (" ".join(words) if len(text.split()) >= 4 else text), cuts
+
+
+def test_bounds_of_phrases_change_no_result(monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    words = ["so", "the", "the,", "no", "very", "a", "Krishna", "krishna", "hare", "um", "one", "two", "ones", "twos", "..", "é", "zebra"]
+    texts = [" ".join(draw.choice(words[: draw.randint(2, 17)]) for _ in range(draw.randint(0, 30))) for _ in range(400)]
+    assert [S.collapse_phrases(t) for t in texts] == [plain_phrases(t) for t in texts]
+    for a, b in zip(texts, texts[1:], strict=False):
+        whole = S.seq_ratio(a, b)
+        assert S.ratio_from(a, b, 0.6) in (whole, 0.0 if whole < 0.6 else whole)
+    # few pairs are compared character by character
+    seen = []
+    monkeypatch.setattr(S, "_phrase_likeness", lambda *own: seen.append(own) or 0.0)
+    S.collapse_phrases(" ".join(f"{chr(97 + k % 26) * 5}{k}" for k in range(200)))
+    assert len(seen) < 40
+
+
+def test_heavy_rows_are_dealt_to_more_tasks_than_a_table_has_parts(spark):
+    from lectern.operators.streams import spread
+
+    for parts in (1, 6):
+        assert spread(spark.range(100).repartition(parts)).rdd.getNumPartitions() >= max(4, 4 * parts)
