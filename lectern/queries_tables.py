@@ -13,7 +13,7 @@ from lectern.operators import neighbourhood as N
 from lectern.operators import summaries as SM
 from lectern.operators.asof import asof_join
 from lectern.queries import _events, query, table
-from lectern.sinks.bucketed import bucketed
+from lectern.sinks.bucketed import bucketed, buckets_for
 from lectern.sinks.shared import folder, written
 from lectern.sources import pages as P
 from lectern.streaming.metrics import policy_counters
@@ -174,8 +174,10 @@ def _totals(orders, lines):
 
 
 def co_partitioned(spark, sf):
-    """Orders and their lines as tables of eight buckets by order."""
-    return bucketed(table(spark, sf, "orders"), "o_orderkey", 8, "orders"), bucketed(table(spark, sf, "lineitem"), "l_orderkey", 8, "lines")
+    """Orders and their lines as tables of buckets by order, as many as their size asks for."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    many = buckets_for(orders, lines)
+    return bucketed(orders, "o_orderkey", many, "orders"), bucketed(lines, "l_orderkey", many, "lines")
 
 
 @query(_TOTALS)

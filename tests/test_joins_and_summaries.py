@@ -199,6 +199,16 @@ def test_tables_dealt_by_a_key_join_without_an_exchange(spark):
     assert "SortMergeJoin" in shown and "Exchange" not in shown
 
 
+def test_buckets_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    small, large = (Q.table(spark, sf, "lineitem") for sf in (SF, "/root/testdata/sf0.01"))
+    assert QT.buckets_for(small) == 8 == QT.buckets_for(small, spark.range(1))
+    monkeypatch.setattr("lectern.sinks.bucketed.BUCKET", 50_000)
+    assert QT.buckets_for(small, large) == QT.buckets_for(large, small) > 2 * 8
+    orders, lines = QT.co_partitioned(spark, "/root/testdata/sf0.01")
+    shown = plan(orders.hint("merge").join(lines, orders.o_orderkey == lines.l_orderkey))
+    assert "SortMergeJoin" in shown and "Exchange" not in shown
+
+
 def test_equal_texts_are_cut_down_before_they_move(spark):
     docs = Q.table(spark, SF, "documents")
     shown = plan(L.first_of_equal(docs, "text", "doc_id"))
