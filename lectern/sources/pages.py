@@ -2,21 +2,27 @@
 
 A folder holds files of JSON lines (url, html), any number of pages a file. Files are the partitions, so tasks read them
 side by side and the driver lists names only. A file that can't be opened is tried again after a wait that doubles; one
-that fails every time gives a row with nulls, its name and the number of tries, so that nothing is lost in silence.
+that fails every time gives a row with nulls, its name and the number of tries, so that nothing is lost in silence. A
+file passes through its task a piece at a time; one that fails halfway goes on behind the pieces that were read.
 """
 
 from __future__ import annotations
 
 import importlib
+import io
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: First wait in seconds, what each wait is of the one before, the longest, and tries.
 FIRST, FACTOR, LONGEST, TRIES = 1.0, 2.0, 60.0, 5
+#: Characters of a piece of a file, about.
+PIECE = 4 << 20
 #: Answers that ask to come again later, and of which the last is waited for too.
 BUSY = (429, 503)
 
@@ -29,7 +35,7 @@ class Refused(OSError):
         self.status = status
 
 
-def retried(read: Callable[[], str], tries: int = TRIES, first: float = FIRST, factor: float = FACTOR, longest: float = LONGEST, wait: Callable[[float], None] = time.sleep) -> tuple[str | None, int]:
+def retried[X](read: Callable[[], X], tries: int = TRIES, first: float = FIRST, factor: float = FACTOR, longest: float = LONGEST, wait: Callable[[float], None] = time.sleep) -> tuple[X | None, int]:
     """What ``read`` gives and the number of tries it took; nothing after ``tries`` failures (OSError). There is a wait
     between two tries, and also after the last where the answer was that the server is busy."""
     delay = first
@@ -56,6 +62,24 @@ def opened(path: str) -> str:
         return f.read().decode()
 
 
+def opened_lines(path: str) -> Iterator[str]:
+    """A file's lines as they are asked for, through the file system of its path."""
+    files, name = _place(path)
+    with io.TextIOWrapper(files.open_input_stream(name), encoding="utf-8", newline="\n") as f:
+        yield from f
+
+
+def piece(lines: Iterable[str]) -> list[str]:
+    """The next lines, of ``PIECE`` characters or a bit more."""
+    out, size = [], 0
+    for line in lines:
+        out.append(line)
+        size += len(line) + 1
+        if size >= PIECE:
+            break
+    return out
+
+
 def names(folder: str) -> list[str]:
     """The files of a folder in order, without those that begin with a dot or an underscore."""
     from pyarrow import fs
@@ -75,20 +99,40 @@ class _Pages:
 
     def __init__(self, options: dict):
         self.folder = options["path"].rstrip("/")
-        self.opener = options.get("opener", f"{__name__}:opened")
+        self.opener = options.get("opener", f"{__name__}:opened_lines")
         self.tries, self.first, self.longest = int(options.get("tries", TRIES)), float(options.get("wait", FIRST)), float(options.get("longest", LONGEST))
 
-    def rows(self, name: str) -> Iterator[tuple]:
+    def pieces(self, name: str) -> Iterator[tuple[list[str] | None, int]]:
+        """The lines of a file, some at a time, with the most tries that it took so far; nothing instead of lines at the
+        end of a file that fails every time."""
         module, own = self.opener.split(":")
-        read = getattr(importlib.import_module(module), own)
-        text, tries = retried(lambda: read(f"{self.folder}/{name}"), self.tries, self.first, longest=self.longest)
-        if text is None:
-            yield None, None, name, tries
-            return
-        for line in text.split("\n"):
-            if line.strip():
-                page = json.loads(line)
-                yield page.get("url"), page.get("html"), name, tries
+        read, lines, done, most = getattr(importlib.import_module(module), own), None, 0, 1
+
+        def some() -> list[str]:
+            nonlocal lines
+            try:
+                if lines is None:
+                    found = read(f"{self.folder}/{name}")
+                    lines = islice(found.split("\n") if isinstance(found, str) else found, done, None)
+                return piece(lines)
+            except OSError:
+                lines = None
+                raise
+
+        while True:
+            found, tries = retried(some, self.tries, self.first, longest=self.longest)
+            most = max(most, tries)
+            if found is None or found:
+                yield found, most
+            if not found:
+                return
+            done += len(found)
+
+    def rows(self, name: str) -> Iterator[pa.RecordBatch]:
+        for lines, tries in self.pieces(name):
+            pages = [{}] if lines is None else [json.loads(line) for line in lines if line.strip()]
+            columns = [*(pa.array([page.get(c) for page in pages], pa.string()) for c in ("url", "html")), pa.array([name] * len(pages), pa.string()), pa.array([tries] * len(pages), pa.int32())]
+            yield pa.record_batch(columns, ["url", "html", "file", "tries"])
 
 
 class _Reader(DataSourceReader):
@@ -98,7 +142,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         return [_File(n) for n in names(self.pages.folder)]
 
-    def read(self, partition: _File | None) -> Iterator[tuple]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
         # an empty folder has no partitions, for which the engine asks once with None
         return iter(()) if partition is None else self.pages.rows(partition.name)
 
@@ -118,7 +162,7 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[_File]:
         return [_File(n) for n in names(self.pages.folder) if start["file"] < n <= end["file"]]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         return self.pages.rows(partition.name)
 
     def commit(self, end: dict) -> None:
@@ -126,7 +170,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class PageFolder(DataSource):
-    """``page_folder``: url, html, file and tries. Options: path; opener (module:function of a path to its text); tries,
+    """``page_folder``: url, html, file and tries. Options: path; opener (module:function of a path to its text or its lines); tries,
     wait (the first, in seconds) and longest."""
 
     @classmethod

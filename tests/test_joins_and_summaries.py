@@ -299,6 +299,32 @@ def test_page_folder(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in left.filter("file = 'c.json'").collect()] in ([], [(None, None, "c.json", 2)])
 
 
+def test_a_file_passes_in_pieces_and_goes_on_after_a_failure(tmp_path, monkeypatch):
+    pages = [(f"u{k}", None if k == 5 else "é" * 40) for k in range(50)]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"url": u, "html": h}) for u, h in pages) + "\n\n")
+    monkeypatch.setattr(P, "PIECE", 500)
+    whole = list(P._Pages({"path": str(tmp_path)}).rows("a.json"))
+    assert len(whole) > 10 and max(b.num_rows for b in whole) < 8
+    assert [(r["url"], r["html"], r["tries"]) for b in whole for r in b.to_pylist()] == [(u, h, 1) for u, h in pages]
+    left = [2]
+
+    def failing(path):
+        for k, line in enumerate(P.opened_lines(path)):
+            if k == 20 and left[0] > 0:
+                left[0] -= 1
+                raise OSError("gone")
+            yield line
+
+    monkeypatch.setattr(P, "failing", failing, raising=False)
+    for fails, rest in ((2, 30), (99, 0)):
+        left[0] = fails
+        got = [r for b in P._Pages({"path": str(tmp_path), "opener": "lectern.sources.pages:failing", "wait": "0", "tries": "3"}).rows("a.json") for r in b.to_pylist()]
+        if rest:
+            assert [(r["url"], r["html"]) for r in got] == pages and got[0]["tries"] == 1 and got[-1]["tries"] == 3
+        else:
+            assert got[-1] == {"url": None, "html": None, "file": "a.json", "tries": 3} and [(r["url"], r["html"]) for r in got[:-1]] == pages[: len(got) - 1]
+
+
 def test_page_folder_as_a_stream(spark, tmp_path):
     P.register(spark)
     folder, out = tmp_path / "pages", str(tmp_path / "out")
