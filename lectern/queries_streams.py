@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.queries import query, table
 from lectern.sinks.streams import ResultQueue
-from lectern.streaming.joins import interval_join
+from lectern.streaming.joins import JoinedBatches
 from lectern.streaming.replay import replayed
 from lectern.streaming.translation import translations
 
@@ -19,12 +19,15 @@ def answered_events(spark, sf):
     """Each event with those of its user and type that follow it within 3 seconds to an hour; one without any comes out
     once the stream's time is past its hour."""
 
-    def live(events):
+    def sides(events):
         one = events.select("event_id", "user_id", "event_type", F.col("ts").alias("at"))
-        two = events.select(F.col("event_id").alias("other"), "user_id", "event_type", F.col("ts").alias("later"))
-        return interval_join(one, two, ["user_id", "event_type"], "at", "later", "3 SECONDS", "1 HOUR", how="leftOuter").select("event_id", "other")
+        return one, events.select(F.col("event_id").alias("other"), "user_id", "event_type", F.col("ts").alias("later"))
 
-    return replayed(table(spark, sf, "events"), "ts", live).select("event_id", F.coalesce("other", F.lit(-1)).alias("other"))
+    def joined(path, schema):
+        return JoinedBatches(path, schema, sides, ["user_id", "event_type"], "at", "later", least=3.0, most=3600.0, how="leftOuter")
+
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    return replayed(events, "ts", lambda s: s, sink=joined).select("event_id", F.coalesce("other", F.lit(-1)).alias("other"))
 
 
 _BASE = 1704067200

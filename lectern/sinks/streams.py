@@ -46,6 +46,14 @@ class Batches:
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/batch={k}" for k in whole))
 
+    def last(self, spark: SparkSession, number: int) -> DataFrame:
+        """Rows of the last batch before ``number``; those before it, which no replay goes back to, are deleted."""
+        whole = sorted(k for k in _numbers(spark, self.path) if k < number)
+        for k in whole[:-1]:
+            fs, to = _path(spark, f"{self.path}/batch={k}")
+            fs.delete(to, True)
+        return spark.read.schema(self.schema).parquet(f"{self.path}/batch={whole[-1]}") if whole else spark.createDataFrame([], self.schema)
+
 
 class ResultQueue:
     """A queue of at most ``size`` rows between a stream and its readers: of a micro-batch the first rows by ``order`` fit

@@ -1,6 +1,7 @@
 """Live joins, translations, sinks and queues: what they put out equals the batch, also after a stop at any point."""
 
 import datetime
+import os
 import random
 import time
 
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from lectern.sinks.streams import Batches, ResultQueue
 from lectern.streaming import live
 from lectern.streaming import metrics as ME
-from lectern.streaming.joins import interval_join
+from lectern.streaming.joins import JoinedBatches, interval_join
 from lectern.streaming.replay import replayed
 from lectern.streaming.translation import translations
 
 START = datetime.datetime(2024, 1, 1)
+SF = "/root/testdata/sf0.001"
 
 
 def at(seconds):
@@ -88,6 +90,92 @@ def test_interval_join_over_restarts(spark, tmp_path):
         interval_join(spark.range(1).withColumn("t", F.now()), spark.range(1).withColumn("t", F.now()), ["id"], "t", "t", "1 SECOND", "2 SECONDS")
 
 
+def two_sides(stream):
+    return stream.select("id", "key", F.col("ts").alias("t1")), stream.select(F.col("id").alias("other"), "key", F.col("ts").alias("t2"))
+
+
+@pytest.mark.parametrize("how", ["inner", "leftOuter"])
+def test_joined_batches_over_restarts(spark, tmp_path, how):
+    r = random.Random(4)
+    rows = [(k, r.choice(["a", "b", "hot", "hot"]), at(k * 2.5 + r.random())) for k in range(240)] + [(1000, None, at(5)), (1001, "a", at(20.125)), (1002, "a", None), (1003, "a", at(23.125)), (1004, "a", at(80.125)), (1004, "a", at(80.125))]
+    made = lambda: JoinedBatches(f"{tmp_path}/out", spark.createDataFrame([], EVENTS).schema, two_sides, ["key"], "t1", "t2", 3.0, 60.0, 10.0, how)
+    failing = [2]
+
+    def write(batch, number):
+        made().write(batch, number)
+        if number in failing:
+            failing.remove(number)
+            raise RuntimeError("ends after the write")
+
+    steps = Steps(spark, tmp_path, EVENTS, lambda s: s, write)
+    parts = [[x for x in rows if k * 150 <= ((x[2] or START) - START).total_seconds() < (k + 1) * 150] for k in range(4)]
+    for k, part in enumerate(parts):
+        if k == 2:
+            with pytest.raises(Exception, match="ends after the write"):
+                steps.put(part)
+            steps.run()  # goes on from what batch 1 handed on
+        else:
+            steps.put(part)
+    last = max(x[2] for x in rows if x[2]) - datetime.timedelta(seconds=10)
+    got = [(x.id, x.other) for x in made().read(spark).collect()]
+    want = {x for x in plain_joined(rows, last) if how == "leftOuter" or x[1] is not None}
+    assert set(got) == want and (how == "inner") != any(x[1] is None for x in want)
+    # both copies of 1004 are met, and meet something, once for each
+    assert [x for x in got if x[1] == 1004 and x[0] == 1001] == [(1001, 1004)] * 2 and sum(x[0] == 1004 for x in got) == 2 * len({x for x in want if x[0] == 1004})
+    # only rows that later ones may meet are handed on, and older hand-overs are gone
+    held = [p for side in ("left", "right") for p in (tmp_path / "out" / side).iterdir() if p.name.startswith("batch=")]
+    assert max(spark.read.parquet(str(p)).count() for p in held) < 40 and len(held) == 4
+    # a row behind all rows of the batches before, and more than 10 seconds, meets nothing
+    steps.put([(2000, "hot", at(570.0)), (2001, "hot", at(600.0))])
+    assert 2001 in {x.other for x in made().read(spark).collect()} and not {x.id for x in made().read(spark).collect()} & {2000}
+
+
+def test_joined_batches_bounds():
+    for least, most, how in ((5.0, 3.0, "inner"), (-1.0, 3.0, "inner"), (1.0, 3.0, "rightOuter")):
+        with pytest.raises(ValueError):
+            JoinedBatches("path", None, two_sides, ["key"], "t1", "t2", least, most, how=how)
+
+
+def state_updates(spark, query, sf):
+    """Rows that a registered query's streams put to state stores."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    from lectern import queries, queries_streams  # noqa: F401
+
+    class Seen(StreamingQueryListener):
+        updates, begun, ended = 0, 0, 0
+
+        def onQueryStarted(self, event):
+            self.begun += 1
+
+        def onQueryProgress(self, event):
+            self.updates += sum(op.numRowsUpdated for op in event.progress.stateOperators)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            self.ended += 1
+
+    seen = Seen()
+    spark.streams.addListener(seen)
+    try:
+        queries.QUERIES[query](spark, sf).count()
+        for _ in range(100):
+            if seen.ended >= 3:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert seen.begun == seen.ended == 3
+    return seen.updates
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_answered_events_puts_no_row_to_a_state_store(spark):
+    assert state_updates(spark, "answered_events", SF) == 0
+
+
 # Sinks
 
 
