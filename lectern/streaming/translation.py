@@ -2,17 +2,17 @@
 
 A caption is translated to every target language when it comes, and the translations wait in a buffer for ``KEEP`` seconds
 of the stream's own time, so that they are there when the caption is shown. Every translation goes through a cache; when
-that holds more than ``MOST`` entries, the ``EVICTED`` that came first go. Both are maps in the state store, an entry a
-key, so a row reads and writes the few entries that it needs; nothing is rewritten as a whole. Entries of the buffer have
-timers of event time, so a silent stream's go when the watermark passes them.
+that holds more than ``MOST`` entries, the ``EVICTED`` that came first go. A call to the state store costs far more than a
+row, so a stream's state is read and written once a micro-batch: what the buffer holds with the stream's numbers, and the
+cache in blocks of ``EVICTED`` entries by place, of which only those that got entries are written. A stream has one timer of
+event time, so a silent stream's buffer goes when the watermark passes it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,8 +23,40 @@ KEEP, MOST, EVICTED = 30.0, 1000, 100
 OUT = "lang string, asked double, translated string, found string"
 
 
-def _plain(x):
-    return None if x is None or x != x else x
+class _Cache:
+    """Translations in the order in which they came, in blocks of ``evicted`` places."""
+
+    def __init__(self, state, first: int, following: int, most: int, evicted: int):
+        self.state, self.first, self.next, self.most, self.evicted = state, first, following, most, evicted
+        self.made: dict[tuple[str, str], str] = {}
+        self.blocks: dict[int, list[tuple[str, str]]] = {}
+        if following > first:
+            for (block,), (texts, langs, made) in state.iterator():
+                self.blocks[block] = list(zip(texts, langs, strict=True))
+                self.made.update(zip(self.blocks[block], made, strict=True))
+        self.stored, self.changed = set(self.blocks), set()
+
+    def translated(self, text: str, lang: str, translate: Callable[[str, str], str]) -> tuple[str, str]:
+        """The translation, and whether the cache had it."""
+        if (text, lang) in self.made:
+            return self.made[text, lang], "cache"
+        made = self.made[text, lang] = translate(text, lang)
+        block = self.next // self.evicted
+        self.blocks.setdefault(block, []).append((text, lang))
+        self.changed.add(block)
+        self.next += 1
+        if self.next - self.first > self.most:
+            for entry in self.blocks.pop(self.first // self.evicted):
+                del self.made[entry]
+            self.first += self.evicted
+        return made, "translator"
+
+    def save(self) -> None:
+        for block in self.stored - set(self.blocks):
+            self.state.removeKey((block,))
+        for block in self.changed & set(self.blocks):
+            entries = self.blocks[block]
+            self.state.updateValue((block,), ([text for text, _ in entries], [lang for _, lang in entries], [self.made[x] for x in entries]))
 
 
 class Translations(StatefulProcessor):
@@ -32,74 +64,58 @@ class Translations(StatefulProcessor):
     for comes out for each language, with where it was found: buffer, cache or translator."""
 
     def __init__(self, langs: list[str], translate: Callable[[str, str], str], columns: list[str], keep: float = KEEP, most: int = MOST, evicted: int = EVICTED):
-        self.langs, self.translate, self.columns, self.keep, self.most, self.evicted = langs, translate, columns, keep, most, evicted
+        if not 0 < evicted <= most:
+            raise ValueError("evicted has to be from 1 to most")
+        self.langs, self.translate, self.row, self.keep, self.most, self.evicted = langs, translate, Row(*columns), keep, most, evicted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getMapState("buffer", "at double, lang string", "text string")
-        self.cache = handle.getMapState("cache", "text string, lang string", "translated string")
-        self.queue = handle.getMapState("queue", "place long", "text string, lang string")
-        self.ends = handle.getValueState("ends", "first long, next long, oldest double")
-
-    def _translated(self, text: str, lang: str, ends: list) -> tuple[str, str]:
-        """The translation, and whether the cache had it."""
-        if self.cache.containsKey((text, lang)):
-            return self.cache.getValue((text, lang))[0], "cache"
-        made = self.translate(text, lang)
-        self.cache.updateValue((text, lang), (made,))
-        self.queue.updateValue((ends[1],), (text, lang))
-        ends[1] += 1
-        if ends[1] - ends[0] > self.most:
-            for place in range(ends[0], ends[0] + self.evicted):
-                self.cache.removeKey(tuple(self.queue.getValue((place,))))
-                self.queue.removeKey((place,))
-            ends[0] += self.evicted
-        return made, "translator"
-
-    def _expire(self, now: float, ends: list) -> None:
-        if ends[2] is None or now - ends[2] <= self.keep:
-            return
-        left = []
-        for at, lang in [tuple(k) for k in self.buffer.keys()]:
-            if now - at > self.keep:
-                self.buffer.removeKey((at, lang))
-            else:
-                left.append(at)
-        ends[2] = min(left, default=None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "turn"], kind="stable")
-        ends = list(self.ends.get()) if self.ends.exists() else [0, 0, None]
-        ends[2] = _plain(ends[2])
+        self.own = handle.getValueState("own", "first long, next long, timed boolean, at array<double>, lang array<string>, text array<string>")
+        self.cache = handle.getMapState("cache", "block long", "text array<string>, lang array<string>, translated array<string>")
+
+    def _load(self) -> tuple[int, int, bool, dict]:
+        first, following, timed, at, lang, text = self.own.get() or (0, 0, False, [], [], [])
+        return first, following, timed, dict(zip(zip(at, lang, strict=True), text, strict=True))
+
+    def _save(self, first: int, following: int, timed: bool, buffer: dict) -> None:
+        """A stream whose buffer holds entries has one timer, for its newest one."""
+        if buffer and not timed:
+            self.handle.registerTimer(int((max(at for at, _ in buffer) + self.keep) * 1000) + 1)
+        self.own.update((first, following, bool(buffer) or timed, [at for at, _ in buffer], [lang for _, lang in buffer], list(buffer.values())))
+
+    def _left(self, buffer: dict, now: float) -> dict:
+        return {k: text for k, text in buffer.items() if now - k[0] <= self.keep}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, following, timed, buffer = self._load()
+        cache = _Cache(self.cache, first, following, self.most, self.evicted)
+        oldest = min((at for at, _ in buffer), default=None)
         out = []
-        for turn, at, text, asked, asked_text in zip(*(frame[c] for c in ("turn", "at", "text", "asked", "asked_text")), strict=True):
-            at, text = float(at), text or ""
+        for row in sorted(rows, key=lambda r: (r.at, r.turn is None, r.turn)):
             for lang in self.langs:
-                made, _ = self._translated(text, lang, ends)
+                made, _ = cache.translated(row.text or "", lang, self.translate)
                 if made.strip():
-                    self.buffer.updateValue((at, lang), (made,))
-                    ends[2] = at if ends[2] is None else min(at, ends[2])
-            self.handle.registerTimer(int((at + self.keep) * 1000) + 1)
-            self._expire(at, ends)
-            asked = _plain(asked)
-            if asked is None:
+                    buffer[row.at, lang] = made
+                    oldest = row.at if oldest is None else min(row.at, oldest)
+            if oldest is not None and row.at - oldest > self.keep:
+                buffer = self._left(buffer, row.at)
+                oldest = min((at for at, _ in buffer), default=None)
+            if row.asked is None:
                 continue
             for lang in self.langs:
-                if self.buffer.containsKey((float(asked), lang)):
-                    made, found = self.buffer.getValue((float(asked), lang))[0], "buffer"
+                if (row.asked, lang) in buffer:
+                    made, found = buffer[row.asked, lang], "buffer"
                 else:
-                    made, found = self._translated(asked_text or "", lang, ends)
-                out.append((key[0], turn, lang, float(asked), made, found))
-        self.ends.update(tuple(ends))
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.ends.exists():
-            ends = list(self.ends.get())
-            ends[2] = _plain(ends[2])
-            self._expire(expiredTimerInfo.getExpiryTimeInMs() / 1000, ends)
-            self.ends.update(tuple(ends))
-        yield pd.DataFrame([], columns=self.columns)
+                    made, found = cache.translated(row.asked_text or "", lang, self.translate)
+                out.append(self.row(key[0], row.turn, lang, row.asked, made, found))
+        cache.save()
+        self._save(cache.first, cache.next, timed, buffer)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        first, following, _, buffer = self._load()
+        self._save(first, following, False, self._left(buffer, expiredTimerInfo.getExpiryTimeInMs() / 1000))
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -112,4 +128,4 @@ def translations(df: DataFrame, stream: str, langs: list[str], translate: Callab
     schema = T.StructType([df.schema[stream], T.StructField("turn", T.LongType()), *T._parse_datatype_string(OUT).fields])
     rows = df.withColumn("_time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("_time", late)
     processor = Translations(langs, translate, schema.names, keep, most, evicted)
-    return rows.groupBy(stream).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy(stream).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")

@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern.sinks.streams import Batches, ResultQueue
@@ -13,7 +14,7 @@ from lectern.streaming import live
 from lectern.streaming import metrics as ME
 from lectern.streaming.joins import JoinedBatches, interval_join
 from lectern.streaming.replay import replayed
-from lectern.streaming.translation import translations
+from lectern.streaming.translation import Translations, translations
 
 START = datetime.datetime(2024, 1, 1)
 SF = "/root/testdata/sf0.001"
@@ -292,6 +293,75 @@ def test_translations(spark, tmp_path, rocks, most, evicted):
         assert len({w[3] for w in want}) >= 2
 
 
+class Held:
+    """A state variable that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.entries = 0, {}
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.entries.items()))
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.entries[key]
+
+    def get(self):
+        self.calls += 1
+        return self.entries.get(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+def test_translations_call_the_state_store_a_few_times_a_batch():
+    made = Translations(["fr", "es"], lambda text, lang: f"{lang}:{text}", ["stream", "turn", "lang", "asked", "translated", "found"], most=20, evicted=6)
+    own, cache, timers = Held(), Held(), []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return own
+
+        def getMapState(self, name, key, value):
+            return cache
+
+        def registerTimer(self, ms):
+            timers.append(ms)
+
+    made.init(Handle())
+    row = Row("turn", "at", "text", "asked", "asked_text")
+    rows = [row(k, 2.0 * k, f"text {k % 30}", 2.0 * (k - 1) if k else None, f"text {(k - 1) % 30}") for k in range(200)]
+    got = []
+    for low, high in ((0, 90), (90, 91), (91, 200)):
+        before = own.calls + cache.calls + len(timers)
+        got += made.handleInputRows(("one",), iter(rows[low:high]), None)
+        # its numbers and buffer, the cache, and at most the blocks that it has room for
+        assert own.calls + cache.calls + len(timers) - before <= 2 + 1 + 2 * 4 + 1
+        assert len(cache.entries) <= 4 and sum(len(x[0]) for x in cache.entries.values()) <= 20
+    want = plain_translations([tuple(x) for x in rows], ["fr", "es"], 30.0, 20, 6)
+    assert [(x.turn, x.lang, x.translated, x.found) for x in got] == want
+    # one timer at a time; the stream's buffer is empty once its last one is over
+    assert len(timers) == 1
+    while timers:
+        at_ms = timers.pop()
+        assert not list(made.handleExpiredTimer(("one",), None, type("Info", (), {"getExpiryTimeInMs": lambda self, at_ms=at_ms: at_ms})()))
+    assert own.entries[()][2:] == (False, [], [], [])
+    with pytest.raises(ValueError):
+        Translations(["fr"], str, [], most=5, evicted=6)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_buffered_translations_write_a_streams_state_once_a_batch(spark):
+    streams = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+    # in each of three slices its numbers, and a block of the cache; then its timers
+    assert state_updates(spark, "buffered_translations", SF) <= 10 * streams
+
+
 # Metrics
 
 
